@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +97,27 @@ def map_groups(df: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFr
             yield pd.concat(out, ignore_index=True)
 
     return df.repartition(F.col(key)).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], Callable[[list], dict]], schema: str) -> DataFrame:
+    """Stream (doc_id, text) through Python in Arrow batches; ids pass untouched, nulls included.
+
+    ``start`` runs once a task and returns a function from a list of texts to named output columns of
+    equal length; ``schema`` names those columns and their types, after doc_id.
+    """
+    named = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    types = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            if batch.num_rows:
+                made = work(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(made[f.name], f.type) for f in types]], names=["doc_id", *types.names])
+
+    return named.mapInArrow(run, f"doc_id long, {schema}")
+
+
+def to_arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([pa.field(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(","))])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, map_groups
+from .common import Scratch, map_groups, map_texts
 from .components import connected_components, forest
 
 SEED = 42
@@ -49,13 +48,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = np.fromiter((fingerprint(t, shingle) for t in frame["text"]), dtype=np.uint64, count=len(frame))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": made.view(np.int64)})
+    def start():
+        return lambda texts: {"fp": np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)}
 
-    named = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return named.mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs, id_col, text_col, start, "fp long")
 
 
 def block_masks(free: list[tuple[int, int]], radius: int = RADIUS) -> list[int]:
