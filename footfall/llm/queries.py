@@ -12,15 +12,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secrets_digest
+
+    return secrets_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff_media import media_digest, store_texts
+
+    return media_digest(store_texts(table(spark, sf_dir, "documents")))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_dedup
 
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    made = shard_by_bytes(table(spark, sf_dir, "documents"))
+    return made.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash_dedup": op6_simhash_dedup}
+    named = (op2_secret_scan, op3_tiff_pages, op5_mix_sources, op6_simhash_dedup, op7_minimax_shards, op10_pack_sequences)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op5_mix_sources": mixing.oracle()}
