@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secrets_digest
 
@@ -24,6 +30,13 @@ def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(store_texts(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -43,14 +56,36 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_languages(docs))
+
+
+def op9_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import link_quotes
+
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_secret_scan, op3_tiff_pages, op5_mix_sources, op6_simhash_dedup, op7_minimax_shards, op10_pack_sequences)
+    named = (
+        op1_itq_embedding_dedup, op2_secret_scan, op3_tiff_pages, op4_quality_scores, op5_mix_sources,
+        op6_simhash_dedup, op7_minimax_shards, op8_language_id, op9_quote_links, op10_pack_sequences, pipeline,
+    )
     return {f.__name__: f for f in named}
 
 

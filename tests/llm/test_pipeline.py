@@ -1,0 +1,48 @@
+import numpy as np
+
+from footfall.llm import mixing, quality, secrets
+from footfall.llm.packing import WordTokens, default_tokenizer
+from footfall.llm.simhash import fingerprint
+
+from .test_simhash import classes
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_against_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {}
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, SF).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert now.columns == docs.columns
+            rows[k] = {r.doc_id: r for r in now.collect()}
+            assert len(rows[k]) == now.count()
+    before = {r.doc_id: r for r in docs.collect()}
+    model = quality.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = model.scores(np.array([model.features(r.text) for r in before.values()]))
+    assert set(rows[0]) == {d for d, s in zip(before, scores) if s >= 0.3}
+    prints = {d: fingerprint(r.text) for d, r in rows[0].items()}
+    label = classes(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert set(rows[1]) == set(label.values())
+    scanner = secrets.SecretScanner()
+    assert {d: (r.text, r.n_chars) for d, r in rows[2].items()} == {d: ((t := secrets.redact_text(r.text, scanner.scan(r.text))), r.n_chars if t == r.text else len(t)) for d, r in rows[1].items()}
+    words = {d: len([w for w in r.text.split() if w]) + 1 for d, r in rows[2].items()}
+    total, kept = sum(words.values()), sum(words[d] for d in rows[3])
+    assert set(rows[3]) <= set(rows[2]) and 0.7 * total < kept <= 0.8 * total
+    budgets = {(r.domain, r.lang, r.source): r.leaf_budget for r in mixing.mix_sources(spark.read.parquet(f"{tmp_path}/2"), corpus_pipeline.PIPELINE_MIX).collect()}
+    taken = {}
+    for d, r in rows[3].items():
+        leaf = (f"domain{int(r.source[3:]) % 4}", r.lang, r.source)
+        taken[leaf] = taken.get(leaf, 0) + words[d]
+    assert all(taken[x] <= budgets[x] for x in taken)
+    tokens = WordTokens(default_tokenizer())
+    lengths = {}
+    for r in now.collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    assert lengths == {d: len(tokens.encode(r.text)) + 1 for d, r in rows[3].items()}
+    assert corpus_pipeline.run(spark, SF).count() == now.count()
