@@ -10,7 +10,7 @@ def test_levels_and_own_text():
 
 ROWS = [
     (1, 0, "user", "What is rain?\n\nAnd what is snow?"),
-    (1, 1, "assistant", "> what is  snow\nFrozen rain."),
+    (1, 1, "assistant", "> and what is  snow\nFrozen rain."),
     (1, 2, "user", "Another matter: hail."),
     (1, 3, "assistant", ">> And what is snow?\n> frozen rain.\nMore on snow."),
     (1, 4, "user", "> never said\nOnly mine."),
