@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import store_queries
+from . import floor_queries, store_queries
 
-_MODULES = (store_queries,)
+_MODULES = (store_queries, floor_queries)
 
 
 def queries() -> dict:
