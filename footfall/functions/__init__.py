@@ -37,7 +37,8 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """The value held within the bounds; null stays null (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def dot(a: Column, b: Column) -> Column:

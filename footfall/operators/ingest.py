@@ -11,12 +11,19 @@ from ..schema import EVENT_TYPES, FUTURE_SLACK_US, MAX_BATCH
 _TEXT, _WHOLE, _FLAG = "STRING", "BIGINT", "BOOLEAN"
 
 
-def _kind(field: str) -> Column:
+_FIELDS = ("event_id", "store_id", "camera_id", "visitor_id", "event_type", "timestamp", "zone_id", "dwell_ms", "is_staff", "confidence", "metadata", "metadata.queue_depth")
+
+
+def _kind_of(field: str) -> Column:
     """The JSON type of a field as written: a quoted number is STRING; missing and null give null."""
     kind = F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant"))
     return F.when(kind != "VOID", F.regexp_extract(kind, "^[A-Z]+", 0))
 
 
+def _kind(field: str) -> Column:
+    return F.col(f"`kind {field}`")
+
+
 def _text(field: str) -> Column:
     return F.when(_kind(field) == _TEXT, F.try_variant_get("v", f"$.{field}", "string"))
 
@@ -38,13 +45,15 @@ def validate(raw: DataFrame, as_of_us: int, value: str = "value", order: str = "
     Types are those of the JSON text, nothing is converted: ``"500"`` is no number and ``"True"`` no flag.
     """
     parsed = raw.select(F.col(order).alias("arrival_seq"), F.col(value).alias("raw"), F.try_parse_json(value).alias("v"))
+    # worked out once: the checks below name each type several times
+    parsed = parsed.select("*", *[_kind_of(f).alias(f"kind {f}") for f in _FIELDS])
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     required = ("event_id", "store_id", "camera_id", "visitor_id")
     checks = []
     for name in required:
         kind = _kind(name)
         checks += [_reason(kind.isNull(), f"{name}: field required"), _reason(kind != _TEXT, f"{name}: must be a string"), _reason(F.trim(_text(name)) == "", f"{name}: must not be empty")]
-    plain_id = F.regexp_replace(F.regexp_replace(F.trim(_text("event_id")), "^(urn:)?(uuid:)?|[{}]", ""), "-", "")
+    plain_id = F.regexp_replace(F.regexp_replace(F.trim(_text("event_id")), "^(urn:)?(uuid:)?", ""), "[{}-]", "")
     checks.append(_reason((F.trim(_text("event_id")) != "") & ~plain_id.rlike("^[0-9a-fA-F]{32}$"), "event_id: must be a valid UUID"))
     kind = _kind("event_type")
     checks += [_reason(kind.isNull(), "event_type: field required"), _reason(kind.isNotNull() & ~F.coalesce(_text("event_type").isin(*EVENT_TYPES), F.lit(False)), "event_type: not a known type")]

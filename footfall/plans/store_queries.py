@@ -341,7 +341,7 @@ def _rule_sql(name: str, keys: str, x: str, rule: tuple) -> str:
 
 def _setting_sql(value: str, rule: tuple) -> str:
     default, low, high, *_, digits = rule
-    return f"round_even(coalesce(greatest({low}::DOUBLE, least({high}::DOUBLE, {value})), {default}::DOUBLE), {digits})"
+    return f"round_even(CASE WHEN {value} IS NULL THEN {default}::DOUBLE ELSE greatest({low}::DOUBLE, least({high}::DOUBLE, {value})) END, {digits})"
 
 
 _C = calibration
