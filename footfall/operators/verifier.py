@@ -72,14 +72,18 @@ def staff_explosions(events: DataFrame, span_us: int = STAFF_WINDOW_US) -> DataF
     span before it, so that one store's log is no single window.
     """
     slot = F.expr(f"floor(ts_us / {span_us})")
-    named = events.select("arrival_seq", "store_id", "ts_us", "is_staff", slot.alias("slot"))
-    dealt = named.withColumn("own", F.lit(True)).unionByName(named.withColumn("slot", F.col("slot") + 1).withColumn("own", F.lit(False)))
-    # the frame by time also holds rows of equal time that arrive later; they are counted from the far side and taken off
-    order = Window.partitionBy("store_id", "slot").orderBy("ts_us")
-    tail = order.rangeBetween(-(span_us - 1), 0)
-    peers = Window.partitionBy("store_id", "slot", "ts_us").orderBy("arrival_seq").rowsBetween(1, Window.unboundedFollowing)
-    staff = F.col("is_staff").cast("long")
-    seen = dealt.withColumns({"n": F.count(F.lit(1)).over(tail) - F.count(F.lit(1)).over(peers), "s": F.sum(staff).over(tail) - F.coalesce(F.sum(staff).over(peers), F.lit(0))})
+    named = events.select("arrival_seq", "store_id", "ts_us", F.col("is_staff").cast("long").alias("staff"), slot.alias("slot"))
+    # an event counts from its time on and is taken off again a span later, before what arrives just then;
+    # so running sums give the sliding counts, and each row is added up once
+    steps = F.array(
+        *[
+            F.struct((F.col("slot") + later).alias("slot"), (F.col("ts_us") + shift).alias("at"), F.lit(step).alias("step"), F.lit(own).alias("own"))
+            for later, shift, step, own in ((0, 0, 1, True), (1, 0, 1, False), (1, span_us, -1, False))
+        ]
+    )
+    dealt = named.select("arrival_seq", "store_id", "staff", F.explode(steps).alias("e")).select("arrival_seq", "store_id", "staff", "e.*")
+    order = Window.partitionBy("store_id", "slot").orderBy("at", "step", "arrival_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumns({"n": F.sum("step").over(order), "s": F.sum(F.col("step") * F.col("staff")).over(order)})
     share = F.col("s") / F.col("n")
     return seen.filter("own").filter((F.col("n") >= STAFF_MIN_EVENTS) & (share > STAFF_SHARE)).select("arrival_seq", "store_id", "n", half_even(share, 3).alias("staff_fraction"))
 
