@@ -25,8 +25,10 @@ def _edges(points: Column) -> Column:
 
 def contains(points: Column, x: Column, y: Column) -> Column:
     """Whether a polygon holds a point; its border counts as inside."""
-    edges = _edges(points)
+    return edges_contain(_edges(points), x, y)
 
+
+def edges_contain(edges: Column, x: Column, y: Column) -> Column:
     def on(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
         return (cross == 0) & (x >= F.least(e["x1"], e["x2"])) & (x <= F.greatest(e["x1"], e["x2"])) & (y >= F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"]))
@@ -45,10 +47,16 @@ def locate(points: DataFrame, zones: DataFrame, width: int, height: int) -> Data
     ``points(point_id, camera_id, px, py)`` in pixels, ``zones(camera_id, zone_id, ord, points)``. A store has
     a few dozen zones; they are gathered to one array per camera, so points are joined once and not multiplied.
     """
-    shapes = zones.withColumn("pixels", pixel_polygon(F.col("points"), width, height))
-    listed = shapes.groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("ord", "zone_id", "pixels"))).alias("zones"))
+    shapes = zones.withColumn("pixels", pixel_polygon(F.col("points"), width, height)).withColumn("edges", _edges(F.col("pixels")))
+    xs, ys = F.transform("pixels", lambda p: p["x"]), F.transform("pixels", lambda p: p["y"])
+    bounds = {"lo_x": F.array_min(xs), "hi_x": F.array_max(xs), "lo_y": F.array_min(ys), "hi_y": F.array_max(ys)}
+    shapes = shapes.withColumns(bounds)
+    listed = shapes.groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("ord", "zone_id", "edges", *bounds))).alias("zones"))
     joined = points.join(listed, "camera_id", "left")
-    first = F.try_element_at(F.filter("zones", lambda z: contains(z["pixels"], F.col("px"), F.col("py"))), F.lit(1))
+    x, y = F.col("px"), F.col("py")
+    # most zones are ruled out by their bounding boxes
+    boxed = lambda z: (x >= z["lo_x"]) & (x <= z["hi_x"]) & (y >= z["lo_y"]) & (y <= z["hi_y"])
+    first = F.try_element_at(F.filter("zones", lambda z: boxed(z) & edges_contain(z["edges"], x, y)), F.lit(1))
     return joined.withColumn("zone_id", first["zone_id"]).drop("zones")
 
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         part = lines[len(lines) * k // 3 : len(lines) * (k + 1) // 3]
         (folder / f"{k}.jsonl").write_text("\n".join([*part, "{broken", part[0]]))
+        os.utime(folder / f"{k}.jsonl", (1_000_000 + k, 1_000_000 + k))  # files are taken in order of their times
     live = streams.first_arrivals(streams.valid_events(streams.read_lines(spark, f"file://{folder}", files_per_batch=1), AS_OF_US))
     out = f"{tmp_path}/updates"
 
