@@ -287,3 +287,16 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         held = held.join(least, "component_id").withColumn("component_id", F.col("least"))
     held = held.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return held.unionByName(named.filter(~fit).select("vec_id", *lone))
+
+
+def oracle(threshold: float = THRESHOLD) -> str:
+    """The same result as a DuckDB statement over ``embeddings`` that compares all pairs."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {threshold}::DOUBLE),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+part AS (SELECT a, min(b) AS low FROM reach GROUP BY a), many AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN part p ON p.a = vec_id LEFT JOIN many m ON m.a = vec_id
+"""

@@ -90,6 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
+    from . import itq_dedup, mixing, quotes
 
-    return {"op5_mix_sources": mixing.oracle()}
+    return {"op1_itq_embedding_dedup": itq_dedup.oracle(), "op5_mix_sources": mixing.oracle(), "op9_quote_links": quotes.oracle()}

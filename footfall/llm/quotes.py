@@ -123,3 +123,29 @@ def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> Dat
     within = Window.partitionBy("conv_id", "span").orderBy(F.col("parent_turn").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("body"))
     placed = made.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("span").eqNullSafe(F.col("s")))
     return placed.select("conv_id", "turn", "role", "body", "n_quotes", "n_linked", "parent_turn", (F.col("offset") + F.row_number().over(within) - 1).alias("position"))
+
+
+def oracle() -> str:
+    """The same result as a DuckDB statement over ``conversations``, with passages compared as texts."""
+    plain = lambda x: f"trim(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), ' .,;:!?…')"
+    return f"""
+WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS rid FROM conversations),
+sp AS (SELECT rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM m),
+ln AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM sp),
+mk AS (SELECT *, regexp_extract(line, '^(?:[ \\t]{{0,3}}>)+[ \\t]?') AS mark FROM ln),
+lv AS (SELECT rid, pos, line, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS rest FROM mk),
+bd AS (SELECT rid, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), ''), '^\\s+|\\s+$', '', 'g') AS body FROM lv GROUP BY rid),
+rn AS (SELECT *, sum(CASE WHEN level = before THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY pos) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY rid ORDER BY pos) AS before FROM lv)),
+ps AS (SELECT rid, run, level, string_agg(rest, chr(10) ORDER BY pos) AS raw FROM rn WHERE level > 0 GROUP BY ALL),
+qt AS (SELECT rid, run, level, {plain("raw")} AS p FROM ps),
+ow AS (SELECT rid, unnest(list_concat([body], regexp_split_to_array(body, '\\n[ \\t]*\\n'), string_split(body, chr(10)))) AS raw FROM bd),
+src AS (SELECT DISTINCT conv_id, turn, {plain("raw")} AS p FROM ow JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ask AS (SELECT rid, run, level, p, conv_id, turn FROM qt JOIN m USING (rid) WHERE p <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+org AS (SELECT a.rid, a.run, a.level, max(s.turn) AS origin FROM ask a LEFT JOIN src s ON s.conv_id = a.conv_id AND s.p = a.p AND s.turn < a.turn GROUP BY ALL),
+per AS (SELECT rid, count(*) AS n_quotes, count(origin) AS n_linked, min(level) FILTER (origin IS NOT NULL) AS best FROM org GROUP BY rid),
+top AS (SELECT o.rid, max(o.origin) AS origin FROM org o JOIN per p ON p.rid = o.rid AND p.best = o.level GROUP BY ALL),
+st AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+al AS (SELECT m.conv_id, m.turn, role, body, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(origin, previous) AS parent_turn
+  FROM m JOIN bd USING (rid) LEFT JOIN per USING (rid) LEFT JOIN top USING (rid) LEFT JOIN st ON st.conv_id = m.conv_id AND st.turn = m.turn)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY parent_turn NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, body NULLS FIRST) - 1 AS position FROM al
+"""

@@ -1,6 +1,7 @@
+import duckdb
 import numpy as np
 
-from footfall.llm.itq_dedup import embedding_dedup, encode, learn_rotation
+from footfall.llm.itq_dedup import embedding_dedup, encode, learn_rotation, oracle
 
 from .test_simhash import classes
 
@@ -67,3 +68,13 @@ def test_one_id_with_several_vectors(spark):
     table = spark.createDataFrame([(5, v), (5, w), (6, v), (7, w), (8, [9.0, 0.0, 0.0, -1.0])], "vec_id long, embedding array<double>")
     out = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup(table).collect())
     assert out == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (8, 0, 8)]
+
+
+def test_sql_equivalent():
+    x = cloud()
+    links, label = want(x)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [(i, v.tolist()) for i, v in enumerate(x)])
+    rows = con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({oracle()}) ORDER BY vec_id").fetchall()
+    assert rows == [(i, int(links[i]), label[i], label[i] == i) for i in range(len(x))]

@@ -1,4 +1,6 @@
-from footfall.llm.quotes import link_quotes, normalised, split_quotes
+import duckdb
+
+from footfall.llm.quotes import link_quotes, normalised, oracle, split_quotes
 
 
 def test_levels_and_own_text():
@@ -53,3 +55,13 @@ def test_replies_follow_their_originals(spark):
     rows = [(1, 0, "user", "first"), (1, 1, "user", "second"), (1, 2, "user", "> second\nto two"), (1, 3, "user", "> first\nto one")]
     out = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("position").collect()
     assert [r.turn for r in out] == [0, 1, 3, 2]
+
+
+def test_sql_equivalent(spark):
+    rows = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", ROWS)
+    made = link_quotes(rows)
+    want = con.sql(f"SELECT {', '.join(made.columns)} FROM ({oracle()})").fetchall()
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
