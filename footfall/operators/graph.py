@@ -11,25 +11,25 @@ from ..functions import half_even
 # Probability of a move from the first zone to the second.
 LOW, MED, HIGH, VERY_HIGH = 0.10, 0.40, 0.75, 0.90
 ZONE_EDGES = {
-    "ENTRANCE": {"EB": VERY_HIGH, "TFS": HIGH, "FRAGRANCE": HIGH, "MINIMALIST": MED, "BILLING_QUEUE": LOW, "STAFF_AREA": LOW},
-    "EB": {"TFS": VERY_HIGH, "FRAGRANCE": HIGH, "ENTRANCE": HIGH},
-    "TFS": {"FRAGRANCE": HIGH, "NAIL": MED, "MINIMALIST": MED},
-    "FRAGRANCE": {"NAIL": HIGH, "FOH": MED},
-    "NAIL": {"FOH": HIGH, "FACES": MED, "MINIMALIST": MED},
-    "FOH": {"MAKEUP": HIGH, "FACES": MED, "ENTRANCE": MED},
-    "FACES": {"SWISS_PLUS": HIGH, "ENTRANCE": MED},
-    "SWISS_PLUS": {"MARS_NYBAE": MED},
-    "MINIMALIST": {"AQUALOGICA": VERY_HIGH},
-    "AQUALOGICA": {"PILGRIM": VERY_HIGH},
-    "PILGRIM": {"DK": VERY_HIGH},
-    "DK": {"MAKEUP": HIGH},
-    "MAKEUP": {"MARS_NYBAE": HIGH, "FOH": HIGH},
-    "MARS_NYBAE": {"LOREAL": HIGH},
-    "LOREAL": {"BEAUTY": HIGH},
-    "BEAUTY": {"BILLING_QUEUE": MED},
-    "BILLING_QUEUE": {"CASH_COUNTER": HIGH, "ACCESSORIES": MED, "ENTRANCE": HIGH, "STAFF_AREA": 0.20},
-    "CASH_COUNTER": {"BILLING_QUEUE": MED, "ENTRANCE": HIGH},
-    "STAFF_AREA": {"BILLING_QUEUE": 0.60, "ENTRANCE": 0.50},
+    "ZONE_ENTRANCE": {"ZONE_EB": VERY_HIGH, "ZONE_TFS": HIGH, "ZONE_FRAGRANCE": HIGH, "ZONE_MINIMALIST": MED, "ZONE_BILLING_QUEUE": LOW, "ZONE_STAFF_AREA": LOW},
+    "ZONE_EB": {"ZONE_TFS": VERY_HIGH, "ZONE_FRAGRANCE": HIGH, "ZONE_ENTRANCE": HIGH},
+    "ZONE_TFS": {"ZONE_FRAGRANCE": HIGH, "ZONE_NAIL": MED, "ZONE_MINIMALIST": MED},
+    "ZONE_FRAGRANCE": {"ZONE_NAIL": HIGH, "ZONE_FOH": MED},
+    "ZONE_NAIL": {"ZONE_FOH": HIGH, "ZONE_FACES": MED, "ZONE_MINIMALIST": MED},
+    "ZONE_FOH": {"ZONE_MAKEUP": HIGH, "ZONE_FACES": MED, "ZONE_ENTRANCE": MED},
+    "ZONE_FACES": {"ZONE_SWISS_PLUS": HIGH, "ZONE_ENTRANCE": MED},
+    "ZONE_SWISS_PLUS": {"ZONE_MARS_NYBAE": MED},
+    "ZONE_MINIMALIST": {"ZONE_AQUALOGICA": VERY_HIGH},
+    "ZONE_AQUALOGICA": {"ZONE_PILGRIM": VERY_HIGH},
+    "ZONE_PILGRIM": {"ZONE_DK": VERY_HIGH},
+    "ZONE_DK": {"ZONE_MAKEUP": HIGH},
+    "ZONE_MAKEUP": {"ZONE_MARS_NYBAE": HIGH, "ZONE_FOH": HIGH},
+    "ZONE_MARS_NYBAE": {"ZONE_LOREAL": HIGH},
+    "ZONE_LOREAL": {"ZONE_BEAUTY": HIGH},
+    "ZONE_BEAUTY": {"ZONE_BILLING_QUEUE": MED},
+    "ZONE_BILLING_QUEUE": {"ZONE_CASH_COUNTER": HIGH, "ZONE_ACCESSORIES": MED, "ZONE_ENTRANCE": HIGH, "ZONE_STAFF_AREA": 0.20},
+    "ZONE_CASH_COUNTER": {"ZONE_BILLING_QUEUE": MED, "ZONE_ENTRANCE": HIGH},
+    "ZONE_STAFF_AREA": {"ZONE_BILLING_QUEUE": 0.60, "ZONE_ENTRANCE": 0.50},
 }
 # Fixed values by pair of camera roles: probability, expected seconds, tolerance in seconds.
 ROLE_PAIRS = {
@@ -45,7 +45,10 @@ ROLE_PAIRS = {
 }
 DEFAULT_PAIR = (0.40, 5.0, 6.0)
 # Zones on the two sides of a wall.
-BARRIERS = ((("EB", "TFS", "FRAGRANCE"), ("MINIMALIST", "AQUALOGICA")), (("STAFF_AREA",), ("FRAGRANCE", "NAIL", "FACES")))
+BARRIERS = (
+    (("ZONE_EB", "ZONE_TFS", "ZONE_FRAGRANCE"), ("ZONE_MINIMALIST", "ZONE_AQUALOGICA")),
+    (("ZONE_STAFF_AREA",), ("ZONE_FRAGRANCE", "ZONE_NAIL", "ZONE_FACES")),
+)
 # Events that a shape of each role can give.
 ROLE_EVENTS = {
     "zone": ("ZONE_ENTER", "ZONE_EXIT", "ZONE_DWELL"),
@@ -60,7 +63,7 @@ WALK_SPEED, WALK_SPREAD, LEAST_SECONDS, UNKNOWN_HOPS = 1.4, 0.5, 1.5, 99
 
 
 def zone_edges(spark: SparkSession) -> DataFrame:
-    rows = [(f"ZONE_{a}", f"ZONE_{b}", p) for a, to in ZONE_EDGES.items() for b, p in to.items()]
+    rows = [(a, b, p) for a, to in ZONE_EDGES.items() for b, p in to.items()]
     return spark.createDataFrame(rows, "zone_from string, zone_to string, p double")
 
 
@@ -109,10 +112,9 @@ def hops(spark: SparkSession, adjacency: DataFrame, depth: int = 12) -> DataFram
 
 
 def _barred(a: Column, b: Column) -> Column:
-    named = lambda names: [f"ZONE_{n}" for n in names]
     out = F.lit(False)
     for left, right in BARRIERS:
-        out = out | (a.isin(*named(left)) & b.isin(*named(right))) | (b.isin(*named(left)) & a.isin(*named(right)))
+        out = out | (a.isin(*left) & b.isin(*right)) | (b.isin(*left) & a.isin(*right))
     return F.coalesce(out, F.lit(False))
 
 

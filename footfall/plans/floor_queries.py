@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behavior, floor, geometry, graph, identity, ingest
+from ..operators import behavior, floor, geometry, graph, identity, ingest, lifecycle
 from ..sources.fixtures import EVENTS_SQL, store_events
 from .store_queries import EV
 
@@ -463,14 +463,14 @@ def camera_hops(spark, sf):
 
 
 _NAMES = sorted({n for a, to in graph.ZONE_EDGES.items() for n in (a, *to)})
-_MOVES = f"""zn AS (SELECT * FROM (VALUES {", ".join(repr((k, "ZONE_" + n)) for k, n in enumerate(_NAMES))}) v(k, z)),
+_MOVES = f"""zn AS (SELECT * FROM (VALUES {", ".join(repr((k, n)) for k, n in enumerate(_NAMES))}) v(k, z)),
 mv AS (SELECT arrival_seq, za.z AS zone_from, zb.z AS zone_to, (arrival_seq % 160)::DOUBLE / 10 AS distance_m, (arrival_seq % 67)::DOUBLE / 10 AS elapsed_sec FROM ev LEFT JOIN zn za ON za.k = arrival_seq % {len(_NAMES) + 1} LEFT JOIN zn zb ON zb.k = (arrival_seq * 7) % {len(_NAMES)}),
-zg AS (SELECT * FROM (VALUES {", ".join(repr(("ZONE_" + a, "ZONE_" + b, p)) for a, to in graph.ZONE_EDGES.items() for b, p in to.items())}) v(f, t, p)),
+zg AS (SELECT * FROM (VALUES {", ".join(repr((a, b, p)) for a, to in graph.ZONE_EDGES.items() for b, p in to.items())}) v(f, t, p)),
 zp AS (SELECT mv.*, CASE WHEN zone_from IS NULL OR zone_to IS NULL THEN 0.5::DOUBLE WHEN zone_from = zone_to THEN 1 ELSE coalesce(x.p::DOUBLE, y.p::DOUBLE * 0.8::DOUBLE, 0.1::DOUBLE) END AS zone_probability FROM mv LEFT JOIN zg x ON x.f = zone_from AND x.t = zone_to LEFT JOIN zg y ON y.f = zone_to AND y.t = zone_from)"""
 
 
 def _moves(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*[F.lit(f"ZONE_{n}") for n in _NAMES])
+    names = F.array(*[F.lit(n) for n in _NAMES])
     pick = lambda e: F.try_element_at(names, (F.expr(e) + 1).cast("int"))
     return store_events(spark, sf).select(
         "arrival_seq", pick(f"arrival_seq % {len(_NAMES) + 1}").alias("zone_from"), pick(f"(arrival_seq * 7) % {len(_NAMES)}").alias("zone_to"),
@@ -484,7 +484,7 @@ def zone_transition_prob(spark, sf):
 
 
 def _among(c: str, names: tuple) -> str:
-    return f"{c} IN ({', '.join(repr('ZONE_' + n) for n in names)})"
+    return f"{c} IN ({', '.join(repr(n) for n in names)})"
 
 
 _BAR = " OR ".join(f"({_among('zone_from', a)} AND {_among('zone_to', b)}) OR ({_among('zone_to', a)} AND {_among('zone_from', b)})" for a, b in graph.BARRIERS)
@@ -608,3 +608,50 @@ def live_counters(spark, sf):
     return floor.live_counters(store_events(spark, sf))
 
 
+
+
+# ---------------------------------------------------------------- identities over time
+
+LIVE_UNTIL_US = 1_500_000_000
+
+
+@query(f"""{EV}, si AS (SELECT visitor_id, ts_us, arrival_seq, (8 + arrival_seq % 53)::DOUBLE AS r FROM ev WHERE ts_us <= {LIVE_UNTIL_US}), g AS (SELECT *, lead(ts_us) OVER (PARTITION BY visitor_id ORDER BY arrival_seq) AS back FROM si),
+l AS (SELECT visitor_id, max_by(ts_us, arrival_seq) AS last_us, max_by(r, arrival_seq) AS r, count(*) FILTER (back IS NOT NULL AND (back - ts_us)::DOUBLE / 1000000 > r) AS expirations FROM g GROUP BY ALL)
+SELECT visitor_id, CASE WHEN {LIVE_UNTIL_US} - last_us <= 5000000 THEN 'ACTIVE' WHEN ({LIVE_UNTIL_US} - last_us)::DOUBLE / 1000000 <= r THEN 'SUSPENDED' ELSE 'EXPIRED' END AS state, last_us, expirations FROM l""")
+def identity_lifecycle(spark, sf):
+    seen = store_events(spark, sf).select("visitor_id", "ts_us", F.col("arrival_seq").alias("seq"), F.expr("cast(8 + arrival_seq % 53 AS double)").alias("retain_sec"))
+    return lifecycle.lifecycle(seen, LIVE_UNTIL_US, active_us=5_000_000)
+
+
+@query(f"""{EV}, {POSITIONS_SQL}, c AS (SELECT store_id, visitor_id, camera_id, x, y, x - 0.5::DOUBLE AS vx, y - 0.5::DOUBLE AS vy, ts_us, arrival_seq, row_number() OVER (PARTITION BY store_id ORDER BY ts_us DESC, arrival_seq::VARCHAR) AS k FROM po WHERE confidence >= 0.4::DOUBLE AND ts_us <= {LIVE_UNTIL_US}),
+d AS (SELECT *, ({LIVE_UNTIL_US} - ts_us)::DOUBLE / 1000000 AS dt FROM c WHERE k <= 50) SELECT arrival_seq::VARCHAR AS visitor_id, round_even(x + vx * (dt * pow(0.95::DOUBLE, dt)), 6) AS predicted_x, round_even(y + vy * (dt * pow(0.95::DOUBLE, dt)), 6) AS predicted_y FROM d WHERE dt <= 30""")
+def ghost_positions(spark, sf):
+    lost = positions(spark, sf).select("store_id", F.col("arrival_seq").cast("string").alias("visitor_id"), "camera_id", "x", "y", (F.col("x") - 0.5).alias("vx"), (F.col("y") - 0.5).alias("vy"), "confidence", F.lit(0.0).alias("retain_sec"), F.col("ts_us").alias("lost_us"))
+    made = lifecycle.ghosts(lost, LIVE_UNTIL_US)
+    return made.select("visitor_id", F.bround("predicted_x", 6).alias("predicted_x"), F.bround("predicted_y", 6).alias("predicted_y"))
+
+
+@query("""WITH n AS (SELECT vec_id AS track_id, 'CAM_FLOOR_0' || (1 + vec_id % 9) AS camera_id, embedding FROM embeddings WHERE vec_id % 25 = 0), a AS (SELECT 'VIS_' || vec_id AS visitor_id, 'CAM_FLOOR_0' || (1 + vec_id % 9) AS camera_id, embedding FROM embeddings WHERE vec_id % 25 <> 0),
+p AS (SELECT track_id, visitor_id, round_even(list_cosine_similarity(n.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS similarity FROM n JOIN a ON abs(right(n.camera_id, 1)::INT - right(a.camera_id, 1)::INT) = 1)
+SELECT track_id, max_by(visitor_id, (similarity, visitor_id)) AS visitor_id, max(similarity) AS similarity FROM p WHERE similarity >= 0.2 GROUP BY track_id""")
+def adjacent_camera_match(spark, sf):
+    """With a lower bar than live matching, as the test vectors are far apart."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("camera_id", F.expr("concat('CAM_FLOOR_0', cast(1 + vec_id % 9 AS string))"))
+    new = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("track_id"), "camera_id", "embedding")
+    active = v.filter("vec_id % 25 <> 0").select(F.concat(F.lit("VIS_"), F.col("vec_id").cast("string")).alias("visitor_id"), "camera_id", "embedding")
+    links = _adjacency(spark).filter("camera_id like 'CAM_FLOOR%' and neighbour_id like 'CAM_FLOOR%'")
+    return lifecycle.adjacent_matches(new, active, links, least=0.2)
+
+
+@query(f"""{EV}, {POSITIONS_SQL}, o AS (SELECT visitor_id, arrival_seq, x, y, row_number() OVER (PARTITION BY visitor_id ORDER BY arrival_seq DESC) AS age FROM po)
+SELECT visitor_id, round_even(avg((x * 100 + 20) / (y * 100 + 50)), 6) AS aspect, round_even(avg((y * 100 + 50) / 540), 6) AS height, count(*) AS frames FROM o WHERE age <= 30 GROUP BY ALL""")
+def appearance_profile(spark, sf):
+    boxes = positions(spark, sf).select("visitor_id", F.col("arrival_seq").alias("seq"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("x") * 100 + 20).alias("x2"), (F.col("y") * 100 + 50).alias("y2"), F.lit(540).alias("frame_h"))
+    return lifecycle.appearance(boxes)
+
+
+@query(f"""{EV}, w AS (SELECT store_id AS a, camera_id AS b, arrival_seq, arrival_seq % 3 <> 0 AS near, sum(CASE WHEN arrival_seq % 3 <> 0 THEN 1 ELSE -1 END) OVER o AS run FROM ev WINDOW o AS (PARTITION BY store_id, camera_id ORDER BY arrival_seq)),
+z AS (SELECT *, least(0, min(run) OVER (PARTITION BY a, b ORDER BY arrival_seq)) AS low FROM w) SELECT a, b, max_by(run - low, arrival_seq)::BIGINT AS score FROM z GROUP BY ALL""")
+def company_scores(spark, sf):
+    frames = store_events(spark, sf).select(F.col("store_id").alias("a"), F.col("camera_id").alias("b"), F.col("arrival_seq").alias("seq"), F.expr("arrival_seq % 3 <> 0").alias("near"))
+    return lifecycle.company_scores(frames)
