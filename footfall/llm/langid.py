@@ -42,26 +42,26 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language (one column each) of words and of n-grams of each length."""
+    """Log frequencies by language (one entry each) of words and of n-grams of each length."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: dict[str, tuple[float, ...]]
+    grams: list[dict[str, tuple[float, ...]]]
     prior: np.ndarray
 
-    def word_row(self, word: str) -> np.ndarray:
+    def word_row(self, word: str) -> tuple[float, ...]:
         """A known word's log frequencies, or the mean over its longest n-grams of which any is known."""
         row = self.words.get(word)
         if row is not None:
             return row
         for n in range(LONGEST, 0, -1):
-            rows = [self.grams[n][g] for g in grams(word, n) if g in self.grams[n]]
+            rows = [r for r in map(self.grams[n].get, grams(word, n)) if r]
             if rows:
-                return np.mean(rows, axis=0)
-        return np.zeros(len(self.languages))
+                return tuple(sum(column) / len(rows) for column in zip(*rows))
+        return (0.0,) * len(self.languages)
 
 
-def _log_rows(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, np.ndarray]:
+def _log_rows(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[str, tuple[float, ...]]:
     """Per item and language the log of its smoothed share, centred over the languages."""
     items = {i for c in counts.values() for i in c}
     totals = np.array([sum(counts.get(lang, {}).values()) for lang in languages], float)
@@ -69,7 +69,7 @@ def _log_rows(counts: dict[str, dict[str, int]], languages: list[str]) -> dict[s
     for item in items:
         n = np.array([counts.get(lang, {}).get(item, 0) for lang in languages], float)
         row = np.log((n + 0.5) / (totals + 0.5 * len(items)))
-        out[item] = row - row.mean()
+        out[item] = tuple((row - row.mean()).tolist())
     return out
 
 
