@@ -42,7 +42,7 @@ _FLAWS = {
 }
 
 
-def _raw_sql(div: str, text: str) -> str:
+def _line_sql(div: str, text: str) -> str:
     def pad(e: str, n: int) -> str:
         return f"lpad(cast({e} AS {text}), {n}, '0')"
 
@@ -53,18 +53,19 @@ def _raw_sql(div: str, text: str) -> str:
         f"'\",\"timestamp\":\"', {at}, '\",\"zone_id\":', CASE WHEN zone_id IS NULL THEN 'null' ELSE concat('\"', zone_id, '\"') END, ',\"dwell_ms\":', cast(dwell_ms AS {text}), ',\"is_staff\":', cast(is_staff AS {text}), "
         f"',\"confidence\":0.', {pad('arrival_seq % 100', 2)}, ',\"metadata\":{{', CASE WHEN queue_depth IS NULL THEN '' ELSE concat('\"queue_depth\":', cast(queue_depth AS {text})) END, '}}}}')"
     )
-    flawed = f"CASE arrival_seq % 50 WHEN 12 THEN '[1, 2]' WHEN 19 THEN '{{broken' " + " ".join(f"WHEN {k} THEN replace({line}, '{a}', '{b}')" for k, (a, b) in _FLAWS.items()) + f" ELSE {line} END"
-    return flawed
+    return line
 
 
-RAW_SQL = f"{EVENTS_SQL}, raw AS (SELECT arrival_seq, {_raw_sql('//', 'VARCHAR')} AS value FROM ev)"
+_FLAWED = "CASE arrival_seq % 50 WHEN 12 THEN '[1, 2]' WHEN 19 THEN '{broken' " + " ".join(f"WHEN {k} THEN replace(line, '{a}', '{b}')" for k, (a, b) in _FLAWS.items()) + " ELSE line END"
+RAW_SQL = f"{EVENTS_SQL}, wrote AS (SELECT arrival_seq, {_line_sql('//', 'VARCHAR')} AS line FROM ev), raw AS (SELECT arrival_seq, {_FLAWED} AS value FROM wrote)"
 
 #: 2026-03-03 15:30:00 UTC
 AS_OF_EPOCH_US = 1_772_551_800_000_000
 
 
 def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return store_events(spark, sf).select("arrival_seq", F.expr(_raw_sql("div", "string")).alias("value"))
+    lines = store_events(spark, sf).select("arrival_seq", F.expr(_line_sql("div", "string")).alias("line"))
+    return lines.select("arrival_seq", F.expr(_FLAWED).alias("value"))
 
 
 def _field_sql(name: str) -> str:
