@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,10 @@ from .common import Scratch
 _MARK = re.compile(r"(?:[ \t]{0,3}>)+[ \t]?")
 #: Rows that one window of the numbering holds at most, by the turns it spans.
 ORDER_TURNS = 1024
+#: Sentence marks that a passage may lose at its ends.
+MARKS = ".,;:!?…"
+#: Runs of up to so many words are hashed whole, longer ones meet on so many first words.
+HEAD = 8
 
 
 def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
@@ -38,7 +43,7 @@ def split_quotes(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 def normalised(passage: str) -> str:
     """Lower case, white space runs as one blank, no blanks or sentence marks at the ends."""
-    return " ".join(passage.lower().split()).strip(" .,;:!?…")
+    return " ".join(passage.lower().split()).strip(" " + MARKS)
 
 
 def passage_hash(passage: str) -> int | None:
@@ -46,42 +51,101 @@ def passage_hash(passage: str) -> int | None:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else None
 
 
-def passages(own: str) -> list[str]:
-    """What others can quote of a message: all of it, each paragraph and each line."""
-    parts = re.split(r"\n[ \t]*\n", own)
-    return [own, *parts, *own.split("\n")]
+def own_runs(own: str) -> tuple[list[str], list[int], list[int]]:
+    """(words, starts, ends): what others can quote of a message is words[start:end], a run of whole lines.
 
-
-PARSED = "key long,conv_id long,turn long,role string,body string,quotes array<struct<level:int,hash:long>>,own array<long>"
+    A run begins at the first word of a line and ends after the last word of one; as in ``normalised``,
+    sentence marks that stand alone count for neither, and where the lines break plays no part.
+    """
+    words: list[str] = []
+    starts, ends = set(), set()
+    for line in own.split("\n"):
+        made = line.lower().split()
+        real = [k for k, w in enumerate(made) if w.strip(MARKS)]
+        if real:
+            starts.add(len(words) + real[0])
+            ends.add(len(words) + real[-1] + 1)
+        words += made
+    return words, sorted(starts), sorted(ends)
+
+
+def head_hash(words: list[str]) -> int:
+    """Of a run's first HEAD words, where longer runs meet before they are compared whole."""
+    return xxhash.xxh64_intdigest(" ".join(words[:HEAD]).lstrip(" " + MARKS).encode("utf-8", "surrogatepass"), 1) - (1 << 63)
+
+
+def own_keys(own: str) -> list[int]:
+    """Hashes of a message's runs of up to HEAD words and heads of its longer ones."""
+    words, starts, ends = own_runs(own)
+    made = set()
+    for at in starts:
+        for to in ends[bisect_right(ends, at) :]:
+            if to - at > HEAD:
+                made.add(head_hash(words[at : at + HEAD]))
+                break
+            made.add(passage_hash(" ".join(words[at:to])))
+    return sorted(made)
+
+
+def long_runs(own: str, asked: list[tuple[int, int]]) -> list[int]:
+    """Hashes of the message's runs that begin with one of the ``asked`` heads and have the length asked beside it."""
+    lengths: dict[int, list[int]] = {}
+    for head, n in asked:
+        lengths.setdefault(head, []).append(n)
+    words, starts, ends = own_runs(own)
+    closes = set(ends)
+    return sorted({passage_hash(" ".join(words[at : at + n])) for at in starts for n in lengths.get(head_hash(words[at : at + HEAD]), ()) if at + n in closes})
+
+
+PARSED = "key long,conv_id long,turn long,role string,body string,quotes array<struct<level:int,hash:long,meet:long,words:int>>,own array<long>"
 _TYPE = pa.schema([
     pa.field("key", pa.int64()), pa.field("conv_id", pa.int64()), pa.field("turn", pa.int64()), pa.field("role", pa.string()), pa.field("body", pa.string()),
-    pa.field("quotes", pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())]))), pa.field("own", pa.list_(pa.int64())),
+    pa.field("quotes", pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("meet", pa.int64()), ("words", pa.int32())]))), pa.field("own", pa.list_(pa.int64())),
 ])
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """``messages(key, conv_id, turn, role, text)`` -> body without quotes, hashed quotes by level, hashes others may quote."""
+    """``messages(key, conv_id, turn, role, text)`` -> body without quotes, hashed quotes by level, hashes others may quote.
+
+    A quote meets its sources at its own hash, or at that of its head if it has over HEAD words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies, quotes, own = [], [], []
             for text in batch.column("text").to_pylist():
                 body, quoted = split_quotes(text)
-                hashed = [(level, passage_hash(p)) for level, p in quoted]
+                asked = []
+                for level, passage in quoted:
+                    h, words = passage_hash(passage), normalised(passage).split()
+                    if h is not None:
+                        asked.append({"level": level, "hash": h, "meet": h if len(words) <= HEAD else head_hash(words), "words": len(words)})
                 bodies.append(body)
-                quotes.append([{"level": level, "hash": h} for level, h in hashed if h is not None])
-                own.append(sorted({h for p in passages(body) if (h := passage_hash(p)) is not None}))
+                quotes.append(asked)
+                own.append(own_keys(body))
             made = [pa.array(bodies, pa.string()), pa.array(quotes, _TYPE.field("quotes").type), pa.array(own, _TYPE.field("own").type)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "conv_id", "turn", "role")), *made], schema=_TYPE)
 
     return messages.select("key", "conv_id", "turn", "role", "text").mapInArrow(run, PARSED)
 
 
+def find_long(messages: DataFrame) -> DataFrame:
+    """``messages(conv_id, from_turn, body, asked)`` -> (conv_id, from_turn, hash) of the long runs asked for."""
+    schema = pa.schema([("conv_id", pa.int64()), ("from_turn", pa.int64()), ("hash", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(conv, turn, h) for conv, turn, body, asked in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "from_turn", "body", "asked"))) for h in long_runs(body, [(a["meet"], a["words"]) for a in asked])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], schema=schema)
+
+    return messages.select("conv_id", "from_turn", "body", "asked").mapInArrow(run, "conv_id long,from_turn long,hash long")
+
+
 def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> DataFrame:
     """One row per message in reply order: (conv_id, turn, role, body, n_quotes, n_linked, parent_turn, position).
 
-    A quoted passage links to the latest earlier turn of its conversation that holds it as a whole, a
-    paragraph or a line of its own text. The parent is the latest turn among the links of the shallowest
+    A quoted passage links to the latest earlier turn of its conversation that holds it as a run of whole
+    lines of its own text (blank lines and line breaks aside). The parent is the latest turn among the links of the shallowest
     linked level, else the preceding turn (null at a conversation's start). Messages are placed by their
     parent's turn, then their own, so an original stands before its replies; position counts from 0 in
     each conversation. Null texts are empty bodies, a null turn sorts first and links with nothing, rows
@@ -92,12 +156,20 @@ def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> Dat
     named = conversations.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     # equal rows find equal links, so a hash of the content beside its conversation and turn keys a message
     parsed = scratch.keep(parse_messages(named.withColumn("key", F.xxhash64("conv_id", "turn", "role", "text"))))
-    sources = parsed.filter("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("from_turn"), F.explode("own").alias("hash"))
-    asked = parsed.filter("conv_id is not null and turn is not null").select("key", "conv_id", "turn", F.posexplode("quotes").alias("nth", "quote"))
-    asked = asked.select("key", "conv_id", "turn", "nth", F.col("quote.level").alias("level"), F.col("quote.hash").alias("hash")).dropDuplicates(["conv_id", "turn", "key", "nth"])
+    keyed = parsed.filter("conv_id is not null and turn is not null")
+    asked = keyed.select("key", "conv_id", "turn", F.posexplode("quotes").alias("nth", "quote"))
+    asked = asked.select("key", "conv_id", "turn", "nth", "quote.*").dropDuplicates(["conv_id", "turn", "key", "nth"])
     # only passages that are quoted at all need their sources; a source's turns are listed once per passage
     wanted = scratch.keep(asked)
-    turns = sources.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.sort_array(F.collect_set("from_turn")).alias("turns"))
+    sources = keyed.select("key", "conv_id", F.col("turn").alias("from_turn"), F.explode("own").alias("meet"))
+    held = sources.join(wanted.filter(F.col("words") <= HEAD).select("conv_id", "meet").distinct(), ["conv_id", "meet"], "left_semi").select("conv_id", "from_turn", F.col("meet").alias("hash"))
+    long = wanted.filter(F.col("words") > HEAD).select("conv_id", "meet", "words").distinct()
+    if not long.isEmpty():
+        # a long passage is looked for in the messages that hold its head; equal rows hold the same
+        heads = sources.join(long, ["conv_id", "meet"]).groupBy("conv_id", "from_turn", "key").agg(F.collect_set(F.struct("meet", "words")).alias("asked"))
+        texts = keyed.select("key", "conv_id", F.col("turn").alias("from_turn"), "body")
+        held = held.unionByName(find_long(texts.join(heads, ["conv_id", "from_turn", "key"])))
+    turns = held.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.sort_array(F.collect_set("from_turn")).alias("turns"))
     found = wanted.join(turns, ["conv_id", "hash"], "left").withColumn("origin", F.array_max(F.filter("turns", lambda t: t < F.col("turn"))))
     per = found.groupBy("conv_id", "turn", "key").agg(
         F.count(F.lit(1)).alias("n_quotes"),
@@ -126,7 +198,10 @@ def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> Dat
 
 
 def oracle() -> str:
-    """The same result as a DuckDB statement over ``conversations``, with passages compared as texts."""
+    """The same result as a DuckDB statement over ``conversations``, with passages compared as texts.
+
+    It knows a passage as a whole body, a paragraph or a line only, so runs of several lines are beyond it.
+    """
     plain = lambda x: f"trim(trim(regexp_replace(lower({x}), '\\s+', ' ', 'g')), ' .,;:!?…')"
     return f"""
 WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS rid FROM conversations),

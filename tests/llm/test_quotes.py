@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from footfall.llm.quotes import link_quotes, normalised, oracle, split_quotes
@@ -65,3 +67,48 @@ def test_sql_equivalent(spark):
     made = link_quotes(rows)
     want = con.sql(f"SELECT {', '.join(made.columns)} FROM ({oracle()})").fetchall()
     assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
+
+
+LONG = [f"line {k} has {w} words of its own" for k, w in enumerate("many some few more most less".split())]
+RUNS = [
+    (1, 0, "user", "\n".join(LONG[:4]) + "\n\n" + LONG[4] + "\n\n" + LONG[5]),
+    (1, 1, "assistant", "> never said\nr1a\nr1b.\n> nor that\nr2"),
+    (1, 2, "user", "something else"),
+    (1, 3, "assistant", f"> {LONG[1]}\n> {LONG[2]}\nlines of a paragraph"),
+    (1, 4, "user", f"> {LONG[4]}\n>\n> {LONG[5]}\ntwo of three paragraphs"),
+    (1, 5, "assistant", ">> never said\n> r1a\n> r1b\n>> nor that\n> r2\nown text between quotes"),
+    (1, 6, "user", f"> {LONG[2][:10]}\n> {LONG[2][11:]} {LONG[3].upper()}!\nwrapped anew"),
+    (1, 7, "assistant", f"> {LONG[0]}\n> {LONG[2]}\nnot consecutive"),
+    (1, 8, "user", f"> {LONG[1]}\n> {LONG[2][:-3]}\nends within a line"),
+    (2, 9, "user", f"> {LONG[1]}\n> {LONG[2]}\nanother conversation"),
+]
+
+
+def test_runs_of_lines(spark):
+    out = {r.turn: (r.n_quotes, r.n_linked, r.parent_turn) for r in link_quotes(spark.createDataFrame(RUNS, "conv_id long, turn long, role string, text string")).collect()}
+    assert out[3] == (1, 1, 0) and out[4] == (1, 1, 0) and out[6] == (1, 1, 0)
+    assert out[5] == (4, 2, 1)
+    assert out[7] == (1, 0, 6) and out[8] == (1, 0, 7) and out[9] == (1, 0, None)
+
+
+def test_runs_against_plain_search(spark):
+    rng = random.Random(4)
+    rows = []
+    for turn in range(60):
+        lines = [" ".join(rng.choices(("ab", "cd", "...", "ef."), k=rng.randrange(0, 7))) for _ in range(rng.randrange(1, 7))]
+        quoted = []
+        if turn:
+            own = split_quotes(rows[rng.randrange(turn)][3])[0].split("\n")
+            at = rng.randrange(len(own))
+            quoted = [f"> {x}" for x in own[at : at + rng.randrange(1, 5)]]
+        rows.append((1, turn, "user", "\n".join([*lines[:2], *quoted, *lines[2:]])))
+    runs = []
+    for *_, text in rows:
+        own = split_quotes(text)[0].split("\n")
+        runs.append({normalised(" ".join(own[a:b])) for a in range(len(own)) for b in range(a + 1, len(own) + 1)})
+    made = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for _, turn, _, text in rows:
+        asked = [p for _, q in split_quotes(text)[1] if (p := normalised(q))]
+        found = [max(k) for p in asked if (k := [t for t in range(turn) if p in runs[t]])]
+        assert (made[turn].n_quotes, made[turn].n_linked) == (len(asked), len(found))
+        assert made[turn].parent_turn == (max(found) if found else turn - 1 if turn else None)
