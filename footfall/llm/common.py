@@ -45,6 +45,10 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
+    def numbered(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows with a number of their own each, written once so that every later read sees the same."""
+        return self.keep(df.withColumn(name, F.monotonically_increasing_id()))
+
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -15,6 +15,8 @@ LEVELS = ("domain", "lang", "source")
 BROADCAST_LEAVES = 20_000
 #: Rows that one window of the prefix sums holds on average.
 PREFIX_ROWS = 2048
+#: The column that tells rows apart where ids may repeat or be null.
+ROW = "_row"
 _BITS = 60
 
 
@@ -95,8 +97,14 @@ def mix_sources(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQ
     Null lang or source form leaves of their own named ``(none)``; null and empty texts count one token;
     repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
+    return _planned(docs, mix, domain_sql, prefix_rows)
+
+
+def _planned(docs: DataFrame, mix: Mix, domain_sql: str, prefix_rows: int, *row: str) -> DataFrame:
+    """The rows of ``mix_sources``, with the unique column ``row`` of ``docs`` if one is named."""
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select(
+        *row,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.expr(domain_sql), F.lit("(none)")).alias("domain"),
         F.coalesce("lang", F.lit("(none)")).alias("lang"),
@@ -122,17 +130,21 @@ def mix_sources(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQ
     before = Window.partitionBy(*LEVELS).orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
     sums = scratch.keep(sums.select(*LEVELS, "window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
     keys = [*LEVELS, "window"]
-    within = Window.partitionBy(*keys).orderBy("spot", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys).orderBy("spot", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     partial = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - ahead))
     out = placed.join(sums, keys).withColumn("partial_tokens", partial)
-    return out.select("doc_id", *LEVELS, "n_tokens", "leaf_budget", "epochs", "partial_tokens", (F.col("epochs") * F.col("n_tokens") + F.col("partial_tokens")).alias("tokens_taken"))
+    return out.select(*row, "doc_id", *LEVELS, "n_tokens", "leaf_budget", "epochs", "partial_tokens", (F.col("epochs") * F.col("n_tokens") + F.col("partial_tokens")).alias("tokens_taken"))
 
 
 def apply_mix(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQL) -> DataFrame:
-    """The documents themselves, with their columns, once for each epoch that takes them whole."""
-    taken = mix_sources(docs, mix, domain_sql).select("doc_id", (F.col("epochs") + (F.col("partial_tokens") == F.col("n_tokens")).cast("long")).alias("times")).filter("times > 0")
-    kept = docs.join(taken.hint("shuffle_hash"), "doc_id")
+    """The documents themselves, with their columns, once for each epoch that takes them whole.
+
+    Each row is taken for itself, whether its id is null or stands in other rows too.
+    """
+    rows = Scratch(docs.sparkSession).numbered(docs, ROW)
+    taken = _planned(rows, mix, domain_sql, PREFIX_ROWS, ROW).select(ROW, (F.col("epochs") + (F.col("partial_tokens") == F.col("n_tokens")).cast("long")).alias("times")).filter("times > 0")
+    kept = rows.join(taken.hint("shuffle_hash"), ROW)
     if mix.max_epochs > 1:
         kept = kept.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return kept.select(*docs.columns)

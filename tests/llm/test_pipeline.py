@@ -46,3 +46,29 @@ def test_stages_against_plain_versions(spark, tmp_path):
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
     assert lengths == {d: len(tokens.encode(r.text)) + 1 for d, r in rows[3].items()}
     assert corpus_pipeline.run(spark, SF).count() == now.count()
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = [r.text for r in docs.filter("n_chars between 500 and 900 and lang = 'en'").orderBy("doc_id").collect()]
+    made = [(None, text[0]), (None, text[1]), (None, text[1]), *[(7, text[2])] * 3, (8, text[3]), (8, text[4]), (None, text[5]), (9, text[5]), (4, None), (None, None)]
+    rows = spark.createDataFrame([(i, t, "en", "src0", None if t is None else len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rows.select(*docs.columns)
+    near = corpus_pipeline.near_dedup_stage(spark, rows, SF)
+    want = [(None, text[0]), (None, text[1]), (4, None), (7, text[2]), (8, text[3]), (8, text[4]), (9, text[5])]
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted(want, key=repr)
+    whole = mixing.Mix(share=(1, 1), max_epochs=1)
+    assert sorted(((r.doc_id, r.text) for r in mixing.apply_mix(rows, whole).collect()), key=repr) == sorted(made, key=repr)
+    now = rows
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, SF).write.parquet(f"{tmp_path}/{k}")
+        before, now = now, spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert now.columns == docs.columns
+            assert k == 2 or now.exceptAll(before).isEmpty()
+    packed = spark.read.parquet(f"{tmp_path}/3").collect()
+    assert any(r.doc_id is None for r in packed) and len({(r.doc_id, r.text) for r in packed}) == len(packed)
+    tokens = WordTokens(default_tokenizer())
+    assert sum(r.length for r in now.collect()) == sum(len(tokens.encode(r.text)) + 1 for r in packed)
