@@ -44,7 +44,10 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their leaf's token budget, in seeded order."""
+    """Documents within their leaf's token budget, in seeded order; the one that the budget would cut is left out.
+
+    So a leaf whose first document exceeds its budget gives none; the README has the share of tokens lost.
+    """
     return mixing.apply_mix(docs, PIPELINE_MIX)
 
 

@@ -140,7 +140,8 @@ def _planned(docs: DataFrame, mix: Mix, domain_sql: str, prefix_rows: int, *row:
 def apply_mix(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQL) -> DataFrame:
     """The documents themselves, with their columns, once for each epoch that takes them whole.
 
-    Each row is taken for itself, whether its id is null or stands in other rows too.
+    The document that a leaf's budget would cut is left out, so a leaf gives up to one document less than its
+    budget. Each row is taken for itself, whether its id is null or stands in other rows too.
     """
     rows = Scratch(docs.sparkSession).numbered(docs, ROW)
     taken = _planned(rows, mix, domain_sql, PREFIX_ROWS, ROW).select(ROW, (F.col("epochs") + (F.col("partial_tokens") == F.col("n_tokens")).cast("long")).alias("times")).filter("times > 0")
