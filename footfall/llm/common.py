@@ -112,6 +112,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], C
     """
     named = columns(docs, id_col, text_col).toDF("doc_id", "text").withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     types = to_arrow(schema)
+    schema = schema.replace("longs", "array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
@@ -124,5 +125,5 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable[[], C
 
 
 def to_arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "longs": pa.list_(pa.int64())}
     return pa.schema([pa.field(name, kinds[kind]) for name, kind in (part.split() for part in schema.split(","))])

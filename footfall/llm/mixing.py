@@ -16,7 +16,8 @@ BROADCAST_LEAVES = 20_000
 #: Rows that one window of the prefix sums holds on average.
 PREFIX_ROWS = 2048
 #: The column that tells rows apart where ids may repeat or be null.
-ROW = "_row"
+ROW = "_footfall_row"
+_TIMES = "_footfall_times"
 _BITS = 60
 
 
@@ -52,10 +53,12 @@ def water_fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     """Split each parent's ``budget`` over its children by ``weight``, none above its ``capacity``.
 
     What a full child cannot take goes to its siblings by their weights, so a budget leaves the parent only
-    if all of its children are full. All in whole numbers; the shares of a parent add up exactly.
+    if all of its children are full. All in whole numbers; the shares of a parent add up exactly. A weight of 0
+    takes nothing, and leaves what its siblings cannot take unspent; negative weights count as 0.
     """
+    children = children.withColumns({"capacity": F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0)), "weight": F.greatest("weight", F.lit(0))})
     group = [F.col(p) for p in parent] or [F.lit(0)]
-    order = Window.partitionBy(*group).orderBy(F.col("capacity") / F.col("weight"), child)
+    order = Window.partitionBy(*group).orderBy(F.try_divide("capacity", "weight"), child)
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = children.withColumns({"used": F.coalesce(F.sum("capacity").over(before), F.lit(0)), "open_weight": F.sum("weight").over(rest)})
@@ -141,14 +144,16 @@ def apply_mix(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQL)
     """The documents themselves, with their columns, once for each epoch that takes them whole.
 
     The document that a leaf's budget would cut is left out, so a leaf gives up to one document less than its
-    budget. Each row is taken for itself, whether its id is null or stands in other rows too.
+    budget. Each row is taken for itself, whether its id is null or stands in other rows too, and
+    extra columns may have any name but ``ROW`` and ``_TIMES``; see ``mix_sources`` for nulls. An empty table gives no rows.
     """
     rows = Scratch(docs.sparkSession).numbered(docs, ROW)
-    taken = _planned(rows, mix, domain_sql, PREFIX_ROWS, ROW).select(ROW, (F.col("epochs") + (F.col("partial_tokens") == F.col("n_tokens")).cast("long")).alias("times")).filter("times > 0")
+    times = (F.col("epochs") + (F.col("partial_tokens") == F.col("n_tokens")).cast("long")).alias(_TIMES)
+    taken = _planned(rows, mix, domain_sql, PREFIX_ROWS, ROW).select(ROW, times).filter(F.col(_TIMES) > 0)
     kept = rows.join(taken.hint("shuffle_hash"), ROW)
     if mix.max_epochs > 1:
-        kept = kept.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return kept.select(*docs.columns)
+        kept = kept.withColumn(_TIMES, F.explode(F.sequence(F.lit(1).cast("long"), F.col(_TIMES))))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def _weight_sql(level: str, named: dict[str, int]) -> str:

@@ -207,15 +207,25 @@ def redact_text(text: str, hits: list[Hit]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with the secrets in ``text_col`` masked; null texts stay null."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The same rows and columns with the secrets in ``text_col`` masked; null and empty texts stay as they are.
+
+    ``length_col``, if named, is set to the characters of each text that changed. No other column is read or made, so
+    their names are free; repeated rows are masked each and an empty table gives no rows.
+    """
 
     @F.pandas_udf("string")
     def redact(texts):
         scanner = SecretScanner()
         return texts.map(lambda t: None if t is None else redact_text(t, scanner.scan(t)))
 
-    return docs.withColumn(text_col, redact(F.col(f"`{text_col}`")))
+    text = F.col(f"`{text_col}`").cast("string")
+    masked = redact(text)
+    made = {text_col: masked}
+    if length_col is not None:
+        length = F.col(f"`{length_col}`")
+        made[length_col] = F.when(masked.eqNullSafe(text), length).otherwise(F.length(masked)).cast(docs.schema[length_col].dataType)
+    return docs.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_groups, map_texts
+from .common import Scratch, columns, map_groups, map_texts
 from .components import connected_components, forest
+from .jaccard import minima, similar_links
 
 SEED = 42
 SHINGLE = 3
@@ -20,24 +21,30 @@ RADIUS = 2
 BLOCK_ROWS = 512
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash: majority bits over XXH64 (seed 42) of word shingles, repeats included.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of the text's word shingles, in order, repeats included.
 
     ASCII letters are lower-cased, words are runs without ASCII white space; with fewer words than
-    a shingle the whole sequence is one shingle; without words (or null) the fingerprint is 0.
+    a shingle the whole sequence is one shingle; without words (or null) there is none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: n - shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n - shingle + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype=np.uint64, count=n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; 0 without any."""
+    if len(hashes) == 1:
+        return int(hashes[0])
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -45,6 +52,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash: the majority bits of the text's shingles."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
@@ -54,6 +66,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, id_col, text_col, start, "fp long")
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, fp, mark, bands, signature): mark names the set of the text's shingles, the rest is of ``jaccard.minima``."""
+
+    def start():
+        def work(texts: list) -> dict:
+            made: dict[str, list] = {"fp": [], "mark": [], "bands": [], "signature": []}
+            for t in texts:
+                hashes = shingle_hashes(t, shingle)
+                distinct = np.unique(hashes)
+                keys, signature = minima(distinct)
+                made["fp"].append(_signed(majority(hashes)))
+                made["mark"].append(xxhash.xxh128_digest(distinct.tobytes()))
+                made["bands"].append(keys)
+                made["signature"].append(signature)
+            return made
+
+        return work
+
+    return map_texts(docs, id_col, text_col, start, "fp long,mark binary,bands longs,signature binary")
+
+
 def block_masks(free: list[tuple[int, int]], radius: int = RADIUS) -> list[int]:
     """Masks over the ``free`` bit ranges, cut into radius+2 blocks: any close pair agrees on one mask.
 
@@ -127,19 +160,30 @@ def close_links(reps: DataFrame, scratch: Scratch, radius: int = RADIUS, block_r
     return found
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block_rows: int = BLOCK_ROWS, similarity: float | None = None) -> DataFrame:
     """One row per document: (doc_id, fingerprint, component_id, kept).
 
     Documents link when their fingerprints differ in at most ``radius`` bits; component_id is the smallest
     doc_id reachable and kept marks that document. Null and empty texts have fingerprint 0 and link with
     each other; rows with equal text share a fingerprint, so copies are compared once; an empty table
     gives no rows; other columns are ignored. A null id is returned with its fingerprint's component.
+
+    With a ``similarity``, texts also link when the Jaccard similarity of their shingle sets reaches it: such
+    texts differ in more bits than blocks can select on, so their candidates are those of ``jaccard``, verified
+    on the whole sets. Ids must then be unique and not null.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle))
+    prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle) if similarity is None else sketches(docs, id_col, text_col, shingle))
     reps = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # links on a column that never is null: an all-null group keeps itself
     links = close_links(reps.filter("rep is not null"), scratch, radius, block_rows)
+    if similarity is not None:
+        nodes = prints.groupBy("fp", "mark").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("first")).select("fp", F.col("first.doc_id").alias("node"), "first.bands", "first.signature")
+        nodes = scratch.keep(nodes)
+        same = nodes.join(reps, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        texts = columns(docs, id_col, text_col).toDF("node", "text").withColumns({"node": F.col("node").cast("long"), "text": F.col("text").cast("string")})
+        near = similar_links(nodes, texts, lambda t: shingle_hashes(t, shingle), scratch, similarity)
+        links = links.unionByName(same).unionByName(near)
     parts = scratch.keep(connected_components(links, scratch))
     named = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.keep(named)
