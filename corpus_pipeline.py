@@ -1,77 +1,5 @@
-"""Corpus pipeline over ``documents``: quality, near-dedup, secrets, source mix, packing.
+"""The corpus pipeline of ``footfall.llm.pipeline``: its stages, their SQL and the run over all of them."""
 
-Each stage takes (spark, docs, sf_dir), keeps working on all rows its predecessor kept, and is written as
-Parquet and read again before the next. Part of the subpackage ``footfall.llm``.
-"""
+from footfall.llm.pipeline import ORACLE_SQL, PIPELINE_MIX, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from footfall.llm import mixing, packing, quality, secrets, simhash
-from footfall.llm.common import Scratch
-from footfall.llm.mixing import ROW
-
-#: Four fifths of the tokens that reach the mix are kept, no document twice; see ``mixing.Mix``.
-PIPELINE_MIX = mixing.Mix(domain=mixing.DEFAULT.domain, lang=mixing.DEFAULT.lang, share=(4, 5), max_epochs=1)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labelled rows of ``documents`` as delivered."""
-    labels, known = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("labels", "documents"))
-    return quality.keep_quality(docs, quality.fit_quality(known, labels))
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of almost identical texts, linked as in op6: of the smallest id, null ids last.
-
-    Rows with one id or none are told apart by a number, so a group of copies of one id leaves one row too.
-    Near copies of five-word Jaccard 0.8 mostly differ in more than op6's two bits and stay; recall is in the README.
-    """
-    rows = Scratch(spark).numbered(docs, ROW)
-    groups = simhash.simhash_dedup(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first")
-    kept = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).join(groups, ROW).groupBy("component_id").agg(first).select(f"first.{ROW}")
-    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(*docs.columns)
-
-
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked and ``n_chars`` counted anew where a text changed."""
-    masked = secrets.redact_secrets(docs.withColumn("before", F.col("text")))
-    recounted = F.when(F.col("before") == F.col("text"), F.col("n_chars")).otherwise(F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return masked.withColumn("n_chars", recounted.cast("long")).select(*docs.columns)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within their leaf's token budget, in seeded order; the one that the budget would cut is left out.
-
-    So a leaf whose first document exceeds its budget gives none; the README has the share of tokens lost.
-    """
-    return mixing.apply_mix(docs, PIPELINE_MIX)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as of ``packing.pack_documents``."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [
-    ("quality classifier", quality_stage),
-    ("simhash near-dedup", near_dedup_stage),
-    ("secret scans", secrets_stage),
-    ("mixing sources", mixing_stage),
-    ("packing", packing_stage),
-]
-
-#: The classifier, fingerprints and tokenizer are beyond SQL: tested against a plain version instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    scratch = Scratch(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "PIPELINE_MIX", "STAGES", "run"]
