@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from footfall.llm.tiff_media import TiffError, lzw_decode, lzw_encode, media_digest, packbits_decode, packbits_encode, read_tiff, store_texts, tiff_pages, write_tiff
+from footfall.llm.tiff_media import TiffError, lzw_decode, lzw_encode, media_digest, packbits_decode, packbits_encode, read_tiff, store_texts, text_to_tiff, tiff_pages, write_tiff
 
 from .cases import awkward
 
@@ -36,6 +36,63 @@ def test_files_round_trip(kind, codec, tile):
             assert all((g.pixels[:, :, 0] == p).all() for g, p in zip(got, pages))
 
 
+def tiff(tags, data, order="<"):
+    """A file of one page: data at offset 8, then the directory of (tag, type, values)."""
+    kinds = {3: "H", 4: "I"}
+    out = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0) + data)
+    entries = b""
+    for tag, kind, values in sorted(tags):
+        packed = struct.pack(f"{order}{len(values)}{kinds[kind]}", *values)
+        if len(packed) > 4:
+            entries += struct.pack(order + "HHII", tag, kind, len(values), len(out))
+            out += packed
+        else:
+            entries += struct.pack(order + "HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    struct.pack_into(order + "I", out, 4, len(out))
+    return bytes(out + struct.pack(order + "H", len(tags)) + entries + b"\0\0\0\0")
+
+
+def test_other_sample_layouts():
+    size = [(256, 4, [10]), (257, 4, [3])]
+    bits = np.random.default_rng(1).integers(0, 2, (3, 10))
+    rows = np.packbits(np.pad(bits, ((0, 0), (0, 6))).astype(np.uint8), axis=1).tobytes()
+    flipped = bytes(int(f"{b:08b}"[::-1], 2) for b in rows)
+    for fill, data in ((1, rows), (2, flipped)):
+        (got,) = read_tiff(tiff([*size, (258, 3, [1]), (266, 3, [fill]), (273, 4, [8]), (278, 4, [3]), (279, 4, [len(data)])], data))
+        assert got.bits == 1 and (got.pixels[:, :, 0] == bits).all()
+    rgb = np.random.default_rng(2).integers(0, 60000, (3, 10, 3)).astype(">u2")
+    planes = [rgb[:, :, k].tobytes() for k in range(3)]
+    (got,) = read_tiff(tiff([*size, (258, 3, [16] * 3), (277, 3, [3]), (284, 3, [2]), (273, 4, [8, 68, 128]), (278, 4, [3]), (279, 4, [60] * 3)], b"".join(planes), ">"))
+    assert (got.pixels == rgb).all() and got.samples == 3
+    real = np.random.default_rng(3).normal(size=(3, 10)).astype(np.float32)
+    spread = real.astype(">f4").view(np.uint8).reshape(3, 10, 4).transpose(0, 2, 1).reshape(3, 40)
+    coded = np.diff(spread, axis=1, prepend=np.zeros((3, 1), np.uint8)).tobytes()
+    (got,) = read_tiff(tiff([*size, (258, 3, [32]), (339, 3, [3]), (317, 3, [3]), (273, 4, [8]), (278, 4, [3]), (279, 4, [120])], coded))
+    assert (got.pixels[:, :, 0] == real).all()
+    with pytest.raises(TiffError):
+        list(read_tiff(tiff([*size, (258, 3, [12]), (273, 4, [8]), (279, 4, [120])], coded)))
+
+
+def test_layout_does_not_follow_length():
+    seen = {}
+    for n in (5, 400, 30_000, 400_000):
+        for k in range(60):
+            (page, *_) = read_tiff(text_to_tiff(f"{k} " + "abc de " * (n // 7))[1])
+            seen.setdefault(n, set()).add((page.compression, page.tiled))
+    assert all(v == {(8, False), (8, True), (5, False), (32773, False)} for v in seen.values())
+
+
+def test_null_and_broken_media_are_told(spark):
+    good = write_tiff([np.arange(384, dtype=np.uint8).reshape(2, 192)] * 2, 8, 2)
+    broken = write_tiff([np.arange(384, dtype=np.uint8).reshape(2, 192)] * 2, 1)[:-90]
+    media = spark.createDataFrame([(1, 9, good, 0), (2, 9, None, 0), (3, 9, b"", 0), (4, 9, broken, 0), (None, 9, good, 0), (1, 9, good, 0)], "doc_id long, n_bytes long, media binary, kept0 int")
+    out = sorted(media_digest(media).collect(), key=lambda r: (r.doc_id or 0))
+    assert [r.doc_id for r in out] == [None, 1, 1, 2, 3, 4]
+    assert [r.payload_bytes for r in out] == [768, 768, 768, None, None, None] and out[0].payload_sha256 == out[1].payload_sha256
+    assert all(r.feature.startswith("error=") for r in out[3:]) and [r.media_bytes for r in out[3:]] == [None, 0, len(broken)]
+    assert all(r.feature.startswith("pages=2;rows=4") for r in out[:3])
+
+
 def test_broken_files_raise():
     good = write_tiff([np.ones((4, 4), np.uint8)])
     loop = bytearray(good)
