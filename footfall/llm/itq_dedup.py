@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, map_groups
 from .components import connected_components, forest
+from .groups import cell_rows, group_links, pairs_within
 
 THRESHOLD = 0.95
 #: Vectors the rotation is learnt from.
@@ -26,6 +27,10 @@ BITS = 64
 TABLES = 4
 #: Every key is also entered with each choice of its so many least certain bits flipped.
 FLIPS = 3
+#: Share of pairs at the threshold that the index must find, measured on the sample; see ``choose_index``.
+RECALL = 0.985
+#: Rotations and flips in the order they are tried, by their number of keys.
+EFFORTS = ((1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (4, 4))
 #: Largest share of differing code bits of a pair that is reranked; see ``hamming_limit``.
 SLACK = 5.0
 #: Rows compared with each other at once; larger buckets and components are dealt out as pairs of blocks.
@@ -92,66 +97,92 @@ def encode(unit: np.ndarray, codes: Codes, width: int, tables: int = TABLES, fli
     return code.view(np.int64), np.stack(keys, axis=1).view(np.int64) if keys else np.zeros((len(unit), 0), np.int64)
 
 
-def units(raw: np.ndarray) -> np.ndarray:
-    """Rows to unit length, without overflow."""
-    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
-    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+@dataclass
+class Index:
+    """What codes and keys are made with: ``TABLES`` tables from each rotation."""
 
+    rotations: list[Codes]
+    width: int
+    flips: int
 
-def _vectors(raw: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code by the first rotation, keys of all tables)."""
+        made = [encode(unit, codes, self.width, TABLES, self.flips) for codes in self.rotations]
+        return made[0][0], np.concatenate([keys ^ np.int64(k * TABLES << 60 if k * TABLES < 8 else (k * TABLES << 60) - (1 << 64)) for k, (_, keys) in enumerate(made)], axis=1)
+
+
+def pairs_at(unit: np.ndarray, cosine: float, seed: int = 8) -> np.ndarray:
+    """For each unit vector another one at the given cosine, in a random direction."""
+    away = np.random.default_rng(seed).normal(size=unit.shape)
+    away -= np.einsum("ij,ij->i", away, unit)[:, None] * unit
+    return cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * away / np.maximum(1e-12, np.linalg.norm(away, axis=1, keepdims=True))
 
 
-def _pairs_above(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    left, right = [], []
-    for at in range(0, len(x), 512):
-        a, b = np.nonzero(x[at : at + 512] @ x.T >= threshold)
-        keep = a + at < b
-        left.append(a[keep] + at)
-        right.append(b[keep])
-    return np.concatenate(left), np.concatenate(right)
+def index_recall(index: Index, unit: np.ndarray, threshold: float) -> float:
+    """The share of made pairs at the threshold that share a key and stay within the code limit."""
+    (code, keys), (other, theirs) = index.encode(unit), index.encode(pairs_at(unit, threshold))
+    bits = index.rotations[0].rotation.shape[1]
+    near = np.bitwise_count(code.view(np.uint64) ^ other.view(np.uint64)) <= hamming_limit(bits, threshold)
+    return float(np.mean([n and bool(np.isin(a, b).any()) for n, a, b in zip(near, keys, theirs)])) if len(unit) else 1.0
 
 
-def blocks_of(keyed: DataFrame, key: str, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """``keyed`` with groups of one row dropped and groups over ``block`` rows dealt to pairs of blocks.
+def choose_index(learnt: np.ndarray, rows: int, threshold: float = THRESHOLD, goal: float = RECALL, trials: int = 1000) -> Index:
+    """The index of fewest keys whose recall of pairs at the threshold reaches ``goal``, measured on the sample.
 
-    Adds ``cell``: rows that share one are to be compared, and any two rows of a group share one.
+    Keys are as wide as ``rows`` ask for. As they widen, more bits are tried both ways and further rotations add tables;
+    where that is not enough they are narrowed, which costs comparisons in fuller buckets.
     """
-    sizes = scratch.keep(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    sized = keyed.join(sizes, key).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("parts")).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64(F.col(key), F.least(j, F.col("part")), F.greatest(j, F.col("part"))))
-    return sized.withColumn("cell", F.explode(mates)).drop("n", "parts", "part")
+    unit = learnt[:: max(1, len(learnt) // trials)][:trials]
+    rotations = [learn_rotation(learnt)]
+    width = key_bits(rows, rotations[0].rotation.shape[1])
+    while True:
+        for turns, flips in EFFORTS:
+            while len(rotations) < turns:
+                rotations.append(learn_rotation(learnt, seed=5 + len(rotations)))
+            index = Index(rotations[:turns], width, min(flips, width))
+            if width == 1 or index_recall(index, unit, threshold) >= goal:
+                return index
+        width = max(1, width - 2)
+
+
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows to unit length, without overflow."""
+    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _vectors(raw: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
 def near_links(vectors: DataFrame, keys: DataFrame, scratch: Scratch, threshold: float, limit: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) whose closure is that of all retrieved pairs at or over the threshold.
 
-    ``keys(vec_id, code, key)`` meet in buckets; only rows with a mate within ``limit`` code bits fetch
-    their vectors, which are compared within the bucket; each bucket emits a spanning forest.
+    ``keys(vec_id, code, key)`` meet in buckets, hot ones as ``groups.group_links`` deals them; only rows with a mate
+    within ``limit`` code bits fetch their vectors, which are compared within the bucket; each bucket emits a spanning forest.
     """
-    cells = blocks_of(keys, "key", scratch, block).select("cell", "vec_id", "code")
 
     def mates(group: pd.DataFrame) -> pd.DataFrame | None:
+        group = cell_rows(group, "vec_id")
         if len(group) < 2:
             return None
         code = group["code"].to_numpy().view(np.uint64)
-        near = np.zeros(len(code), bool)
-        for at in range(0, len(code), 512):
-            close = np.bitwise_count(code[at : at + 512, None] ^ code[None, :]) <= limit
-            near[at : at + 512] = close.sum(axis=1) > 1
-        return group.loc[near, ["cell", "vec_id"]] if near.any() else None
-
-    wanted = map_groups(cells, "cell", mates, "cell long, vec_id long").dropDuplicates(["cell", "vec_id"])
+        pairs = pairs_within(len(code), group["asks"].to_numpy(), lambda rows: np.bitwise_count(code[rows, None] ^ code[None, :]) <= limit)
+        near = np.unique(np.concatenate(pairs))
+        return group.iloc[near][["cell", "vec_id", "asks"]] if len(near) else None
 
     def links(group: pd.DataFrame) -> pd.DataFrame | None:
-        group = group.sort_values("vec_id", kind="stable")
-        ids = group["vec_id"].to_numpy()
-        label = forest(len(ids), *_pairs_above(_vectors(group["unit"]), threshold))
-        tied = (label != np.arange(len(ids))) & (ids != ids[label])
+        group = cell_rows(group, "vec_id")
+        ids, x = group["vec_id"].to_numpy(), _vectors(group["unit"])
+        label = forest(len(ids), *pairs_within(len(ids), group["asks"].to_numpy(), lambda rows: x[rows] @ x.T >= threshold))
+        tied = label != np.arange(len(ids))
         return pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]}) if tied.any() else None
 
-    return map_groups(wanted.join(vectors, "vec_id").select("cell", "vec_id", "unit"), "cell", links, "a long, b long").distinct()
+    def find(cells: DataFrame) -> DataFrame:
+        wanted = map_groups(cells.select("cell", "vec_id", "code", "asks"), "cell", mates, "cell long, vec_id long, asks boolean")
+        return map_groups(wanted.join(vectors, "vec_id").select("cell", "vec_id", "unit", "asks"), "cell", links, "a long, b long").distinct()
+
+    return group_links(keys.select("key", "vec_id", "code"), "key", "vec_id", find, scratch, block)
 
 
 def count_links(vectors: DataFrame, parts: DataFrame, scratch: Scratch, threshold: float, dims: int, block: int = BLOCK) -> DataFrame:
@@ -219,7 +250,7 @@ def count_links(vectors: DataFrame, parts: DataFrame, scratch: Scratch, threshol
     return out.unionByName(sure.unionByName(met).groupBy("vec_id").agg(F.sum("n_links").alias("n_links")))
 
 
-def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, tables: int = TABLES, flips: int = FLIPS, block: int = BLOCK) -> DataFrame:
+def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """One row per row of the table: (vec_id, n_links, component_id, kept).
 
     Vectors link at a cosine of ``threshold`` or more, compared in double precision. The index is learnt on
@@ -227,6 +258,9 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     a zero one, one with a null or non-finite entry, or of another length than most of the sample links
     with nothing. Every usable row counts as a vector of its own, also rows that repeat an id (all its rows
     then carry what their own vector finds); a null id is returned unlinked; an empty table gives no rows; other columns are ignored.
+
+    The index finds at least the share ``RECALL`` of the pairs at the threshold, as measured on the sample, and more of closer ones;
+    with ``exact`` all vectors are one bucket, so every link is found, at a cost that grows with the square of what links with nothing.
     """
     spark, scratch = table.sparkSession, Scratch(table.sparkSession)
     named = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
@@ -256,24 +290,24 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     else:
         copies = copies.withColumn("node", F.col("rep"))
     vectors = copies.select(F.col("node").alias("vec_id"), "unit", "copies")
-    share = min(1.0, 2 * sample / max(1, rows))
+    different = vectors.count()
+    share = min(1.0, 2 * sample / max(1, different))
     drawn = vectors.withColumn("draw", F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(31)), 24)).filter(F.col("draw") <= int(share * (1 << 40))).orderBy("draw", "vec_id").limit(sample)
     learnt = _vectors(pd.Series([bytes(r.unit) for r in drawn.select("unit").collect()] or [np.zeros(dims).tobytes()]))
-    codes = learn_rotation(learnt)
-    bits = codes.rotation.shape[1]
-    width = key_bits(rows, bits)
+    index = choose_index(learnt, different, threshold)
+    bits = index.rotations[0].rotation.shape[1]
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 unit = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(batch.num_rows, -1)
-                code, keys = encode(unit, codes, width, tables, flips)
+                code, keys = index.encode(unit)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(code), flat], names=["vec_id", "code", "keys"])
 
     entered = vectors.select("vec_id", "unit").mapInArrow(enter, "vec_id long, code long, keys array<long>")
-    keys = scratch.keep(entered.select("vec_id", "code", F.explode("keys").alias("key")))
-    links = near_links(vectors.select("vec_id", "unit"), keys, scratch, threshold, hamming_limit(bits, threshold), block)
+    keys = scratch.keep(entered.select("vec_id", "code", F.lit(0).cast("long").alias("key") if exact else F.explode("keys").alias("key")))
+    links = near_links(vectors.select("vec_id", "unit"), keys, scratch, threshold, 64 if exact else hamming_limit(bits, threshold), block)
     parts = scratch.keep(connected_components(links, scratch))
     counted = vectors.select("vec_id", "copies").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
     counted = scratch.keep(counted)

@@ -1,7 +1,8 @@
 import duckdb
 import numpy as np
+import pytest
 
-from footfall.llm.itq_dedup import embedding_dedup, encode, learn_rotation, oracle
+from footfall.llm.itq_dedup import choose_index, embedding_dedup, encode, index_recall, learn_rotation, oracle, pairs_at
 
 from .test_simhash import classes
 
@@ -48,6 +49,26 @@ def test_links_match_all_pairs_also_in_small_blocks(spark):
         assert all(out[i].kept == (label[i] == i) for i in out)
 
 
+@pytest.mark.parametrize("dims", [32, 64, 128])
+@pytest.mark.parametrize("rows", [10**4, 10**7, 10**10])
+def test_recall_holds_as_keys_widen(dims, rows):
+    x = unit(np.random.default_rng(dims).normal(size=(2000, dims)))
+    index = choose_index(x, rows)
+    assert index.width >= min(0.7 * np.log2(rows), dims) and index_recall(index, x[1::2], 0.951) >= 0.975
+    code, keys = index.encode(x[:50])
+    assert keys.shape == (50, len(index.rotations) * 4 << index.flips) and all(len(set(k)) == len(k) for k in keys.tolist())
+    assert np.allclose(np.einsum("ij,ij->i", x, pairs_at(x, 0.951)), 0.951)
+
+
+def test_exact_mode_finds_all_also_in_one_hot_bucket(spark):
+    x = cloud(seed=3, dims=8)
+    links, label = want(x)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for block in (2048, 24):
+        out = {r.vec_id: r for r in embedding_dedup(table, block=block, exact=True).collect()}
+        assert {i: (r.n_links, r.component_id) for i, r in out.items()} == {i: (int(n), label[i]) for i, n in enumerate(links)}
+
+
 def test_bad_vectors_copies_and_repeats(spark):
     v, w = [1.0, 2.0, 3.0, 0.5], [-3.0, 1.0, 0.2, 9.0]
     rows = [
