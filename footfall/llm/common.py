@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,15 +32,33 @@ def scratch_base(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; survives lost executors."""
+    """Tables written to the shared folder to cut lineage; survives lost executors.
+
+    All tables of an application lie in one folder, which goes when the driver ends; ``since`` frees them earlier.
+    """
+
+    _written = threading.local()
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = scratch_base(spark)
+        self.base = f"{scratch_base(spark)}/footfall-{spark.sparkContext.applicationId}"
+        where, files = self._at(self.base)
+        files.deleteOnExit(where)
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    @classmethod
+    def _paths(cls) -> list[str]:
+        if not hasattr(cls._written, "paths"):
+            cls._written.paths = []
+        return cls._written.paths
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.base}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._paths().append(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -50,9 +69,18 @@ class Scratch:
         return self.keep(df.withColumn(name, F.monotonically_increasing_id()))
 
     def drop(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = self._at(path)
+        files.delete(where, True)
+        if path in self._paths():
+            self._paths().remove(path)
+
+    def mark(self) -> int:
+        """How many tables this thread has written, for ``since``."""
+        return len(self._paths())
+
+    def since(self, mark: int) -> list[str]:
+        """The tables that this thread has written after ``mark`` and not dropped."""
+        return self._paths()[mark:]
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -19,6 +19,9 @@ from .common import Scratch, document_fold, map_texts
 #: Bounds of the fit: documents and words of each language.
 SAMPLE_DOCS = 2000
 VOCABULARY = 20_000
+#: At most so many languages are learnt, the commonest, and so many numbers of words by pairs of languages.
+LANGUAGES = 64
+MODEL_NUMBERS = 4_000_000
 FOLDS, HELD_OUT = 4, 2
 LONGEST = 5
 CACHE_WORDS = 300_000
@@ -89,21 +92,24 @@ def build_model(counts: dict[str, dict[str, int]], documents: dict[str, int]) ->
     return LanguageModel(languages, _log_rows(counts, languages), tables, np.log(share / share.sum()) if len(share) else share)
 
 
-def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> LanguageModel:
+def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, languages: int = LANGUAGES) -> LanguageModel:
     """Fit on rows with a language and crc32(doc_id) % 4 other than 2: about ``sample`` documents a language.
 
-    Documents are drawn by their ids' hash; the commonest ``vocabulary`` words of each language are kept.
+    Documents are drawn by their ids' hash; the commonest ``vocabulary`` words of each language are kept, fewer beyond 14
+    languages so that the model stays within ``MODEL_NUMBERS``. Of more than ``languages`` values of lang the commonest are
+    learnt (ties: first by name). Null texts and languages are passed over; a null id learns like any outside the fold and its rows are drawn
+    together; repeated rows count each; an empty table gives a model without languages; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     learn = named.filter(document_fold(F.col("doc_id"), FOLDS) != HELD_OUT).filter("lang is not null and text is not null")
-    totals = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    totals = {r.lang: r.n for r in common.collect()}
     if not totals:
         return build_model({}, {})
-    share = F.lit(0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, sample / n) * (1 << 40)))).otherwise(share)
-    drawn = learn.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 24) <= share).select("lang", "text")
+    vocabulary = min(vocabulary, max(1, MODEL_NUMBERS // len(totals) ** 2))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int(min(1.0, sample / n) * (1 << 40)))]), F.col("lang"))
+    drawn = learn.filter(F.col("lang").isin(list(totals))).filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 24) <= share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)

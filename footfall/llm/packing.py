@@ -62,8 +62,19 @@ class _Words(dict):
         return made
 
 
+#: Texts that show whether a tokenizer works word by word, and spells words as ``_Words`` does.
+PROBES = (
+    "Plain words, and MORE of them.", " a  b\tc\nd\r\n\x0be\x0cf ", "Straße ÀÉÎÕÜ ñandú façade Œuvre İstanbul", "x1y 12,5% a_b don't (f)[g] q.e.d. ... -- ,.",
+    "漢字 かな 한글 मन 😀👍🏽 e\u0301 \xa0 \u3000", "a\x1cb\x1fc d", "Über, naïve. ÿ, ß.", "<|endoftext|> </s> [UNK] ##a ▁b",
+)
+
+
 class WordTokens:
-    """Ids of whole texts by a tokenizer that never joins across white space, word by word with a cache."""
+    """Ids of whole texts, word by word with a cache where the tokenizer allows it.
+
+    It does if it never joins across white space and spells words as ``_Words`` does, which ``PROBES`` and their words show when it
+    is loaded; any other tokenizer is given whole texts.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,6 +83,15 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = cache_words
         self.known = _Words(self.tokenizer)
+        self.by_word = True
+        try:
+            self.by_word = all(self.encode(t).tolist() == self._whole(t).tolist() for p in PROBES for t in (p, *p.split()))
+        except Exception:  # noqa: BLE001 - a model that cannot tokenize a bare word is one that is given whole texts
+            self.by_word = False
+        self.known = _Words(self.tokenizer)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -80,6 +100,8 @@ class WordTokens:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text (null: none), without an end mark."""
+        if not self.by_word:
+            return self._whole(text or "")
         if len(self.known) > self.limit:
             fresh = _Words(self.tokenizer)
             fresh.older = dict(self.known)

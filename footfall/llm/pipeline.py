@@ -75,9 +75,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    A stage's input and what it wrote on the way are deleted once its result is written.
+    """
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = scratch.mark()
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        docs, kept = scratch.write(stage(spark, docs, sf_dir))
+        for path in [p for p in scratch.since(begun) if p != kept]:
+            scratch.drop(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -180,7 +180,9 @@ def word_vectors(sample: DataFrame, vocabulary: int, dimensions: int) -> tuple[d
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS) -> QualityModel:
     """Fit on labelled rows with crc32(doc_id) % 5 > 0; only texts are inputs.
 
-    Without both labels among them the model gives the share of label 1 (0.5 if there are none).
+    Without both labels among them the model gives the share of label 1 (0.5 if there are none). Labels other than 0 and 1
+    and null ids are passed over, of several labels of one id the least counts, rows that repeat an id are learnt each,
+    null and empty texts are texts without words, empty tables are allowed; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     chosen = labelled_sample(docs, labels, scratch, sample)

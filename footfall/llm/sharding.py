@@ -69,11 +69,13 @@ def minimax_starts(cells: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, cell_hex: int = CELL_HEX, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """One row per document: (doc_id, size, text_crc32, shard, slot); the largest shard is as small as can be.
+    """One row per document: (doc_id, size, text_crc32, shard, slot); the largest shard is as small as can be over the cells.
 
+    The atoms that shards are cut from are cells of the text's hash (``cell_hex`` digits of it), not single texts: a cell holds every row of a
+    text and of the texts that share its digits, so a cut is off the best one of single texts by less than a cell.
     size is the text's UTF-8 bytes plus 1 (null text: 1, with the crc of no bytes). Rows of equal text stay
-    together, null with empty. slot numbers a shard's rows from 0 without gaps. Repeated rows are placed
-    each; texts of any length count whole; with few rows some shards stay empty; an empty table gives no
+    together, null with empty. slot numbers a shard's rows from 0 without gaps, by windows of the ids' hash; windows that
+    null or repeated ids overfill are dealt again by a number of each row. Repeated rows are placed each; texts of any length count whole; with few rows some shards stay empty; an empty table gives no
     rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
@@ -85,6 +87,7 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.conv(F.substring(F.md5(text), 1, cell_hex), 16, 10).cast("int").alias("at"),
+            F.monotonically_increasing_id().alias("nth"),
         )
     )
     cells = scratch.keep(narrow.groupBy("at").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
@@ -97,8 +100,13 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = scratch.keep(windows)
     dealt = cuts(narrow).withColumn("windows", windows.select("windows").scalar())
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.element_at("windows", F.col("shard")))).drop("windows", "at")
-    parts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = scratch.keep(parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    return dealt.join(parts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.row_number().over(within) - 1).alias("slot"))
+    dealt = dealt.withColumn("deal", F.lit(0).cast("long"))
+    parts = scratch.keep(dealt.groupBy("shard", "part", "deal").agg(F.count(F.lit(1)).alias("n")))
+    full = parts.filter(F.col("n") > 4 * slot_rows).select("shard", "part", F.ceil(F.col("n") / slot_rows).alias("deals"))
+    if not full.isEmpty():
+        dealt = dealt.join(full, ["shard", "part"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("nth"), F.col("deals")), F.lit(0))).drop("deals")
+        parts = dealt.groupBy("shard", "part", "deal").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    parts = scratch.keep(parts.select("shard", "part", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    within = Window.partitionBy("shard", "part", "deal").orderBy("doc_id", "text_crc32", "size", "nth")
+    return dealt.join(parts, ["shard", "part", "deal"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.row_number().over(within) - 1).alias("slot"))

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -115,3 +118,81 @@ def test_quality_cases(spark):
     assert {r.score for r in score_quality(odd, fit_quality(docs, labels.limit(0))).collect()} == {0.5}
     assert {r.score for r in score_quality(odd, fit_quality(docs, labels.filter("quality = 1"))).collect()} == {1.0}
     assert SAMPLE_DOCS == 6000
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_language_scores_against_a_plain_version(spark):
+    """Every document of the smallest table, scored word by word with dictionaries."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_languages(docs)
+    learnt = [r for r in docs.collect() if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    counts = {}
+    for r in learnt:
+        for w in re.findall(r"[^\W\d_]+", r.text.lower()):
+            counts.setdefault(r.lang, Counter())[w] += 1
+    langs = sorted({r.lang for r in learnt})
+    top = {x: {w: n for n, w in sorted(((n, w) for w, n in counts[x].items()), key=lambda p: (-p[0], p[1]))[:20_000]} for x in langs}
+    marked = lambda w, n: w if n == 1 else f"^{w}$"
+    pieces = lambda w, n: [marked(w, n)[i : i + n] for i in range(len(marked(w, n)) - n + 1)]
+
+    def rows(held):
+        items = {i for x in langs for i in held[x]}
+        totals = {x: sum(held[x].values()) for x in langs}
+        out = {}
+        for i in items:
+            row = [math.log((held[x].get(i, 0) + 0.5) / (totals[x] + 0.5 * len(items))) for x in langs]
+            out[i] = [v - sum(row) / len(row) for v in row]
+        return out
+
+    word_rows = rows(top)
+    assert set(model.words) == set(word_rows)
+    assert all(np.allclose(model.words[w], word_rows[w]) for w in list(word_rows)[:500])
+    prior = [math.log(sum(r.lang == x for r in learnt) / len(learnt)) for x in langs]
+    out = {r.doc_id: r for r in predict_languages(docs, model).collect()}
+    for r in docs.collect():
+        total = list(prior)
+        for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()):
+            row = word_rows.get(w)
+            n = 5
+            while row is None and n:
+                held = [model.grams[n][g] for g in pieces(w, n) if g in model.grams[n]]
+                row = [sum(c) / len(held) for c in zip(*held)] if held else None
+                n -= 1
+            total = [a + b for a, b in zip(total, row or [0] * len(langs))]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        share = 1 / sum(math.exp(max(-700, v - total[best])) for v in total)
+        assert out[r.doc_id].lang_pred == langs[best] and abs(out[r.doc_id].score - share) < 1e-6
+    pred = [(out[r.doc_id].lang_pred, r.lang) for r in docs.collect() if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert sum(a == b for a, b in pred) >= 0.95 * len(pred)
+
+
+def test_many_languages_are_bounded(spark):
+    rows = [(i, f"word{i % 90} other{i % 90}", f"l{i % 90:02d}") for i in range(900)] + [(1000 + i, "common words", "aa") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_languages(docs, languages=20)
+    assert len(model.languages) == 20 and "aa" in model.languages
+    assert {r.lang_pred for r in predict_languages(docs, model).collect()} <= set(model.languages)
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    """Every document of the smallest table, with its features and layers worked out term by term."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    w1, b1, w2, b2 = model.layers
+    out = {r.doc_id: r.score for r in score_quality(docs, model).collect()}
+    assert len(out) == docs.count()
+    for r in docs.collect():
+        words = re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", (r.text or "").lower())
+        size = len(model.words)
+        ids = [model.words.get(w, size + zlib.crc32(w.encode()) % 4096) for w in words]
+        vectors = [model.vectors[i].astype(float) for i in ids]
+        zero = np.zeros(model.vectors.shape[1])
+        n = max(1, len(ids))
+        mean, square = sum(vectors, zero) / n, sum((v * v for v in vectors), zero) / n
+        beside = sum((a * b for a, b in zip(vectors, vectors[1:])), zero) / n
+        x = np.concatenate([mean, square, beside, [sum(i >= size for i in ids) / n]])
+        hidden = [max(0.0, sum(float(a) * float(b) for a, b in zip((x - model.shift) / model.scale, w1[:, k])) + float(b1[k])) for k in range(len(b1))]
+        logit = (sum(h * float(w) for h, w in zip(hidden, w2)) + b2) / model.temperature
+        assert abs(out[r.doc_id] - 1 / (1 + math.exp(-min(60, max(-60, logit))))) < 1e-3

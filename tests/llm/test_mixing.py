@@ -81,3 +81,16 @@ def test_apply_repeats_and_drops(spark):
     assert out.columns == docs.columns
     counts = {s: out.filter(f"source = '{s}'").count() for s in ("src0", "src1")}
     assert counts == {"src0": 15, "src1": 5}
+
+
+def test_weight_zero_takes_nothing(spark):
+    rows = [(i, "w " * (1 + i % 5), "en", f"src{i % 8}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mix_sources(docs, Mix(domain={"domain0": 0, "domain1": 3}, share=(1, 2), max_epochs=1)).collect()
+    taken = {}
+    for r in out:
+        taken[r.domain] = taken.get(r.domain, 0) + r.tokens_taken
+    total = sum(r.n_tokens for r in out)
+    assert taken["domain0"] == 0 and sum(taken.values()) == total // 2
+    everything = mix_sources(docs, Mix(domain={"domain0": 0}, share=(1, 1), max_epochs=1)).collect()
+    assert sum(r.tokens_taken for r in everything) == sum(r.n_tokens for r in everything if r.domain != "domain0")

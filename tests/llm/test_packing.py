@@ -67,3 +67,52 @@ def test_documents(spark):
             end += n
         assert end <= 2048
     assert pack_documents(docs.limit(0)).collect() == []
+
+
+def plain_pack(lengths, sequence):
+    """The rule in plain words: rests by cost descending, each to the cheapest sequence with room, else cut over the cheapest open ones."""
+    cost = lambda n: n + n * n / 2048
+    made, used = [], 0
+    for doc, n in enumerate(lengths):
+        for at in range(0, n - n % sequence, sequence):
+            made.append((doc, at, sequence, used, 0))
+            used += 1
+    rests = sorted(((n % sequence, doc) for doc, n in enumerate(lengths) if n % sequence), key=lambda r: (-cost(r[0]), r[1]))
+    held = [[] for _ in range(-(-sum(n for n, _ in rests) // sequence))]
+    for n, doc in rests:
+        at = lengths[doc] - n
+        while n:
+            room = [sequence - sum(h) for h in held]
+            able = [k for k, r in enumerate(room) if r >= n] or [k for k, r in enumerate(room) if r]
+            to = min(able, key=lambda k: (sum(map(cost, held[k])), k))
+            took = min(n, room[to])
+            made.append((doc, at, took, used + to, sum(held[to])))
+            held[to].append(took)
+            at, n = at + took, n - took
+    return made
+
+
+def test_pack_follows_the_cost_rule():
+    rng = random.Random(8)
+    for _ in range(60):
+        sequence = rng.choice((16, 64, 2048))
+        lengths = [rng.choice((rng.randrange(1, 12), rng.randrange(1, 3 * sequence))) for _ in range(rng.randrange(1, 80))]
+        assert pack(lengths, sequence) == plain_pack(lengths, sequence)
+
+
+def test_other_tokenizers_are_not_taken_for_the_known_one(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    known = WordTokens(default_tokenizer())
+    assert known.by_word
+    vocab = {c: i for i, c in enumerate(map(chr, range(32, 127)))} | {"[UNK]": 200, "a b": 201}
+    loose = Tokenizer(models.BPE(vocab, [], unk_token="[UNK]"))
+    upper = Tokenizer(models.WordLevel({"Plain": 5, "plain": 6, "[UNK]": 0}, unk_token="[UNK]"))
+    upper.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased = Tokenizer.from_file(default_tokenizer())
+    cased.normalizer = normalizers.NFC()
+    for k, tokenizer in enumerate((loose, upper, cased)):
+        tokenizer.save(f"{tmp_path}/{k}.json")
+        words = WordTokens(f"{tmp_path}/{k}.json")
+        for text in ("Plain words a b", "ÀB plain Plain", " a  b ", "", ODD):
+            assert words.encode(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, (k, text)

@@ -112,3 +112,55 @@ def test_runs_against_plain_search(spark):
         found = [max(k) for p in asked if (k := [t for t in range(turn) if p in runs[t]])]
         assert (made[turn].n_quotes, made[turn].n_linked) == (len(asked), len(found))
         assert made[turn].parent_turn == (max(found) if found else turn - 1 if turn else None)
+
+
+def nested(seed, conversations, turns):
+    """Conversations whose messages quote earlier ones in full, by paragraph or by line, quotes of quotes included."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for conv in range(conversations):
+        said: list[str] = []
+        for turn in range(rng.randrange(1, turns)):
+            own = ["\n".join(" ".join(rng.choices(words, k=rng.randrange(1, 14))) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 3))]
+            quoted = []
+            for _ in range(rng.randrange(0, 3) if said else 0):
+                body = split_quotes(rng.choice(said))[0]
+                part = rng.choice([body, rng.choice(body.split("\n\n")), rng.choice(body.split("\n"))])
+                mark = rng.choice(["> ", "> > ", ">>", ">>> "])
+                quoted += [f"{mark}{x}".rstrip() if rng.random() < 0.5 else f"{mark}{x.upper()}" for x in part.split("\n")] + ["", own.pop() if len(own) > 1 else ""]
+            said.append("\n".join([*quoted, "\n\n".join(own)]))
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), said[-1]))
+    return rows
+
+
+def test_sql_equivalent_over_many_nested_quotes(spark):
+    rows = nested(7, 150, 20)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    made = link_quotes(table)
+    columns = ", ".join(made.columns)
+    got = sorted(map(tuple, made.collect()), key=repr)
+    want = sorted(con.sql(f"SELECT {columns} FROM ({oracle()})").fetchall(), key=repr)
+    # a quote of the SQL's shapes is one of the operator's; its other runs may only add links
+    linked = made.columns.index("n_linked")
+    assert len(got) == len(rows) and sum(r[linked] for r in want) > 500
+    same = sum(a == b for a, b in zip(got, want))
+    assert same >= 0.97 * len(rows) and sum(r[linked] for r in got) >= sum(r[linked] for r in want)
+
+
+def test_every_nested_quote_against_plain_search(spark):
+    rows = nested(11, 40, 15)
+    made = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    runs = {}
+    for conv, turn, _, text in rows:
+        own = split_quotes(text)[0].split("\n")
+        runs[conv, turn] = {normalised(" ".join(own[a:b])) for a in range(len(own)) for b in range(a + 1, len(own) + 1)}
+    for conv, turn, _, text in rows:
+        asked = [(level, p) for level, q in split_quotes(text)[1] if (p := normalised(q))]
+        found = [(level, max(k)) for level, p in asked if (k := [t for t in range(turn) if p in runs[conv, t]])]
+        best = max((t for level, t in found if level == min(x for x, _ in found)), default=turn - 1 if turn else None)
+        r = made[conv, turn]
+        assert (r.n_quotes, r.n_linked, r.parent_turn, r.body) == (len(asked), len(found), best, split_quotes(text)[0])

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 
@@ -94,3 +95,43 @@ def test_whole_operator(spark):
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefghijkl b", 5), (2, None, 6), (3, "", 7), (4, "token: 0123456789abcdef0123", 8)], "doc_id long, text string, n long")
     assert [tuple(r) for r in redact_secrets(docs).orderBy("doc_id").collect()] == [(1, "a [ASSIGN] b", 5), (2, None, 6), (3, "", 7), (4, "[ASSIGN]", 8)]
+
+
+def plain_checked(text):
+    """Formats with a checksum by plain patterns, each match proved by code of its own."""
+    out = []
+    for m in re.finditer(r"(?:gh[pousr]|npm)_[0-9A-Za-z]{36}(?![0-9A-Za-z])", text):
+        if crc62(m[0][:4], m[0][4:34]) == m[0]:
+            out.append((m.start(), "npm" if m[0][0] == "n" else "github", m.end()))
+    for m in re.finditer(f"xprv[{_BASE58}]{{107}}(?![0-9A-Za-z])", text):
+        raw = sum(_BASE58.index(c) * 58**k for k, c in enumerate(reversed(m[0]))).to_bytes(83, "big").lstrip(b"\0")
+        if len(raw) <= 82 and hashlib.sha256(hashlib.sha256(raw.rjust(82, b"\0")[:78]).digest()).digest()[:4] == raw[-4:]:
+            out.append((m.start(), "bip32", m.end()))
+    return out
+
+
+def test_many_generated_secrets_against_plain_code(spark):
+    rng = random.Random(12)
+    letters = _BASE62
+    kinds = [
+        lambda: crc62(rng.choice(["ghp_", "gho_", "ghu_", "ghs_", "ghr_"]), "".join(rng.choices(letters, k=30))),
+        lambda: crc62("npm_", "".join(rng.choices(letters, k=30))),
+        lambda: rng.choice(["ghp_", "npm_"]) + "".join(rng.choices(letters, k=36)),
+        xprv,
+        lambda: xprv()[:-2] + "".join(rng.choices(_BASE58, k=2)),
+        lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randrange(8, 24))),
+        lambda: "".join(rng.choices("0123456789abcdef", k=rng.randrange(10, 40))),
+        lambda: rng.choice(["password", "Secret", "API_KEY", "apikey", "token"]) + rng.choice(["=", ": ", '" : "']) + "".join(rng.choices(letters, k=rng.randrange(8, 20))),
+        lambda: "".join(rng.choices("lorem ipsum dolor é 漢 😀 ", k=rng.randrange(5, 60))),
+    ]
+    texts = ["".join(rng.choice(kinds)() + rng.choice([" ", "\n", ".", "", "ſ "]) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets_digest(docs).collect()}
+    total = 0
+    for i, text in enumerate(texts):
+        base = [(int(a), k, int(b)) for k, a, b in (s.split(":") for s in base_spans(text).split(",") if s)]
+        spans = sorted(base + plain_checked(text), key=lambda s: (s[0], KINDS.index(s[1])))
+        assert out[i].spans == ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
+        assert out[i].n_checked == len(spans) - len(base) and out[i].n_access == sum(k == "access" for _, k, _ in base)
+        total += out[i].n_checked
+    assert total > 3000 and sum(r.n_access for r in out.values()) > 500

@@ -58,3 +58,13 @@ def test_hot_text_does_not_starve_other_shards(spark):
     out = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").sum("size").collect()
     loads = sorted(r[1] for r in out)
     assert len(loads) == 16 and loads[-1] == 300 * 27 and loads[-2] < 1.1 * sum(loads[:-1]) / 15
+
+
+def test_one_id_does_not_fill_a_window(spark):
+    """Null ids and one id of a third of all rows: the numbering stays gapless and its windows small."""
+    rows = [(None, f"t{i % 50}") for i in range(400)] + [(7, f"t{i % 3}") for i in range(400)] + [(100 + i, f"u{i}") for i in range(400)]
+    out = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), slot_rows=20).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 1200 and all(sorted(s) == list(range(len(s))) for s in slots.values())
