@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
 from functools import cached_property
+from typing import ClassVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,25 +25,96 @@ class VisitorNotFound(LookupError):
     pass
 
 
+class ReplayRunning(RuntimeError):
+    """A replay of the same source is still under way."""
+
+
+@dataclass
+class ReplayResult:
+    """What a replay took in; ``progress`` can be read while it runs."""
+
+    source: str
+    total: int = 0
+    accepted: int = 0
+    duplicates: int = 0
+    rejected: int = 0
+    elapsed_sec: float = 0.0
+    running: bool = True
+    begun: float = field(default_factory=time.monotonic, repr=False)
+
+    def done(self, counts: dict[str, int]) -> ReplayResult:
+        self.accepted, self.duplicates, self.rejected = counts["accepted"], counts["duplicate"], counts["rejected"]
+        self.total, self.running = sum(counts.values()), False
+        self.elapsed_sec = round(time.monotonic() - self.begun, 3)
+        return self
+
+    def progress(self) -> dict:
+        replayed = self.accepted + self.duplicates + self.rejected
+        return {"is_replaying": self.running, "replayed": replayed, "total": self.total, "pct": round(100 * replayed / max(1, self.total), 1)}
+
+    def to_dict(self) -> dict:
+        return {k: getattr(self, k) for k in ("source", "total", "accepted", "duplicates", "rejected", "elapsed_sec")}
+
+
 class StoreAnalytics:
     """Answers are lazy DataFrames; ``as_of_us`` stands for the clock, so that answers can be repeated.
 
-    Sessions are worked out once per object and kept in memory or on disk as far as they are used.
+    Sessions are worked out once per object and kept in memory or on disk as far as they are used, until ``close``.
     """
 
-    def __init__(self, events: DataFrame, pos: DataFrame, as_of_us: int):
-        self.events, self.pos, self.as_of_us = events, pos, as_of_us
+    _replays: ClassVar[dict[str, ReplayResult]] = {}
+
+    def __init__(self, events: DataFrame, pos: DataFrame, as_of_us: int, replayed: ReplayResult | None = None):
+        self.events, self.pos, self.as_of_us, self.replayed = events, pos, as_of_us, replayed
+
+    def __enter__(self) -> StoreAnalytics:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Gives back what the sessions hold."""
+        if "sessions" in self.__dict__:
+            self.__dict__.pop("sessions").unpersist()
 
     @classmethod
     def replay(cls, spark: SparkSession, path: str, pos: DataFrame, as_of_us: int, store_id: str | None = None) -> StoreAnalytics:
-        """A fresh state out of a JSONL log, sorted by time."""
-        events, _ = readers.replay_file(spark, path, as_of_us, store_id)
-        return cls(events, pos, as_of_us)
+        """A fresh state out of a JSONL log, sorted by time; ``replayed`` tells how many lines were taken.
+
+        A path without files raises FileNotFoundError, one that is being replayed ReplayRunning.
+        """
+        running = cls._replays.get(path)
+        if running is not None and running.running:
+            raise ReplayRunning(path)
+        result = cls._replays[path] = ReplayResult(path)
+        try:
+            events, checked = readers.replay_file(spark, path, as_of_us, store_id)
+            result.done(ingest.summary(checked).first().asDict())
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                raise FileNotFoundError(path) from e
+            raise
+        finally:
+            result.running = False
+        return cls(events, pos, as_of_us, result)
+
+    @classmethod
+    def progress(cls, path: str) -> dict:
+        """How far the replay of a path is."""
+        found = cls._replays.get(path)
+        return found.progress() if found else {"is_replaying": False, "replayed": 0, "total": 0, "pct": 0.0}
 
     def ingest(self, raw: DataFrame) -> tuple[StoreAnalytics, DataFrame, DataFrame]:
-        """(state with the batch, rejected, summary) for ``raw(arrival_seq, value)`` of 1 to 500 lines."""
+        """(state with the batch, rejected, summary) for ``raw(arrival_seq, value)`` of 1 to 500 lines.
+
+        The batch arrives after all that is stored, whatever its own numbers begin with.
+        """
         accepted, rejected, summary = ingest.ingest(raw, self.as_of_us, self.events)
-        return StoreAnalytics(self.events.unionByName(accepted.select(*self.events.columns)), self.pos, self.as_of_us), rejected, summary
+        last = self.events.agg(F.coalesce(F.max("arrival_seq") + 1, F.lit(0)).alias("n")).first().n
+        least = raw.agg(F.coalesce(F.min("arrival_seq"), F.lit(0)).alias("n")).first().n
+        placed = accepted.withColumn("arrival_seq", F.col("arrival_seq") + F.lit(last - least).cast("long"))
+        return StoreAnalytics(self.events.unionByName(placed.select(*self.events.columns)), self.pos, self.as_of_us), rejected, summary
 
     @cached_property
     def numbered(self) -> DataFrame:
@@ -83,7 +158,22 @@ class StoreAnalytics:
         return audit.audit_timeline(own).orderBy("arrival_seq", "sub_seq")
 
     def calibration(self, store_id: str | None = None) -> DataFrame:
-        return self._of(calibration.store_thresholds(self.events), store_id)
+        """Thresholds of one store, defaults if nothing was seen of it, or of all known stores."""
+        return calibration.store_thresholds(self.events) if store_id is None else calibration.profile_of(self.events, store_id)
+
+    def get_threshold(self, store_id: str, parameter: str) -> float:
+        """One threshold of a store, its default as long as too little was seen; .5 for a parameter nobody knows."""
+        if parameter not in calibration.PARAMETERS:
+            return calibration.UNKNOWN_PARAMETER
+        profile = self.calibration(store_id)
+        return float(profile.first()[parameter] if parameter in profile.columns else calibration.PARAMETERS[parameter][0])
+
+    def all_profiles(self) -> DataFrame:
+        return self.calibration()
+
+    def calibrate_all(self) -> DataFrame:
+        """(store_id, parameter, before, after) of every threshold that left its default."""
+        return calibration.changes(self.calibration())
 
     def camera_trust(self, store_id: str | None = None) -> DataFrame:
         return self._of(calibration.camera_trust(self.events), store_id)

@@ -72,6 +72,17 @@ def warning_records(events: DataFrame) -> DataFrame:
     )
 
 
+def identity_records(decisions: DataFrame) -> DataFrame:
+    """``decisions(visitor_id, store_id, arrival_seq, decision, confidence, explanation, source)`` as records of the timeline, after an event's own.
+
+    decision is a word such as REUSED, NEW or STAFF_CLASSIFIED; a null source is the sessionizer.
+    """
+    return decisions.select(
+        "visitor_id", "store_id", F.col("arrival_seq").cast("long").alias("arrival_seq"), F.lit(20).alias("sub_seq"), F.lit("IDENTITY").alias("category"), F.col("decision").alias("event_type"),
+        F.col("confidence").cast("double").alias("confidence"), F.coalesce("source", F.lit("Sessionizer")).alias("source"), F.col("explanation").alias("reason"),
+    )
+
+
 def audit_timeline(events: DataFrame) -> DataFrame:
     """All records by (visitor, event, place in the event)."""
     return event_records(events).drop("ts_us", "session_no").unionByName(warning_records(events))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import ENTRY, EXIT, QUEUE_ABANDON, QUEUE_JOIN, REENTRY, SECOND, ZONE_DWELL, ZONE_ENTER, ZONE_EXIT
+from .ranks import sum_before
 
 BROWSE_DWELL_MS = 10_000
 CHECKPOINT_US = 30 * SECOND
@@ -124,8 +125,7 @@ def queue_stays(presence: DataFrame) -> DataFrame:
     enter, ord, leave), leave being the first frame without the visitor (null at the end of the list).
     """
     frames = presence.select("camera_id", "frame").distinct()
-    nth = F.row_number().over(Window.partitionBy("camera_id").orderBy("frame"))
-    frames = frames.withColumn("nth", nth)
+    frames = sum_before(frames, ["camera_id"], ["frame"], F.lit(1), "nth")
     named = presence.join(frames, ["camera_id", "frame"])
     order = Window.partitionBy("camera_id", "visitor_id").orderBy("nth")
     named = named.withColumn("island", F.col("nth") - F.row_number().over(order))
@@ -139,8 +139,7 @@ def queue_joins(stays: DataFrame) -> DataFrame:
     guests = stays.filter("not is_staff")
     come = guests.select("camera_id", F.col("enter").alias("at"), F.lit(1).alias("place"), "ord", F.lit(1).alias("step"), "visitor_id")
     go = guests.filter("leave is not null").select("camera_id", F.col("leave").alias("at"), F.lit(2).alias("place"), F.lit(0).alias("ord"), F.lit(-1).alias("step"), "visitor_id")
-    before = Window.partitionBy("camera_id").orderBy("at", "place", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    run = come.unionByName(go).withColumn("queue_depth", F.coalesce(F.sum("step").over(before), F.lit(0)))
+    run = sum_before(come.unionByName(go), ["camera_id"], ["at", "place", "ord"], F.col("step"), "queue_depth")
     return run.filter("step = 1").select("camera_id", "visitor_id", F.col("at").alias("frame"), "queue_depth")
 
 

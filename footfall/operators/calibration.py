@@ -104,6 +104,20 @@ def store_thresholds(events: DataFrame) -> DataFrame:
     return out.withColumn("calibrations", F.coalesce("calibrations", F.lit(0))).drop("snapshot_seq")
 
 
+#: Parameters by name, with the rule that has their default.
+PARAMETERS = {"reid_confidence_threshold": REID, "queue_join_dwell_sec": QUEUE, "staff_confidence_threshold": STAFF, "dwell_threshold_ms": DWELL, "camera_trust": TRUST, "occlusion_timeout_sec": OCCLUSION}
+#: What an unknown parameter is worth.
+UNKNOWN_PARAMETER = 0.5
+
+
+def profile_of(events: DataFrame, store_id: str) -> DataFrame:
+    """The row of ``store_thresholds`` for one store; all defaults where nothing has been seen of it."""
+    found = store_thresholds(events.filter(F.col("store_id") == store_id))
+    defaults = {"calibrations": F.lit(0).cast("long"), **{n: F.lit(float(r[0])) for n, r in PARAMETERS.items()}}
+    own = events.sparkSession.range(1).select(F.lit(store_id).alias("store_id")).join(found, "store_id", "left")
+    return own.select("store_id", *[F.coalesce(F.col(c), defaults[c]).alias(c) for c in found.columns if c != "store_id"])
+
+
 def changes(thresholds: DataFrame) -> DataFrame:
     """(store_id, parameter, before, after) of the thresholds that left their defaults."""
     defaults = {"reid_confidence_threshold": REID, "queue_join_dwell_sec": QUEUE, "staff_confidence_threshold": STAFF, "dwell_threshold_ms": DWELL}

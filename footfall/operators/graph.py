@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import half_even
+from ..functions.lineage import cut
 
 # Probability of a move from the first zone to the second.
 LOW, MED, HIGH, VERY_HIGH = 0.10, 0.40, 0.75, 0.90
@@ -101,14 +102,42 @@ def camera_probability(moves: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("camera_probability", p).drop("base", "expected", "tolerance")
 
 
-def hops(spark: SparkSession, adjacency: DataFrame, depth: int = 12) -> DataFrame:
-    """(cam_from, cam_to, hops) between all cameras that are joined, by a recursive query; others are 99 apart."""
-    both = adjacency.select("camera_id", "neighbour_id").unionByName(adjacency.select(F.col("neighbour_id").alias("camera_id"), F.col("camera_id").alias("neighbour_id"))).distinct()
-    both.createOrReplaceTempView("footfall_camera_links")
-    walked = spark.sql(f"""WITH RECURSIVE walk(cam_from, cam_to, hops) AS (SELECT DISTINCT camera_id, camera_id, 0 FROM footfall_camera_links
-        UNION ALL SELECT w.cam_from, l.neighbour_id, w.hops + 1 FROM walk w JOIN footfall_camera_links l ON w.cam_to = l.camera_id WHERE w.hops < {depth})
-        SELECT cam_from, cam_to, min(hops) AS hops FROM walk GROUP BY cam_from, cam_to""")
-    return walked
+def unknown_cameras(adjacency: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(camera_id): ids that ``adjacency`` names and ``cameras(camera_id)`` does not hold."""
+    named = adjacency.select("camera_id").unionByName(adjacency.select(F.col("neighbour_id").alias("camera_id"))).filter("camera_id is not null").distinct()
+    return named.join(cameras.select("camera_id"), "camera_id", "left_anti")
+
+
+def adjacency_of(neighbours: DataFrame, cameras: DataFrame) -> DataFrame:
+    """(camera_id, neighbour_id) of ``neighbours(camera_id, neighbours)``, an adjacency map as a site gives it.
+
+    A map that names a camera the site does not have raises ValueError.
+    """
+    links = neighbours.select("camera_id", F.explode("neighbours").alias("neighbour_id")).distinct()
+    asked = links.unionByName(neighbours.select("camera_id", F.col("camera_id").alias("neighbour_id")))
+    unknown = [r.camera_id for r in unknown_cameras(asked, cameras).orderBy("camera_id").limit(20).collect()]
+    if unknown:
+        raise ValueError(f"unknown cameras: {', '.join(unknown)}")
+    return links
+
+
+def hops(spark: SparkSession, adjacency: DataFrame) -> DataFrame:
+    """(cam_from, cam_to, hops): fewest links between all cameras that are joined, at any distance; others are 99 apart.
+
+    Links count both ways and each camera is 0 from itself. Breadth first from every camera at once: a round follows the links of
+    the pairs found last and keeps the pairs not found before, until there are none.
+    """
+    links = adjacency.select("camera_id", "neighbour_id").unionByName(adjacency.select(F.col("neighbour_id").alias("camera_id"), F.col("camera_id").alias("neighbour_id")))
+    links = cut(links.filter("camera_id is not null and neighbour_id is not null").distinct())
+    last, edge = None, cut(links.select(F.col("camera_id").alias("cam_from"), F.col("camera_id").alias("cam_to")).distinct().withColumn("hops", F.lit(0)))
+    found = edge
+    while not edge.isEmpty():
+        onward = edge.join(links, edge.cam_to == links.camera_id).select("cam_from", F.col("neighbour_id").alias("cam_to"), (F.col("hops") + 1).alias("hops")).distinct()
+        # links run both ways, so what was found before is found in the last two rounds or not reached from here
+        near = edge if last is None else edge.unionByName(last)
+        last, edge = edge, cut(onward.join(near, ["cam_from", "cam_to"], "left_anti"))
+        found = found.unionByName(edge)
+    return found
 
 
 def _barred(a: Column, b: Column) -> Column:

@@ -138,15 +138,35 @@ def fingerprint_similarity(a: str, b: str) -> Column:
 
 
 def embedding_ewma(observations: DataFrame, key: str, order: str, vector: str, alpha: float = 0.30) -> DataFrame:
-    """(key, embedding): each key's vectors folded in order with weight 0.3 for the new one, brought back to unit length."""
-    lists = observations.filter(F.col(vector).isNotNull()).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(vector).cast("array<double>").alias("v")))), lambda r: r["v"]).alias("vs"))
+    """(key, embedding): each key's vectors folded in order with weight 0.3 for the new one, brought back to unit length.
 
-    def step(acc: Column, v: Column) -> Column:
-        mixed = F.zip_with(acc, v, lambda x, y: (1 - alpha) * x + alpha * y)
-        norm = F.sqrt(F.aggregate(mixed, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(mixed, lambda x: F.when(norm > 1e-8, x / norm).otherwise(x))
-
-    return lists.select(key, F.aggregate(F.slice("vs", 2, F.greatest(F.size("vs"), F.lit(1))), F.col("vs")[0], step).alias("embedding"))
+    The fold is ordered, so a key is one task's; it streams through it sorted, with one vector held. Null vectors are passed over.
+    """
+    kind = observations.schema[key].dataType.simpleString()
+
+    def run(frames):
+        import numpy as np
+        import pandas as pd
+
+        now, held = None, None
+        for frame in frames:
+            done = []
+            for k, v in zip(frame[key], frame["v"]):
+                v = np.asarray(v, float)
+                if held is None or k != now:
+                    if held is not None:
+                        done.append((now, held.tolist()))
+                    now, held = k, v
+                    continue
+                mixed = (1 - alpha) * held + alpha * v
+                norm = float(np.sqrt(mixed @ mixed))
+                held = mixed / norm if norm > 1e-8 else mixed
+            yield pd.DataFrame(done, columns=[key, "embedding"])
+        if held is not None:
+            yield pd.DataFrame([(now, held.tolist())], columns=[key, "embedding"])
+
+    rows = observations.filter(F.col(vector).isNotNull()).select(key, order, F.col(vector).cast("array<double>").alias("v"))
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kind}, embedding array<double>")
 
 
 # What each event adds to a track's health, which starts at 50 within 0 to 100.
@@ -175,19 +195,53 @@ def camera_role(camera: Column) -> Column:
     return F.when(up.contains("ENTRY"), "entry").when(up.contains("BILLING"), "billing").when(up.contains("GODOWN") | up.contains("STAFF"), "godown").otherwise("floor")
 
 
+#: Happenings of a camera that one array holds, by the span of their numbers.
+FOLD_SPAN = 65536
+_FAR = 1 << 60
+
+
+def _held(acts: Column, steps: dict[str, tuple[int, int | None, int | None]]) -> Column:
+    """What a list of happenings does to a number held within bounds: (shift, low, high), so that x becomes x + shift held to low..high.
+
+    ``steps`` has by kind the step and the least or most that it may reach.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("shift"), F.lit(-_FAR).alias("low"), F.lit(_FAR).alias("high"))
+
+    def step(acc: Column, s: Column) -> Column:
+        out = acc
+        for kind, (by, least, most) in steps.items():
+            bound = lambda x: F.least(x + by, F.lit(most).cast("long")) if most is not None else F.greatest(x + by, F.lit(least).cast("long"))  # noqa: B023, E731
+            out = F.when(s["kind"] == kind, F.struct((acc["shift"] + by).alias("shift"), bound(acc["low"]).alias("low"), bound(acc["high"]).alias("high"))).otherwise(out)
+        return out
+
+    return F.aggregate(acts, start, step)
+
+
+def _after(x: Column, held: Column) -> Column:
+    return F.greatest(held["low"], F.least(held["high"], x + held["shift"]))
+
+
+# Fixed values in thousandths: how reliability and occlusion risk move, and where they stop.
+RELIABLE_STEPS = {"success": (10, None, 1000), "failure": (-5, 500, None)}
+RISK_STEPS = {"loss": (3, None, 900)}
+
+
 def camera_reputation(happenings: DataFrame) -> DataFrame:
     """Modifier of each camera out of ``happenings(camera_id, seq, kind)`` (detection, success, failure, loss).
 
     Reliability rises by .01 or falls by .005 within .5 to 1, occlusion risk rises by .003 up to .9; past
-    50 detections the share of successes counts as well.
+    50 detections the share of successes counts as well. Steps between bounds add up to one shift between
+    bounds, so spans of a camera's history are folded apart and then one after the other; all in whole thousandths.
     """
-    role = camera_role(F.col("camera_id"))
-    prior = lambda k: F.coalesce(*[F.when(F.col("role") == r, F.lit(v[k])) for r, v in CAMERA_PRIORS.items()])
     acts = F.array_sort(F.collect_list(F.when(F.col("kind").isin("success", "failure", "loss"), F.struct("seq", "kind"))))
-    by = happenings.groupBy("camera_id").agg(acts.alias("acts"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("detection", "success", "failure")]).withColumn("role", role)
-    reliable = F.aggregate("acts", prior(1), lambda x, s: F.when(s["kind"] == "success", F.least(F.lit(1.0), x + 0.01)).when(s["kind"] == "failure", F.greatest(F.lit(0.5), x - 0.005)).otherwise(x))
-    risk = F.aggregate("acts", prior(0), lambda x, s: F.when(s["kind"] == "loss", F.least(F.lit(0.9), x + 0.003)).otherwise(x))
-    by = by.withColumns({"reliability": reliable, "occlusion_risk": risk})
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("detection", "success", "failure")]
+    spans = happenings.groupBy("camera_id", F.expr(f"seq div {FOLD_SPAN}").alias("span")).agg(acts.alias("acts"), *counts)
+    spans = spans.withColumns({"reliable": _held(F.col("acts"), RELIABLE_STEPS), "risky": _held(F.col("acts"), RISK_STEPS)})
+    by = spans.groupBy("camera_id").agg(F.array_sort(F.collect_list(F.struct("span", "reliable", "risky"))).alias("spans"), *[F.sum(k).alias(k) for k in ("detection", "success", "failure")])
+    by = by.withColumn("role", camera_role(F.col("camera_id")))
+    prior = lambda k: F.coalesce(*[F.when(F.col("role") == r, F.lit(round(v[k] * 1000)).cast("long")) for r, v in CAMERA_PRIORS.items()])
+    fold = lambda k, name: F.aggregate("spans", prior(k), lambda x, s: _after(x, s[name])) / 1000
+    by = by.withColumns({"reliability": fold(1, "reliable"), "occlusion_risk": fold(0, "risky")})
     shift = F.when(F.col("detection") > 50, 0.1 * (F.col("success") / F.greatest(F.lit(1), F.col("success") + F.col("failure")) - 0.5)).otherwise(F.lit(0.0))
     modifier = half_even(clamp(F.col("reliability") - F.col("occlusion_risk") * 0.15 + shift, 0.70, 1.0), 4)
     level = F.when(F.col("modifier") >= 0.90, "HIGH").when(F.col("modifier") >= 0.80, "MEDIUM").otherwise("LOW")
@@ -240,10 +294,18 @@ def dna_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("similarity", F.when(thin, half).otherwise(half_even(score, 6)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, block: str, k: int = 3) -> DataFrame:
-    """The ``k`` most similar vectors of the same ``block`` for each of a stated set of query vectors (vec_id, block, embedding)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col(block).alias("b"), F.col("embedding").alias("q"))
-    pairs = q.join(vectors, (F.col("b") == F.col(block)) & (F.col("query_id") != F.col("vec_id")))
-    scored = pairs.select("query_id", "vec_id", half_even(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, query_block: int = 1024, vector_block: int = 4096) -> DataFrame:
+    """The ``k`` most similar of all vectors for each of a stated set of query vectors (vec_id, embedding): (query_id, vec_id, similarity, rank).
+
+    Both sides are dealt to blocks and each pair of blocks meets once; the best ``k`` of a pair of blocks are picked before those of a query. A
+    vector is not compared with rows of its own id; ties go to the smaller id.
+    """
+    rows, columns = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // vector_block))
+    spot = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), spot(rows, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"))
+    v = vectors.select("vec_id", "embedding", spot(columns, 2).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"))
+    pairs = q.join(v, ["i", "j"]).filter(F.col("query_id") != F.col("vec_id"))
+    scored = pairs.select("j", "query_id", "vec_id", half_even(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "vec_id"))
+    few = scored.withColumn("rank", best("query_id", "j")).filter(F.col("rank") <= k).drop("rank", "j")
+    return few.withColumn("rank", best("query_id")).filter(F.col("rank") <= k)

@@ -103,14 +103,15 @@ def with_status(validated: DataFrame, stored: DataFrame | None = None) -> DataFr
     """Adds ``status``: rejected, duplicate or accepted. Of valid lines with one event id the first arrival is accepted,
     unless ``stored`` has the id already."""
     valid = F.size("errors") == 0
-    first = F.min(F.when(valid, F.col("arrival_seq"))).over(Window.partitionBy("event_id"))
-    rows = validated.withColumn("first_seq", first)
+    # lines without an event's id are keys of their own, so that a feed of broken lines is no single window
+    keyed = validated.withColumn("dedup_key", F.when(valid, F.col("event_id")).otherwise(F.concat(F.lit("#"), F.col("arrival_seq").cast("string"))))
+    rows = keyed.withColumn("first_seq", F.min("arrival_seq").over(Window.partitionBy("dedup_key")))
     known = F.lit(False)
     if stored is not None:
-        rows = rows.join(stored.select("event_id").distinct().withColumn("known", F.lit(True)), "event_id", "left")
+        rows = rows.join(stored.select(F.col("event_id").alias("dedup_key")).distinct().withColumn("known", F.lit(True)), "dedup_key", "left")
         known = F.coalesce("known", F.lit(False))
     status = F.when(~valid, "rejected").when(known | (F.col("arrival_seq") != F.col("first_seq")), "duplicate").otherwise("accepted")
-    return rows.withColumn("status", status).drop("first_seq", "known")
+    return rows.withColumn("status", status).drop("first_seq", "known", "dedup_key")
 
 
 def accepted(checked: DataFrame) -> DataFrame:

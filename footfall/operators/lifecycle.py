@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,7 +11,9 @@ from ..schema import SECOND
 
 # Fixed values.
 ADJACENT_MATCH = 0.70
-GHOST_LEAST, GHOST_TTL, GHOST_DECAY, GHOSTS_KEPT, GHOST_REACH = 0.40, 30.0, 0.95, 50, 0.3
+GHOST_LEAST, GHOST_TTL, GHOST_DECAY, GHOSTS_KEPT, GHOST_REACH, GHOST_RETURN = 0.40, 30.0, 0.95, 50, 0.3, 0.55
+SHADOW_FRAMES, SHADOW_DAMPING, SHADOW_FADE, SHADOW_LEAST, SHADOW_STILL, SHADOW_REACH, SHADOW_MATCH = 90, 0.98, 0.97, 0.10, 0.001, 120.0, 0.40
+COLOUR_BINS, COLOUR_BOXES = 32, 10
 
 
 def absences(sightings: DataFrame) -> DataFrame:
@@ -73,6 +75,113 @@ def ghost_candidates(alive: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.filter((F.col("camera_id") != F.col("seen_camera")) | (F.col("distance") <= GHOST_REACH)).select("track_id", "visitor_id", "distance")
 
 
+def ghost_returns(candidates: DataFrame, scores: DataFrame, least: float = GHOST_RETURN) -> DataFrame:
+    """(track_id, visitor_id, identity_score): the ghost that a new track brings back, of those the vote associates above .55.
+
+    ``candidates(track_id, visitor_id)`` come from ``ghost_candidates``, ``scores(track_id, visitor_id, identity_score, should_associate)``
+    from the vote. The best score wins, of equal ones the smaller visitor id.
+    """
+    heard = candidates.join(scores, ["track_id", "visitor_id"]).filter(F.col("should_associate") & (F.col("identity_score") > least))
+    best = F.min(F.struct((-F.col("identity_score")).alias("minus"), "visitor_id")).alias("b")
+    return heard.groupBy("track_id").agg(best).select("track_id", "b.visitor_id", (-F.col("b.minus")).alias("identity_score"))
+
+
+def ghost_failures(lost: DataFrame, returned: DataFrame, as_of_us: int) -> DataFrame:
+    """(visitor_id, camera_id, expired_us): ghosts of ``lost`` (as for ``ghosts``) that ran out by ``as_of_us`` and that ``returned(visitor_id)`` lacks."""
+    ttl = F.when(F.coalesce("retain_sec", F.lit(0.0)) > 0, F.col("retain_sec")).otherwise(F.lit(GHOST_TTL))
+    ended = lost.filter(F.col("confidence") >= GHOST_LEAST).withColumn("expired_us", F.col("lost_us") + (ttl * SECOND).cast("long"))
+    return ended.filter(F.col("expired_us") < as_of_us).join(returned.select("visitor_id"), "visitor_id", "left_anti").select("visitor_id", "camera_id", "expired_us")
+
+
+def shadows(lost: DataFrame, frame: Column) -> DataFrame:
+    """Shadows at ``frame`` of ``lost(camera_id, visitor_id, lost_frame, x1, y1, x2, y2, vx, vy)``, boxes and speeds in shares of the frame.
+
+    A shadow moves on with its velocity, which fades by .98 a frame, and stops at the frame's edges; its confidence
+    fades by .97. It ends after 90 frames or under .1. Tracks that hardly moved leave none.
+    """
+    n = frame - F.col("lost_frame")
+    moving = (F.abs("vx") >= SHADOW_STILL) | (F.abs("vy") >= SHADOW_STILL)
+    sure = F.pow(F.lit(SHADOW_FADE), n)
+    alive = lost.filter(moving & (n >= 0) & (n <= SHADOW_FRAMES) & (sure >= SHADOW_LEAST))
+    # the steps of a fading velocity add up to a geometric sum, and one sign moves an edge one way only
+    far = (1 - F.pow(F.lit(SHADOW_DAMPING), n)) / (1 - SHADOW_DAMPING)
+    at = lambda c, v: F.when(n == 0, F.col(c)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) + F.col(v) * far)))
+    return alive.withColumns({"x1": at("x1", "vx"), "y1": at("y1", "vy"), "x2": at("x2", "vx"), "y2": at("y2", "vy"), "confidence": sure})
+
+
+def shadow_matches(alive: DataFrame, new: DataFrame) -> DataFrame:
+    """(track_id, visitor_id, confidence): the shadow that ``new(track_id, camera_id, x1, y1, x2, y2, frame_w, frame_h)`` most likely continues.
+
+    On one camera, under 120 px between centres; the nearer and the surer the shadow the better, above .4. Of
+    equal ones the smaller visitor id counts.
+    """
+    here = alive.select("camera_id", "visitor_id", ((F.col("x1") + F.col("x2")) / 2).alias("sx"), ((F.col("y1") + F.col("y2")) / 2).alias("sy"), F.col("confidence").alias("shadow"))
+    seen = new.select("track_id", "camera_id", ((F.col("x1") + F.col("x2")) / 2).alias("nx"), ((F.col("y1") + F.col("y2")) / 2).alias("ny"), "frame_w", "frame_h")
+    dx, dy = (F.col("nx") - F.col("sx")) * F.col("frame_w"), (F.col("ny") - F.col("sy")) * F.col("frame_h")
+    pairs = seen.join(here, "camera_id").withColumn("far", F.sqrt(dx * dx + dy * dy)).filter(F.col("far") < SHADOW_REACH)
+    pairs = pairs.withColumn("confidence", (1 - F.col("far") / SHADOW_REACH) * F.col("shadow")).filter(F.col("confidence") > SHADOW_MATCH)
+    best = F.min(F.struct((-F.col("confidence")).alias("minus"), "visitor_id")).alias("b")
+    return pairs.groupBy("track_id").agg(best).select("track_id", "b.visitor_id", (-F.col("b.minus")).alias("confidence"))
+
+
+def continue_identities(tracks: DataFrame, scored: DataFrame, key: str, overlaps: DataFrame | None = None) -> DataFrame:
+    """(key, track_id, visitor_id, is_new, reid_confidence) of ``tracks(key, track_id, start_us)`` in order of their start.
+
+    A track takes over the identity of the best lost track of ``scored(key, lost_id, seen_id, identity_score, should_associate)`` that
+    nobody has taken over yet (ties: the smaller id); else that of the track it overlaps, from
+    ``overlaps(track_id, with_id, similarity)``; else it is a new visitor, named after itself. A fold in order per
+    ``key``, which should end as a store's day does.
+    """
+    good = scored.filter("should_associate").groupBy(F.col("seen_id").alias("track_id"), key).agg(F.array_sort(F.collect_list(F.struct((-F.col("identity_score")).alias("minus"), "lost_id"))).alias("lost"))
+    named = tracks.select(key, "track_id", "start_us").join(good, [key, "track_id"], "left")
+    beside = F.lit(None).cast("long")
+    if overlaps is not None:
+        one = overlaps.groupBy("track_id").agg(F.max(F.struct("similarity", (-F.col("with_id")).alias("minus"))).alias("o"))
+        named = named.join(one.select("track_id", (-F.col("o.minus")).alias("with_id"), F.col("o.similarity").alias("near")), "track_id", "left")
+        beside = F.col("with_id")
+    else:
+        named = named.withColumn("near", F.lit(None).cast("double"))
+    lost = F.transform("lost", lambda x: x["lost_id"].cast("long"))
+    ready = named.select(key, F.col("track_id").cast("long").alias("track_id"), "start_us", lost.alias("lost"), F.transform("lost", lambda x: -x["minus"].cast("double")).alias("scores"), beside.cast("long").alias("beside"), "near")
+    kind = tracks.schema[key].dataType.simpleString()
+
+    def run(frames):
+        import pandas as pd
+
+        now, visitor, taken = None, {}, set()
+        for frame in frames:
+            rows = []
+            for k, track, lost_ids, scores, with_id, near in zip(frame[key], frame["track_id"], frame["lost"], frame["scores"], frame["beside"], frame["near"]):
+                if k != now:
+                    now, visitor, taken = k, {}, set()
+                free = [(x, s) for x, s in zip(lost_ids, scores) if x in visitor and x not in taken] if lost_ids is not None else []
+                if free:
+                    taken.add(free[0][0])
+                    visitor[track], new, sure = visitor[free[0][0]], False, free[0][1]
+                elif with_id == with_id and with_id is not None and int(with_id) in visitor:
+                    visitor[track], new, sure = visitor[int(with_id)], False, near
+                else:
+                    visitor[track], new, sure = track, True, 1.0
+                rows.append((k, track, visitor[track], new, float(sure)))
+            yield pd.DataFrame(rows, columns=[key, "track_id", "visitor_id", "is_new", "reid_confidence"])
+
+    ordered = ready.repartition(key).sortWithinPartitions(key, "start_us", "track_id")
+    return ordered.mapInPandas(run, f"{key} {kind}, track_id long, visitor_id long, is_new boolean, reid_confidence double")
+
+
+def colour_proxy(observations: DataFrame) -> DataFrame:
+    """(visitor_id, colours) of the last ten boxes ``(visitor_id, seq, y1, y2, frame_h)``: where no crop is kept, the height in the frame
+    stands for brightness, as a unit vector of three times 32 bins of which the last third is filled."""
+    newest = F.row_number().over(Window.partitionBy("visitor_id").orderBy(F.desc("seq")))
+    middle = (F.col("y1") + F.col("y2")) / 2 / F.greatest(F.lit(1), F.col("frame_h"))
+    bin_ = F.floor(F.greatest(F.lit(0.0), F.least(1 - middle, F.lit(1.0))) * (COLOUR_BINS - 1)).cast("int")
+    last = observations.withColumn("age", newest).filter(F.col("age") <= COLOUR_BOXES).withColumn("bin", bin_)
+    counts = last.groupBy("visitor_id").agg(F.array(*[F.count_if(F.col("bin") == k).cast("double") for k in range(COLOUR_BINS)]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    empty = F.array_repeat(F.lit(0.0), 2 * COLOUR_BINS)
+    return counts.select("visitor_id", F.concat(empty, F.transform("v", lambda x: F.when(norm > 0, x / norm).otherwise(x))).alias("colours"))
+
+
 def appearance(observations: DataFrame) -> DataFrame:
     """Body proportions of each visitor's last 30 boxes ``(visitor_id, seq, x1, y1, x2, y2, frame_h)``: mean width to height and mean height in the frame."""
     newest = F.row_number().over(Window.partitionBy("visitor_id").orderBy(F.desc("seq")))

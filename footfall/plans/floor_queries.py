@@ -305,7 +305,7 @@ def _plain_numbers(e: str) -> str:
 
 
 CANDIDATE_SQL = f"""cand AS (SELECT a.vec_id AS lost_id, b.vec_id AS seen_id, (b.vec_id - a.vec_id)::DOUBLE / 4 AS age, round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 60 WHERE a.vec_id % 5 = 0),
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 60),
 sig AS (SELECT *, round_even(least(1, 0.55::DOUBLE + 2 * abs(cosine)), 6) AS reid, greatest(0, 1 - age / 15) AS temporal, {", ".join(f"{_plain_numbers(e)} AS {n}" for n, e in _SIGNAL.items())} FROM cand)"""
 _PARTS = {k: f"round_even({w!r}::DOUBLE * {k}, 5)" for k, w in identity.WEIGHTS.items()}
 VOTE_SQL = f"""{CANDIDATE_SQL}, con AS (SELECT *, {", ".join(f"{e} AS c_{k}" for k, e in _PARTS.items())} FROM sig), tot AS (SELECT *, ({" + ".join(f"round(c_{k} * 100000)::BIGINT" for k in _PARTS)})::DOUBLE / 100000 AS vote FROM con),
@@ -316,7 +316,7 @@ vt AS (SELECT *, CASE WHEN reid < 0.4 THEN reid ELSE round_even(round(vote * 100
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    a = vectors.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("lost_id"), "label", F.col("embedding").alias("e1"))
+    a = vectors.select(F.col("vec_id").alias("lost_id"), "label", F.col("embedding").alias("e1"))
     b = vectors.select(F.col("vec_id").alias("seen_id"), F.col("label").alias("l2"), F.col("embedding").alias("e2"))
     # both sides in blocks of the id, so that the range is an equality and a residue
     a = a.withColumn("block", F.explode(F.expr("array(lost_id div 60, lost_id div 60 + 1)")))
@@ -363,16 +363,16 @@ def courtroom_with_physics(spark, sf):
     return _court(spark, sf, "camera_transition")
 
 
-@query(f"WITH {VOTE_SQL}, ev50 AS (SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY seen_id DESC) AS age_rank FROM vt) " + " UNION ALL ".join(f"SELECT lost_id, seen_id, identity_score, '{k}' AS signal, {k}::DOUBLE AS value, {w!r}::DOUBLE AS weight, c_{k} AS contribution FROM ev50 WHERE age_rank <= 5" for k, w in identity.WEIGHTS.items()))
+@query(f"WITH {VOTE_SQL}, ev50 AS (SELECT *, row_number() OVER (PARTITION BY lost_id ORDER BY seen_id DESC) AS age_rank FROM vt) " + " UNION ALL ".join(f"SELECT lost_id, seen_id, identity_score, '{k}' AS signal, {k}::DOUBLE AS value, {w!r}::DOUBLE AS weight, c_{k} AS contribution FROM ev50 WHERE age_rank <= {identity.EVIDENCE_ROWS}" for k, w in identity.WEIGHTS.items()))
 def evidence_topn(spark, sf):
-    return identity.evidence(identity.vote(_signals(spark, sf)), "lost_id", "seen_id", keep=5)
+    return identity.evidence(identity.vote(_signals(spark, sf)), "lost_id", "seen_id")
 
 
-@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, round_even(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id),
+@query("""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id, round_even(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 3""")
 def embedding_cosine_topk(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return identity.nearest(vectors.filter("vec_id % 100 = 0"), vectors, "label")
+    return identity.nearest(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
 @query(f"""{EV}, l AS (SELECT arrival_seq AS lost_id, store_id, camera_id, ts_us AS lost_us, (8 + arrival_seq % 13)::DOUBLE AS retain_sec FROM ev WHERE event_type = 'ZONE_EXIT'), s AS (SELECT arrival_seq AS seen_id, store_id, camera_id AS seen_camera, ts_us FROM ev WHERE event_type = 'ZONE_ENTER')
@@ -413,8 +413,8 @@ _REP = "CASE arrival_seq % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failure' WHEN 2
 
 @query(f"""{EV}, d AS (SELECT camera_id, arrival_seq, {_REP} AS kind, CASE WHEN upper(camera_id) LIKE '%ENTRY%' THEN 'entry' ELSE 'floor' END AS role FROM ev),
 g AS (SELECT camera_id, role, list(kind ORDER BY arrival_seq) FILTER (kind <> 'detection') AS acts, count(*) FILTER (kind = 'detection') AS n, count(*) FILTER (kind = 'success') AS s, count(*) FILTER (kind = 'failure') AS f FROM d GROUP BY ALL),
-r AS (SELECT *, list_reduce(list_prepend(CASE role WHEN 'entry' THEN 0.95::DOUBLE ELSE 0.8::DOUBLE END, list_transform(acts, lambda a: CASE a WHEN 'success' THEN 1::DOUBLE WHEN 'failure' THEN -1::DOUBLE ELSE 0::DOUBLE END)), lambda x, y: CASE WHEN y > 0 THEN least(1::DOUBLE, x + 0.01::DOUBLE) WHEN y < 0 THEN greatest(0.5::DOUBLE, x - 0.005::DOUBLE) ELSE x END) AS reliability,
-  list_reduce(list_prepend(CASE role WHEN 'entry' THEN 0.15::DOUBLE ELSE 0.4::DOUBLE END, list_transform(acts, lambda a: CASE a WHEN 'loss' THEN 0.003::DOUBLE ELSE 0::DOUBLE END)), lambda x, y: CASE WHEN y > 0 THEN least(0.9::DOUBLE, x + y) ELSE x END) AS risk FROM g),
+r AS (SELECT *, list_reduce(list_prepend(CASE role WHEN 'entry' THEN 950 ELSE 800 END, list_transform(acts, lambda a: CASE a WHEN 'success' THEN 1 WHEN 'failure' THEN -1 ELSE 0 END)), lambda x, y: CASE WHEN y > 0 THEN least(1000, x + 10) WHEN y < 0 THEN greatest(500, x - 5) ELSE x END)::DOUBLE / 1000 AS reliability,
+  list_reduce(list_prepend(CASE role WHEN 'entry' THEN 150 ELSE 400 END, list_transform(acts, lambda a: CASE a WHEN 'loss' THEN 3 ELSE 0 END)), lambda x, y: CASE WHEN y > 0 THEN least(900, x + y) ELSE x END)::DOUBLE / 1000 AS risk FROM g),
 m AS (SELECT *, round_even(greatest(0.7::DOUBLE, least(1::DOUBLE, reliability - risk * 0.15::DOUBLE + CASE WHEN n > 50 THEN 0.1::DOUBLE * (s::DOUBLE / greatest(1, s + f) - 0.5::DOUBLE) ELSE 0 END)), 4) AS modifier FROM r)
 SELECT camera_id, role, round_even(reliability, 6) AS reliability, round_even(risk, 6) AS occlusion_risk, modifier, CASE WHEN modifier >= 0.9::DOUBLE THEN 'HIGH' WHEN modifier >= 0.8::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS trust FROM m""")
 def camera_modifier(spark, sf):
@@ -432,16 +432,21 @@ def dna_compare(spark, sf):
     return identity.dna_similarity(a.join(b, "no")).select("visitor_id_a", "visitor_id_b", "similarity")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings WHERE embedding IS NOT NULL),
+mix AS (SELECT label, k, v AS s FROM e WHERE k = 1 UNION ALL SELECT label, k, CASE WHEN n > 1e-8 THEN list_transform(m, lambda x: x / n) ELSE m END
+  FROM (SELECT label, k, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n FROM (SELECT e.label, e.k, list_transform(list_zip(mix.s, e.v), lambda p: 0.7::DOUBLE * p[1] + 0.3::DOUBLE * p[2]) AS m FROM mix JOIN e ON e.label = mix.label AND e.k = mix.k + 1))),
+last AS (SELECT label, max_by(s, k) AS s FROM mix GROUP BY label) SELECT label, generate_subscripts(s, 1) - 1 AS place, round_even(unnest(s), 6) AS value FROM last""")
 def fingerprint_ewma(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     made = identity.embedding_ewma(vectors, "label", "vec_id", "embedding")
-    return made.select("label", F.transform("embedding", lambda x: F.bround(x, 6)).alias("embedding"))
+    return made.select("label", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.bround("value", 6))
 
 
 # ---------------------------------------------------------------- graph
 
 _LINKS = [("CAM_ENTRY_01", "CAM_FLOOR_01"), ("CAM_ENTRY_02", "CAM_FLOOR_01"), ("CAM_ENTRY_03", "CAM_FLOOR_02"), *[(f"CAM_FLOOR_0{k}", f"CAM_FLOOR_0{k + 1}") for k in range(1, 9)], ("CAM_FLOOR_09", "CAM_BILLING_01")]
+#: A site for distances: a line of 24 cameras, the test site on its end, and eight that all see each other.
+_FAR_LINKS = [*_LINKS, *[(f"CAM_HALL_{k:02d}", f"CAM_HALL_{k + 1:02d}") for k in range(1, 24)], ("CAM_HALL_24", "CAM_ENTRY_01"), *[(f"CAM_HUB_{a}", f"CAM_HUB_{b}") for a in range(8) for b in range(a)], ("CAM_HUB_0", "CAM_HALL_12")]
 _CAMERAS = sorted({c for pair in _LINKS for c in pair})
 _ROLE_OF = {c: "entry" if "ENTRY" in c else "billing" if "BILLING" in c else "floor" for c in _CAMERAS}
 LINKS_SQL = f"""ln AS (SELECT * FROM (VALUES {", ".join(repr(p) for p in _LINKS)}) v(a, b)), bi AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln)"""
@@ -458,9 +463,16 @@ def _camera_edges(spark: SparkSession) -> DataFrame:
     return graph.camera_edges(spark, _adjacency(spark), spark.createDataFrame(list(_ROLE_OF.items()), "camera_id string, role string"))
 
 
-@query(f"WITH RECURSIVE {LINKS_SQL}, w AS (SELECT DISTINCT a AS f, a AS t, 0 AS h FROM bi UNION SELECT w.f, bi.b, w.h + 1 FROM w JOIN bi ON w.t = bi.a WHERE w.h < 12) SELECT f AS cam_from, t AS cam_to, min(h) AS hops FROM w GROUP BY ALL")
+def _walk_sql(links: list) -> str:
+    """Distances of all cameras: walks as long as there are cameras, which no shortest one exceeds."""
+    rows = ", ".join(repr(p) for p in links)
+    return f"""ln AS (SELECT * FROM (VALUES {rows}) v(a, b)), bi AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln), cams AS (SELECT count(DISTINCT a) AS n FROM bi),
+w AS (SELECT DISTINCT a AS f, a AS t, 0 AS h FROM bi UNION SELECT w.f, bi.b, w.h + 1 FROM w JOIN bi ON w.t = bi.a WHERE w.h < (SELECT n FROM cams)), hp AS (SELECT f, t, min(h) AS h FROM w GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_walk_sql(_FAR_LINKS)} SELECT f AS cam_from, t AS cam_to, h AS hops FROM hp")
 def camera_hops(spark, sf):
-    return graph.hops(spark, _adjacency(spark))
+    return graph.hops(spark, spark.createDataFrame(_FAR_LINKS, "camera_id string, neighbour_id string"))
 
 
 _NAMES = sorted({n for a, to in graph.ZONE_EDGES.items() for n in (a, *to)})
@@ -577,7 +589,7 @@ def group_companions(spark, sf):
     return floor.companions(floor.group_pairs(_spots(spark, sf)), frames=3)
 
 
-@query(f"""WITH RECURSIVE {EVENTS_SQL}, {LINKS_SQL}, w AS (SELECT DISTINCT a AS f, a AS t, 0 AS h FROM bi UNION SELECT w.f, bi.b, w.h + 1 FROM w JOIN bi ON w.t = bi.a WHERE w.h < 12), hp AS (SELECT f, t, min(h) AS h FROM w GROUP BY ALL),
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, {_walk_sql(_LINKS)},
 sn AS (SELECT DISTINCT visitor_id, camera_id, ts_us // 1000000 AS s FROM ev), pr AS (SELECT a.visitor_id, a.camera_id AS camera_a, b.camera_id AS camera_b, a.s FROM sn a JOIN sn b ON a.visitor_id = b.visitor_id AND a.s = b.s AND a.camera_id < b.camera_id)
 SELECT visitor_id, camera_a, camera_b, min(s) AS first_second, coalesce(any_value(h), 99) AS hops FROM pr LEFT JOIN hp ON f = camera_a AND t = camera_b WHERE coalesce(h, 99) >= 2 GROUP BY ALL""")
 def simultaneous_presence(spark, sf):
@@ -613,7 +625,8 @@ def live_counters(spark, sf):
 
 # ---------------------------------------------------------------- identities over time
 
-LIVE_UNTIL_US = 1_500_000_000
+#: The end of the log.
+LIVE_UNTIL_US = 2_592_000_000
 
 
 @query(f"""{EV}, si AS (SELECT visitor_id, ts_us, arrival_seq, (8 + arrival_seq % 53)::DOUBLE AS r FROM ev WHERE ts_us <= {LIVE_UNTIL_US}), g AS (SELECT *, lead(ts_us) OVER (PARTITION BY visitor_id ORDER BY arrival_seq) AS back FROM si),
@@ -632,14 +645,14 @@ def ghost_positions(spark, sf):
     return made.select("visitor_id", F.bround("predicted_x", 6).alias("predicted_x"), F.bround("predicted_y", 6).alias("predicted_y"))
 
 
-@query("""WITH n AS (SELECT vec_id AS track_id, 'CAM_FLOOR_0' || (1 + vec_id % 9) AS camera_id, embedding FROM embeddings WHERE vec_id % 25 = 0), a AS (SELECT 'VIS_' || vec_id AS visitor_id, 'CAM_FLOOR_0' || (1 + vec_id % 9) AS camera_id, embedding FROM embeddings WHERE vec_id % 25 <> 0),
+@query("""WITH n AS (SELECT vec_id AS track_id, 'CAM_FLOOR_0' || (1 + vec_id % 9) AS camera_id, embedding FROM embeddings WHERE vec_id % 100 = 0), a AS (SELECT 'VIS_' || vec_id AS visitor_id, 'CAM_FLOOR_0' || (1 + vec_id % 9) AS camera_id, embedding FROM embeddings),
 p AS (SELECT track_id, visitor_id, round_even(list_cosine_similarity(n.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6) AS similarity FROM n JOIN a ON abs(right(n.camera_id, 1)::INT - right(a.camera_id, 1)::INT) = 1)
 SELECT track_id, max_by(visitor_id, (similarity, visitor_id)) AS visitor_id, max(similarity) AS similarity FROM p WHERE similarity >= 0.2 GROUP BY track_id""")
 def adjacent_camera_match(spark, sf):
     """With a lower bar than live matching, as the test vectors are far apart."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("camera_id", F.expr("concat('CAM_FLOOR_0', cast(1 + vec_id % 9 AS string))"))
-    new = v.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("track_id"), "camera_id", "embedding")
-    active = v.filter("vec_id % 25 <> 0").select(F.concat(F.lit("VIS_"), F.col("vec_id").cast("string")).alias("visitor_id"), "camera_id", "embedding")
+    new = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("track_id"), "camera_id", "embedding")
+    active = v.select(F.concat(F.lit("VIS_"), F.col("vec_id").cast("string")).alias("visitor_id"), "camera_id", "embedding")
     links = _adjacency(spark).filter("camera_id like 'CAM_FLOOR%' and neighbour_id like 'CAM_FLOOR%'")
     return lifecycle.adjacent_matches(new, active, links, least=0.2)
 
@@ -656,3 +669,71 @@ z AS (SELECT *, least(0, min(run) OVER (PARTITION BY a, b ORDER BY arrival_seq))
 def company_scores(spark, sf):
     frames = store_events(spark, sf).select(F.col("store_id").alias("a"), F.col("camera_id").alias("b"), F.col("arrival_seq").alias("seq"), F.expr("arrival_seq % 3 <> 0").alias("near"))
     return lifecycle.company_scores(frames)
+
+
+@query(f"""{EV}, {POSITIONS_SQL}, o AS (SELECT visitor_id, y, row_number() OVER (PARTITION BY visitor_id ORDER BY arrival_seq DESC) AS age FROM po),
+b AS (SELECT visitor_id, floor(greatest(0, least(1 - (y * 540 + (y * 540 + 90)) / 2 / 540, 1)) * 31)::INT AS bin, count(*) AS n FROM o WHERE age <= 10 GROUP BY ALL), m AS (SELECT visitor_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY ALL)
+SELECT visitor_id, bin, round_even(n / norm, 6) AS share FROM b JOIN m USING (visitor_id)""")
+def colour_profile(spark, sf):
+    boxes = positions(spark, sf).select("visitor_id", F.col("arrival_seq").alias("seq"), (F.col("y") * 540).alias("y1"), (F.col("y") * 540 + 90).alias("y2"), F.lit(540).alias("frame_h"))
+    bins = lifecycle.colour_proxy(boxes).select("visitor_id", F.posexplode("colours").alias("place", "share"))
+    return bins.filter("share > 0").select("visitor_id", (F.col("place") - 2 * lifecycle.COLOUR_BINS).alias("bin"), F.bround("share", 6).alias("share"))
+
+
+@query(f"""{EV}, {POSITIONS_SQL}, c AS (SELECT store_id, arrival_seq::VARCHAR AS ghost, camera_id, x, y, x - 0.5::DOUBLE AS vx, y - 0.5::DOUBLE AS vy, ts_us, row_number() OVER (PARTITION BY store_id ORDER BY ts_us DESC, arrival_seq::VARCHAR) AS k FROM po WHERE confidence >= 0.4::DOUBLE AND ts_us <= {LIVE_UNTIL_US}),
+d AS (SELECT *, ({LIVE_UNTIL_US} - ts_us)::DOUBLE / 1000000 AS dt FROM c WHERE k <= 50), g AS (SELECT *, x + vx * (dt * pow(0.95::DOUBLE, dt)) AS px, y + vy * (dt * pow(0.95::DOUBLE, dt)) AS py FROM d WHERE dt <= 30),
+t AS (SELECT arrival_seq AS track_id, store_id, camera_id AS cam, x AS tx, y AS ty FROM po WHERE event_type = 'REENTRY'),
+p AS (SELECT track_id, ghost, ((track_id * 7 + ghost::BIGINT * 13) % 100)::DOUBLE / 100 AS score, (track_id + ghost::BIGINT) % 2 = 0 AS fits FROM g JOIN t USING (store_id) WHERE camera_id <> cam OR sqrt(pow(tx - px, 2) + pow(ty - py, 2)) <= 0.3)
+SELECT track_id, min_by(ghost, (-score, ghost)) AS visitor_id, max(score) AS identity_score FROM p WHERE fits AND score > 0.55::DOUBLE GROUP BY track_id""")
+def ghost_returns(spark, sf):
+    seen = positions(spark, sf)
+    lost = seen.select("store_id", F.col("arrival_seq").cast("string").alias("visitor_id"), "camera_id", "x", "y", (F.col("x") - 0.5).alias("vx"), (F.col("y") - 0.5).alias("vy"), "confidence", F.lit(0.0).alias("retain_sec"), F.col("ts_us").alias("lost_us"))
+    new = seen.filter("event_type = 'REENTRY'").select(F.col("arrival_seq").alias("track_id"), "store_id", "camera_id", "x", "y")
+    pairs = lifecycle.ghost_candidates(lifecycle.ghosts(lost, LIVE_UNTIL_US), new).select("track_id", "visitor_id")
+    number = F.col("visitor_id").cast("long")
+    scores = pairs.select("track_id", "visitor_id", (((F.col("track_id") * 7 + number * 13) % 100) / 100).alias("identity_score"), ((F.col("track_id") + number) % 2 == 0).alias("should_associate"))
+    return lifecycle.ghost_returns(pairs, scores)
+
+
+_SHADOW = {"x1": "x * 0.9D", "y1": "y * 0.9D", "x2": "x * 0.9D + 0.1D", "y2": "y * 0.9D + 0.1D", "vx": "(x - 0.5D) / 50D", "vy": "(y - 0.5D) / 50D"}
+_LAST_FRAME = LIVE_UNTIL_US // 1_000_000
+
+
+def _shadow_sql() -> str:
+    plain = {k: e.replace("0.9D", "0.9::DOUBLE").replace("0.1D", "0.1::DOUBLE").replace("0.5D", "0.5::DOUBLE").replace("50D", "50::DOUBLE") for k, e in _SHADOW.items()}
+    edge = lambda c, v: f"CASE WHEN n = 0 THEN {c} ELSE greatest(0, least(1, {c} + {v} * ((1 - pow(0.98::DOUBLE, n)) / (1 - 0.98::DOUBLE)))) END"
+    return f"""{EV}, {POSITIONS_SQL}, bx AS (SELECT camera_id, visitor_id, arrival_seq, ts_us // 1000000 AS f, {_LAST_FRAME} - ts_us // 1000000 AS n, {", ".join(f"{e} AS {k}" for k, e in plain.items())} FROM po),
+sh AS (SELECT camera_id, arrival_seq::VARCHAR AS vid, pow(0.97::DOUBLE, n) AS sure, ({edge("x1", "vx")} + {edge("x2", "vx")}) / 2 AS sx, ({edge("y1", "vy")} + {edge("y2", "vy")}) / 2 AS sy FROM bx WHERE (abs(vx) >= 0.001::DOUBLE OR abs(vy) >= 0.001::DOUBLE) AND n >= 0 AND n <= 90 AND pow(0.97::DOUBLE, n) >= 0.1::DOUBLE),
+nw AS (SELECT visitor_id AS track_id, max_by(camera_id, arrival_seq) AS camera_id, max_by((x1 + x2) / 2, arrival_seq) AS nx, max_by((y1 + y2) / 2, arrival_seq) AS ny FROM bx GROUP BY ALL),
+pr AS (SELECT track_id, vid, sqrt((nx - sx) * 960 * ((nx - sx) * 960) + (ny - sy) * 540 * ((ny - sy) * 540)) AS far, sure FROM nw JOIN sh USING (camera_id)),
+ok AS (SELECT track_id, vid, (1 - far / 120) * sure AS conf FROM pr WHERE far < 120 AND (1 - far / 120) * sure > 0.4::DOUBLE) SELECT track_id, min_by(vid, (-conf, vid)) AS visitor_id, round_even(max(conf), 6) AS confidence FROM ok GROUP BY track_id"""
+
+
+@query(_shadow_sql())
+def shadow_matches(spark, sf):
+    boxes = positions(spark, sf).select("camera_id", "visitor_id", "arrival_seq", F.expr("ts_us div 1000000").alias("lost_frame"), *[F.expr(e).alias(k) for k, e in _SHADOW.items()])
+    alive = lifecycle.shadows(boxes.withColumn("visitor_id", F.col("arrival_seq").cast("string")), F.lit(_LAST_FRAME))
+    new = boxes.groupBy(F.col("visitor_id").alias("track_id")).agg(F.max_by(F.struct("camera_id", "x1", "y1", "x2", "y2"), "arrival_seq").alias("b"))
+    made = lifecycle.shadow_matches(alive, new.select("track_id", "b.*", F.lit(960).alias("frame_w"), F.lit(540).alias("frame_h")))
+    return made.select("track_id", "visitor_id", F.bround("confidence", 6).alias("confidence"))
+
+
+@query()
+def visitor_groups(spark, sf):
+    """Groups of a store's visitors: pairs near in three frames more than apart, merged in order up to six."""
+    spots = _spots(spark, sf)
+    near = floor.group_pairs(spots)
+    ever = near.select("camera_id", "a", "b").distinct()
+    here = lambda c: spots.select("camera_id", "frame", F.col("visitor_id").alias(c))
+    both = ever.join(here("a"), ["camera_id", "a"]).join(here("b"), ["camera_id", "b", "frame"])
+    frames = both.join(near.withColumn("near", F.lit(True)), ["camera_id", "frame", "a", "b"], "left").select("camera_id", "a", "b", F.col("frame").alias("seq"), F.coalesce("near", F.lit(False)).alias("near"))
+    confirmed = floor.confirmed_pairs(frames, 1).join(ever, ["a", "b"])
+    return floor.merge_groups(confirmed, "camera_id")
+
+
+@query()
+def identity_continuation(spark, sf):
+    """Each vector a track of its label's store, in order of id, which takes over the best lost identity still free."""
+    tracks = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.col("vec_id").alias("track_id"), F.col("vec_id").alias("start_us"))
+    scored = identity.vote(_signals(spark, sf)).join(tracks.select("label", F.col("track_id").alias("seen_id")), "seen_id")
+    return lifecycle.continue_identities(tracks, scored.select("label", "lost_id", "seen_id", "identity_score", "should_associate"), "label")

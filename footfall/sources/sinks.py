@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ingest import dedup
 from ..schema import BILLING_ZONE
 
 
@@ -22,9 +23,12 @@ def event_json(events: DataFrame) -> DataFrame:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Appends events as JSON lines, each file in order of arrival, in a folder per store."""
-    lines = event_json(events.dropDuplicates(["event_id"]))
-    lines.repartition("store_id").sortWithinPartitions("store_id", "arrival_seq").select("store_id", "value").write.mode("append").partitionBy("store_id").text(path)
+    """Appends events as JSON lines in a folder per store, the first arrival of each id, each file a run of arrivals in order.
+
+    A store with many events is cut into several files by its arrivals.
+    """
+    lines = event_json(dedup(events))
+    lines.repartitionByRange("store_id", "arrival_seq").sortWithinPartitions("store_id", "arrival_seq").select("store_id", "value").write.mode("append").partitionBy("store_id").text(path)
 
 
 def write_log(events: DataFrame, path: str) -> None:

@@ -27,13 +27,15 @@ def valid_events(lines: DataFrame, as_of_us: int) -> DataFrame:
     return checked.filter(F.size("errors") == 0).drop("errors", "raw", "arrival_seq").withColumn("arrival_seq", F.col("ts_us"))
 
 
-def first_arrivals(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """Each event id once: over all time, or with ``delay`` within a watermark, whose state is bounded."""
+def first_arrivals(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """Each event id once within ``delay`` of event time, which bounds the state; with None over all time, whose state grows for ever."""
     if delay is None:
         return events.dropDuplicates(["event_id"])
     return events.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+#: Processing time after which a silent visitor's state goes.
+FORGET_MS = 7 * 86_400_000
 OUTPUT = "visitor_id string, session_no long, store_id string, start_us long, end_us long, is_staff boolean, event_count long, reentry_count long, purchase_candidate boolean"
 STATE = "session_no long, open boolean, store_id string, start_us long, is_staff boolean, event_count long, reentry_count long, reentries long, purchase_candidate boolean, last_us long"
 _KEYS = ("session_no", "open", "store_id", "start_us", "is_staff", "event_count", "reentry_count", "reentries", "purchase_candidate", "last_us")
@@ -71,41 +73,49 @@ def _start() -> dict:
     return dict(session_no=0, open=False, store_id="", start_us=0, is_staff=False, event_count=0, reentry_count=0, reentries=0, purchase_candidate=False, last_us=0)
 
 
-def session_updates(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def session_updates(events: DataFrame, idle_ms: int | None = None, forget_ms: int | None = FORGET_MS) -> DataFrame:
     """A row for each session that a micro-batch changed, to be taken as the session's newest version.
 
     ``idle_ms`` closes sessions without events for so long of processing time (off by default: a session
-    has no time-out).
+    has no time-out). A visitor without events for ``forget_ms``, seven days unless said otherwise, is forgotten with its
+    state, an open session being left as it was last told; its sessions are then numbered from 1 again and told apart by their start.
     """
+    waits = [ms for ms in (idle_ms, forget_ms) if ms is not None]
 
     def work(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = dict(zip(_KEYS, held.get)) if held.exists else _start()
         if held.hasTimedOut:
             made = []
-            if state["open"]:
+            if idle_ms is not None and state["open"]:
                 state["open"] = False
                 made = [{**{k: state[k] for k in ("session_no", "store_id", "start_us", "is_staff", "event_count", "reentry_count", "purchase_candidate")}, "end_us": state["last_us"]}]
+            # after a session was closed for idleness the visitor is kept for the rest of the time
+            wait = None if forget_ms is None else max(0, forget_ms - idle_ms) if made else 0
         else:
             batch = pd.concat(list(frames), ignore_index=True).sort_values("arrival_seq", kind="stable")
             made = list(fold(state, batch.itertuples(index=False)))
-        held.update(tuple(state[k] for k in _KEYS))
-        if idle_ms is not None and state["open"]:
-            held.setTimeoutDuration(idle_ms)
+            wait = idle_ms if idle_ms is not None and state["open"] else forget_ms
+        if wait == 0:
+            held.remove()
+        else:
+            held.update(tuple(state[k] for k in _KEYS))
+            if wait is not None:
+                held.setTimeoutDuration(wait)
         if made:
             frame = pd.DataFrame(made).assign(visitor_id=key[0])
             frame["end_us"] = frame["end_us"].astype("Int64")
             yield frame[["visitor_id", "session_no", "store_id", "start_us", "end_us", "is_staff", "event_count", "reentry_count", "purchase_candidate"]]
 
     narrow = events.select("visitor_id", "arrival_seq", "store_id", "event_type", "ts_us", "zone_id", "is_staff")
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms is not None else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if waits else GroupStateTimeout.NoTimeout
     return narrow.groupBy("visitor_id").applyInPandasWithState(work, OUTPUT, STATE, "update", timeout)
 
 
 def latest_sessions(updates: DataFrame, version: str) -> DataFrame:
     """The newest version of each session out of stored updates."""
-    rest = [c for c in updates.columns if c not in ("visitor_id", "session_no")]
-    newest = updates.groupBy("visitor_id", "session_no").agg(F.max_by(F.struct(*rest), version).alias("s"))
-    return newest.select("visitor_id", "session_no", "s.*")
+    keys = ("visitor_id", "session_no", "start_us")
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in keys]), version).alias("s"))
+    return newest.select(*keys, "s.*")
 
 
 def feed_state(events: DataFrame) -> DataFrame:
