@@ -50,7 +50,9 @@ def group_links(keyed: DataFrame, key: str, node: str, find: Callable[[DataFrame
 
 
 def cell_rows(group: pd.DataFrame, node: str) -> pd.DataFrame:
-    """A cell's rows once each, in the order of their nodes; a row asks if any of its entries does."""
+    """A cell's rows once each; a row asks if any of its entries does. Where all ask, none is in it twice."""
+    if group["asks"].to_numpy().all():
+        return group
     return group.sort_values([node, "asks"], ascending=[True, False], kind="stable").drop_duplicates(node)
 
 

@@ -167,6 +167,10 @@ def near_links(vectors: DataFrame, keys: DataFrame, scratch: Scratch, threshold:
         if len(group) < 2:
             return None
         code = group["code"].to_numpy().view(np.uint64)
+        if len(code) <= 512 and group["asks"].to_numpy().all():
+            # the many small buckets: who has a mate at all
+            near = (np.bitwise_count(code[:, None] ^ code[None, :]) <= limit).sum(axis=1) > 1
+            return group.loc[near, ["cell", "vec_id", "asks"]] if near.any() else None
         pairs = pairs_within(len(code), group["asks"].to_numpy(), lambda rows: np.bitwise_count(code[rows, None] ^ code[None, :]) <= limit)
         near = np.unique(np.concatenate(pairs))
         return group.iloc[near][["cell", "vec_id", "asks"]] if len(near) else None
