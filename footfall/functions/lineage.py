@@ -1,8 +1,11 @@
-"""Cutting the lineage of tables that a loop builds on."""
+"""Cutting the lineage of tables that a loop builds on, and folders for files that all executors see."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(table: DataFrame) -> DataFrame:
@@ -17,3 +20,23 @@ def cut(table: DataFrame) -> DataFrame:
             return table.persist()
         context.setCheckpointDir(named)
     return table.checkpoint()
+
+
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path below the one that all executors share; it goes when the driver ends.
+
+    The shared folder is named by ``spark.checkpoint.dir``; only a local session may do without and gets a temporary one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="footfall-"))
+        named = _LOCAL[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{named.rstrip('/')}/footfall-files-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import floor_queries, store_queries
+from . import file_queries, floor_queries, store_queries
 
-_MODULES = (store_queries, floor_queries)
+_MODULES = (store_queries, floor_queries, file_queries)
 
 
 def queries() -> dict:
