@@ -144,18 +144,39 @@ def conversion_drops(sessions: DataFrame, period_us: int, history: int = 7) -> D
     return low.select("store_id", F.lit("CONVERSION_DROP").alias("type"), F.lit("WARN").alias("severity"), "period", "conversion_rate", half_even(F.col("historical_avg"), 6).alias("historical_avg"), pct.alias("drop_pct"))
 
 
+_FACT = "struct<section:int,zone_id:string,period:bigint,guest:string,bought:boolean,most:bigint>"
+
+
+def session_anomalies(sessions: DataFrame, as_of_us: int, period_us: int, history: int = 7) -> DataFrame:
+    """Queue spikes, conversion drops and dead zones by name: (store_id, type, severity, section, subject), in one pass.
+
+    Each session tells its store's queue, its zones and, if it is a guest's, its period; all three are added up together.
+    """
+    none = {"zone_id": F.lit(None).cast("string"), "period": F.lit(None).cast("long"), "guest": F.lit(None).cast("string"), "bought": F.lit(None).cast("boolean"), "most": F.lit(None).cast("long")}
+    fact = lambda section, **given: F.struct(F.lit(section).alias("section"), *[given.get(n, c).alias(n) for n, c in none.items()])
+    visit = fact(2, period=F.expr(f"start_us div {period_us}"), guest=F.col("visitor_id"), bought=F.col("purchase_candidate"))
+    facts = F.concat(
+        F.array(fact(1, most=queue_depth(sessions))),
+        F.when(~F.col("is_staff"), F.array(visit)).otherwise(F.array().cast(f"array<{_FACT}>")),
+        F.transform("zones_visited", lambda z: fact(3, zone_id=z, most=F.coalesce("end_us", "start_us"))),
+    )
+    keys = ("store_id", "section", "zone_id", "period")
+    each = sessions.select("store_id", F.explode(facts).alias("f")).select("store_id", "f.*").groupBy(*keys, "guest").agg(F.max("most").alias("most"), F.bool_or("bought").alias("bought"))
+    made = each.groupBy(*keys).agg(F.max("most").alias("most"), ratio(F.count_if("bought"), F.count("guest")).alias("rate"))
+    before = Window.partitionBy("store_id", "section").orderBy("period").rowsBetween(-history, -1)
+    made = made.withColumn("usual", F.avg(F.when(F.col("section") == 2, F.col("rate"))).over(before))
+    spike, dead = (F.col("section") == 1) & (F.col("most") >= QUEUE_SPIKE_WARN), (F.col("section") == 3) & (as_of_us - F.col("most") > DEAD_ZONE_US)
+    drop = (F.col("section") == 2) & (F.col("usual") > 0) & (F.col("rate") < F.col("usual") * CONVERSION_DROP_RATIO)
+    named = lambda kind, severity, subject: F.struct(F.lit(kind).alias("type"), severity.alias("severity"), subject.cast("string").alias("subject"))
+    said = F.when(spike, named("BILLING_QUEUE_SPIKE", F.when(F.col("most") >= QUEUE_SPIKE_CRITICAL, "CRITICAL").otherwise("WARN"), F.col("most")))
+    said = said.when(drop, named("CONVERSION_DROP", F.lit("WARN"), F.col("period"))).when(dead, named("DEAD_ZONE", F.lit("INFO"), F.col("zone_id")))
+    return made.select("store_id", "section", said.alias("a")).filter("a is not null").select("store_id", "a.type", "a.severity", "section", "a.subject")
+
+
 def anomalies(sessions: DataFrame, warnings: DataFrame, as_of_us: int, period_us: int) -> DataFrame:
     """All anomalies of all stores: verifier warnings, queue spikes, conversion drops and dead zones."""
-    named = [
-        warnings.select("store_id", F.col("code").alias("type"), "severity", F.lit(0).alias("section"), F.coalesce("visitor_id", F.lit("")).alias("subject")),
-        queue_spikes(sessions).select("store_id", "type", "severity", F.lit(1).alias("section"), F.col("max_queue_depth").cast("string").alias("subject")),
-        conversion_drops(sessions, period_us).select("store_id", "type", "severity", F.lit(2).alias("section"), F.col("period").cast("string").alias("subject")),
-        dead_zones(sessions, as_of_us).select("store_id", "type", "severity", F.lit(3).alias("section"), F.col("zone_id").alias("subject")),
-    ]
-    out = named[0]
-    for more in named[1:]:
-        out = out.unionByName(more)
-    return out
+    checked = warnings.select("store_id", F.col("code").alias("type"), "severity", F.lit(0).alias("section"), F.coalesce("visitor_id", F.lit("")).alias("subject"))
+    return checked.unionByName(session_anomalies(sessions, as_of_us, period_us))
 
 
 def health(events: DataFrame, sessions: DataFrame, as_of_us: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,32 +37,55 @@ def with_previous(events: DataFrame) -> DataFrame:
     return events.withColumns({"prev_camera": F.lag("camera_id").over(order), "prev_us": F.lag("ts_us").over(order), "prev_confidence": F.lag("confidence").over(order), "last_exit_us": exits})
 
 
+def _drop() -> Column:
+    return F.col("prev_confidence") - F.col("confidence")
+
+
+def _hops() -> Column:
+    a, b = F.nullif(camera_number(F.col("prev_camera")), F.lit(0)), F.nullif(camera_number(F.col("camera_id")), F.lit(0))
+    return F.coalesce(F.abs(b - a), F.lit(1))
+
+
+def _elapsed() -> Column:
+    return (F.col("ts_us") - F.col("prev_us")) / SECOND
+
+
+def _exit_gap() -> Column:
+    return F.col("ts_us") - F.col("last_exit_us")
+
+
+def _event_rules() -> dict[str, Column]:
+    """When an event with its predecessors breaks each rule that looks at single events."""
+    moved = (F.col("prev_camera") != F.col("camera_id")) & (_elapsed() > 0)
+    return {
+        "QUEUE_DEPTH_NEGATIVE": F.col("queue_depth") < 0,
+        "CONFIDENCE_CLIFF": _drop() > CONFIDENCE_CLIFF,
+        "IMPOSSIBLE_CAMERA_TRANSITION": moved & (_hops() > F.greatest(_elapsed() * MAX_HOPS_PER_SECOND, F.lit(1.0))),
+        "ENTRY_WITHOUT_DOORWAY": (F.col("event_type") == ENTRY) & ~is_entry_camera(F.col("camera_id")),
+        "REENTRY_TOO_FAST": (F.col("event_type") == REENTRY) & (_exit_gap() > 0) & (_exit_gap() < MIN_REENTRY_GAP_US),
+    }
+
+
 def negative_queues(events: DataFrame) -> DataFrame:
-    return events.filter("queue_depth < 0").select("arrival_seq", "store_id", "visitor_id", "camera_id", "queue_depth")
+    return events.filter(_event_rules()["QUEUE_DEPTH_NEGATIVE"]).select("arrival_seq", "store_id", "visitor_id", "camera_id", "queue_depth")
 
 
 def confidence_cliffs(traced: DataFrame) -> DataFrame:
-    drop = F.col("prev_confidence") - F.col("confidence")
-    return traced.filter(drop > CONFIDENCE_CLIFF).select("arrival_seq", "store_id", "visitor_id", "prev_confidence", "confidence", half_even(drop, 3).alias("drop"))
+    return traced.filter(_event_rules()["CONFIDENCE_CLIFF"]).select("arrival_seq", "store_id", "visitor_id", "prev_confidence", "confidence", half_even(_drop(), 3).alias("drop"))
 
 
 def camera_jumps(traced: DataFrame) -> DataFrame:
     """Camera changes over more hops (by camera number; 1 if either has none or 0) than the time allows."""
-    a, b = F.nullif(camera_number(F.col("prev_camera")), F.lit(0)), F.nullif(camera_number(F.col("camera_id")), F.lit(0))
-    hops = F.coalesce(F.abs(b - a), F.lit(1))
-    seconds = (F.col("ts_us") - F.col("prev_us")) / SECOND
-    moved = traced.filter(F.col("prev_camera") != F.col("camera_id")).withColumns({"hops": hops, "elapsed": seconds}).filter("elapsed > 0")
-    far = moved.filter(F.col("hops") > F.greatest(F.col("elapsed") * MAX_HOPS_PER_SECOND, F.lit(1.0)))
-    return far.select("arrival_seq", "store_id", "visitor_id", "prev_camera", "camera_id", "hops", half_even(F.col("elapsed"), 2).alias("elapsed_sec"))
+    far = traced.filter(_event_rules()["IMPOSSIBLE_CAMERA_TRANSITION"])
+    return far.select("arrival_seq", "store_id", "visitor_id", "prev_camera", "camera_id", _hops().alias("hops"), half_even(_elapsed(), 2).alias("elapsed_sec"))
 
 
 def entries_off_door(events: DataFrame) -> DataFrame:
-    return events.filter((F.col("event_type") == ENTRY) & ~is_entry_camera(F.col("camera_id"))).select("arrival_seq", "store_id", "visitor_id", "camera_id")
+    return events.filter(_event_rules()["ENTRY_WITHOUT_DOORWAY"]).select("arrival_seq", "store_id", "visitor_id", "camera_id")
 
 
 def fast_reentries(traced: DataFrame) -> DataFrame:
-    gap = F.col("ts_us") - F.col("last_exit_us")
-    return traced.filter((F.col("event_type") == REENTRY) & (gap > 0) & (gap < MIN_REENTRY_GAP_US)).select("arrival_seq", "store_id", "visitor_id", half_even(gap / SECOND, 2).alias("gap_sec"))
+    return traced.filter(_event_rules()["REENTRY_TOO_FAST"]).select("arrival_seq", "store_id", "visitor_id", half_even(_exit_gap() / SECOND, 2).alias("gap_sec"))
 
 
 def staff_explosions(events: DataFrame, span_us: int = STAFF_WINDOW_US) -> DataFrame:
@@ -95,22 +118,15 @@ def duplicate_active(sessions: DataFrame) -> DataFrame:
 
 
 def warnings(events: DataFrame) -> DataFrame:
-    """All per-event warnings: (seq, store_id, visitor_id, code, severity), one place per event and code."""
-    traced = with_previous(events)
-    found = {
-        "QUEUE_DEPTH_NEGATIVE": negative_queues(events),
-        "CONFIDENCE_CLIFF": confidence_cliffs(traced),
-        "IMPOSSIBLE_CAMERA_TRANSITION": camera_jumps(traced),
-        "ENTRY_WITHOUT_DOORWAY": entries_off_door(events),
-        "REENTRY_TOO_FAST": fast_reentries(traced),
-        "STAFF_COUNT_EXPLOSION": staff_explosions(events).withColumn("visitor_id", F.lit(None).cast("string")),
-    }
-    out = None
-    for code, rows in found.items():
-        severity, place = CODES[code]
-        named = rows.select((F.col("arrival_seq") * 10 + place).alias("seq"), "store_id", "visitor_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(ACTIONS[code]).alias("suggested_action"))
-        out = named if out is None else out.unionByName(named)
-    return out
+    """All per-event warnings: (seq, store_id, visitor_id, code, severity), one place per event and code.
+
+    The rules on single events share one pass over the log by visitor; only the staff share needs another, by store.
+    """
+    told = lambda code: F.struct(F.lit(CODES[code][1]).alias("place"), F.lit(code).alias("code"), F.lit(CODES[code][0]).alias("severity"), F.lit(ACTIONS[code]).alias("suggested_action"))
+    broken = F.filter(F.array(*[F.when(rule, told(code)) for code, rule in _event_rules().items()]), lambda w: w.isNotNull())
+    single = with_previous(events).select("arrival_seq", "store_id", "visitor_id", F.explode(broken).alias("w"))
+    staff = staff_explosions(events).select("arrival_seq", "store_id", F.lit(None).cast("string").alias("visitor_id"), told("STAFF_COUNT_EXPLOSION").alias("w"))
+    return single.unionByName(staff).select((F.col("arrival_seq") * 10 + F.col("w.place")).alias("seq"), "store_id", "visitor_id", "w.code", "w.severity", "w.suggested_action")
 
 
 def newest(found: DataFrame, limit: int = MAX_WARNINGS) -> DataFrame:
