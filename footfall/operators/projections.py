@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,22 +41,28 @@ def conversions(sessions: DataFrame) -> DataFrame:
 
 
 def metrics(sessions: DataFrame, stores: DataFrame | None = None) -> DataFrame:
-    """Visitors, conversion, abandonment, queue depth and session counts of each store."""
-    visitors = conversions(sessions).groupBy("store_id").agg(F.count(F.lit(1)).alias("unique_visitors"), F.count_if("converted").alias("converted_count"))
-    rest = queue_stats(sessions)
-    out = visitors.join(rest, "store_id").withColumn("conversion_rate", ratio(F.col("converted_count"), F.col("unique_visitors")))
+    """Visitors, conversion, abandonment, queue depth and session counts of each store, in one pass by visitor and then by store."""
+    each = _queue_counts(sessions.filter("not is_staff").groupBy("store_id", "visitor_id"), sessions, F.bool_or("purchase_candidate").alias("converted"))
+    sums = [F.sum(c).alias(c) for c in ("join_sessions", "abandon_sessions", "total_sessions", "active_sessions")]
+    out = each.groupBy("store_id").agg(F.count(F.lit(1)).alias("unique_visitors"), F.count_if("converted").alias("converted_count"), F.max("max_queue_depth").alias("max_queue_depth"), *sums)
+    out = out.withColumns({"abandonment_rate": ratio(F.col("abandon_sessions"), F.col("join_sessions")), "conversion_rate": ratio(F.col("converted_count"), F.col("unique_visitors"))})
     zeros = {c: F.lit(0).cast("long") for c in ("unique_visitors", "converted_count", "join_sessions", "abandon_sessions", "max_queue_depth", "total_sessions", "active_sessions")}
     return _with_stores(out, stores, zeros | {"abandonment_rate": F.lit(0.0), "conversion_rate": F.lit(0.0)})
 
 
-def queue_stats(sessions: DataFrame) -> DataFrame:
-    out = sessions.filter("not is_staff").groupBy("store_id").agg(
+def _queue_counts(groups: GroupedData, sessions: DataFrame, *more: Column) -> DataFrame:
+    return groups.agg(
         F.count_if(_queue_of(QUEUE_JOIN)).alias("join_sessions"),
         F.count_if(_queue_of(QUEUE_ABANDON)).alias("abandon_sessions"),
         F.max(queue_depth(sessions)).alias("max_queue_depth"),
         F.count(F.lit(1)).alias("total_sessions"),
         F.count_if("is_active").alias("active_sessions"),
+        *more,
     )
+
+
+def queue_stats(sessions: DataFrame) -> DataFrame:
+    out = _queue_counts(sessions.filter("not is_staff").groupBy("store_id"), sessions)
     return out.withColumn("abandonment_rate", ratio(F.col("abandon_sessions"), F.col("join_sessions")))
 
 
