@@ -75,6 +75,24 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress_vectors
+
+    return compress_vectors(table(spark, sf_dir, "embeddings")).rows
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digest, fill_middle, restored
+
+    return digest(restored(fill_middle(table(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,12 +102,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_itq_embedding_dedup, op2_secret_scan, op3_tiff_pages, op4_quality_scores, op5_mix_sources,
-        op6_simhash_dedup, op7_minimax_shards, op8_language_id, op9_quote_links, op10_pack_sequences, pipeline,
+        op6_simhash_dedup, op7_minimax_shards, op8_language_id, op9_quote_links, op10_pack_sequences, op11_token_counts,
+        op12_vector_codes, op13_fill_middle, pipeline,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import itq_dedup, mixing, quotes
+    from . import fill_middle, itq_dedup, mixing, quotes, vector_codes
 
-    return {"op1_itq_embedding_dedup": itq_dedup.oracle(), "op5_mix_sources": mixing.oracle(), "op9_quote_links": quotes.oracle()}
+    return {
+        "op1_itq_embedding_dedup": itq_dedup.oracle(), "op5_mix_sources": mixing.oracle(), "op9_quote_links": quotes.oracle(),
+        "op12_vector_codes": vector_codes.oracle(), "op13_fill_middle": fill_middle.oracle(),
+    }
