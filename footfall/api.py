@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from functools import cached_property
 from typing import ClassVar
@@ -11,8 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lineage import shared_folder
 from .operators import audit, calibration, correlation, ingest, projections, sessions, verifier
-from .sources import readers
+from .sources.event_store import EventStore
 
 PERIOD_US = 86_400_000_000
 
@@ -31,7 +33,10 @@ class ReplayRunning(RuntimeError):
 
 @dataclass
 class ReplayResult:
-    """What a replay took in; ``progress`` can be read while it runs."""
+    """What a replay took in; ``progress`` can be read while it runs, from another thread.
+
+    Until the counts are known ``pct`` is the share of finished tasks among those that Spark has begun or planned for the replay.
+    """
 
     source: str
     total: int = 0
@@ -41,6 +46,7 @@ class ReplayResult:
     elapsed_sec: float = 0.0
     running: bool = True
     begun: float = field(default_factory=time.monotonic, repr=False)
+    group: str = field(default_factory=lambda: f"replay-{uuid.uuid4().hex}", repr=False)
 
     def done(self, counts: dict[str, int]) -> ReplayResult:
         self.accepted, self.duplicates, self.rejected = counts["accepted"], counts["duplicate"], counts["rejected"]
@@ -48,9 +54,25 @@ class ReplayResult:
         self.elapsed_sec = round(time.monotonic() - self.begun, 3)
         return self
 
+    def tasks(self, spark: SparkSession) -> tuple[int, int]:
+        """(finished, known) tasks of the replay's jobs."""
+        tracker, ended, known = spark.sparkContext.statusTracker(), 0, 0
+        for job in tracker.getJobIdsForGroup(self.group):
+            told = tracker.getJobInfo(job)
+            for stage in told.stageIds if told else []:
+                info = tracker.getStageInfo(stage)
+                if info:
+                    ended, known = ended + info.numCompletedTasks, known + info.numTasks
+        return ended, known
+
     def progress(self) -> dict:
         replayed = self.accepted + self.duplicates + self.rejected
-        return {"is_replaying": self.running, "replayed": replayed, "total": self.total, "pct": round(100 * replayed / max(1, self.total), 1)}
+        pct = 100 * replayed / max(1, self.total)
+        spark = SparkSession.getActiveSession() or SparkSession._instantiatedSession
+        if self.running and spark is not None:
+            ended, known = self.tasks(spark)
+            pct = min(99.9, 100 * ended / max(1, known))
+        return {"is_replaying": self.running, "replayed": replayed, "total": self.total, "pct": round(pct, 1)}
 
     def to_dict(self) -> dict:
         return {k: getattr(self, k) for k in ("source", "total", "accepted", "duplicates", "rejected", "elapsed_sec")}
@@ -64,8 +86,8 @@ class StoreAnalytics:
 
     _replays: ClassVar[dict[str, ReplayResult]] = {}
 
-    def __init__(self, events: DataFrame, pos: DataFrame, as_of_us: int, replayed: ReplayResult | None = None):
-        self.events, self.pos, self.as_of_us, self.replayed = events, pos, as_of_us, replayed
+    def __init__(self, events: DataFrame, pos: DataFrame, as_of_us: int, replayed: ReplayResult | None = None, log: EventStore | None = None):
+        self.events, self.pos, self.as_of_us, self.replayed, self.log = ingest.log_columns(events), pos, as_of_us, replayed, log
 
     def __enter__(self) -> StoreAnalytics:
         return self
@@ -79,25 +101,39 @@ class StoreAnalytics:
             self.__dict__.pop("sessions").unpersist()
 
     @classmethod
-    def replay(cls, spark: SparkSession, path: str, pos: DataFrame, as_of_us: int, store_id: str | None = None) -> StoreAnalytics:
+    def replay(cls, spark: SparkSession, path: str, pos: DataFrame, as_of_us: int, store_id: str | None = None, folder: str | None = None) -> StoreAnalytics:
         """A fresh state out of a JSONL log, sorted by time; ``replayed`` tells how many lines were taken.
 
-        A path without files raises FileNotFoundError, one that is being replayed ReplayRunning.
+        The log is written once to an ``EventStore`` in ``folder``, a new one (by default one that goes with the driver), which later
+        batches are added to. A path without files raises FileNotFoundError, one that is being replayed ReplayRunning.
         """
         running = cls._replays.get(path)
         if running is not None and running.running:
             raise ReplayRunning(path)
         result = cls._replays[path] = ReplayResult(path)
+        context = spark.sparkContext
+        before = context.getLocalProperty("spark.jobGroup.id"), context.getLocalProperty("spark.job.description")
+        context.setJobGroup(result.group, f"replay of {path}")
         try:
-            events, checked = readers.replay_file(spark, path, as_of_us, store_id)
-            result.done(ingest.summary(checked).first().asDict())
+            log = EventStore(spark, folder or shared_folder(spark))
+            if log.last() is not None:
+                raise ValueError(f"{folder} holds a log already")
+            result.done(log.replay(path, as_of_us, store_id).counts())
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise FileNotFoundError(path) from e
             raise
         finally:
             result.running = False
-        return cls(events, pos, as_of_us, result)
+            for name, value in zip(("spark.jobGroup.id", "spark.job.description"), before):
+                context.setLocalProperty(name, value)
+        return cls(log.events(), pos, as_of_us, result, log)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str, pos: DataFrame, as_of_us: int) -> StoreAnalytics:
+        """The state of a log that an earlier run has left in ``folder``."""
+        log = EventStore(spark, folder)
+        return cls(log.events(), pos, as_of_us, None, log)
 
     @classmethod
     def progress(cls, path: str) -> dict:
@@ -108,13 +144,19 @@ class StoreAnalytics:
     def ingest(self, raw: DataFrame) -> tuple[StoreAnalytics, DataFrame, DataFrame]:
         """(state with the batch, rejected, summary) for ``raw(arrival_seq, value)`` of 1 to 500 lines.
 
-        The batch arrives after all that is stored, whatever its own numbers begin with.
+        The batch arrives after all that is stored, whatever its own numbers begin with. With a stored log it is appended there and
+        asks only for its own ids; a log that is a plain table is read through for them, and the new state is the union.
         """
-        accepted, rejected, summary = ingest.ingest(raw, self.as_of_us, self.events)
+        if self.log is not None:
+            commit = self.log.append(raw, self.as_of_us)
+            summary = raw.sparkSession.createDataFrame([tuple(commit.counts().values())], "accepted long, duplicate long, rejected long")
+            return StoreAnalytics(self.log.events(), self.pos, self.as_of_us, self.replayed, self.log), self.log.rejected(commit.batch), summary
+        ingest.batch_size(raw)
+        checked = ingest.with_status(ingest.validate(raw, self.as_of_us), self.events, bounded=True)
         last = self.events.agg(F.coalesce(F.max("arrival_seq") + 1, F.lit(0)).alias("n")).first().n
         least = raw.agg(F.coalesce(F.min("arrival_seq"), F.lit(0)).alias("n")).first().n
-        placed = accepted.withColumn("arrival_seq", F.col("arrival_seq") + F.lit(last - least).cast("long"))
-        return StoreAnalytics(self.events.unionByName(placed.select(*self.events.columns)), self.pos, self.as_of_us), rejected, summary
+        placed = ingest.log_columns(checked.filter("status = 'accepted'").withColumn("arrival_seq", F.col("arrival_seq") + F.lit(last - least).cast("long")))
+        return StoreAnalytics(self.events.unionByName(placed), self.pos, self.as_of_us), ingest.rejected(checked), ingest.summary(checked)
 
     @cached_property
     def numbered(self) -> DataFrame:

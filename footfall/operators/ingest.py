@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import EVENT_TYPES, FUTURE_SLACK_US, MAX_BATCH
+from ..schema import EVENT, EVENT_TYPES, FUTURE_SLACK_US, MAX_BATCH
 
 _TEXT, _WHOLE, _FLAG = "STRING", "BIGINT", "BOOLEAN"
 
@@ -39,10 +39,12 @@ def parse_timestamp_us(text: Column) -> Column:
     return F.when(has_offset, F.unix_micros(F.try_to_timestamp(F.regexp_replace(colon, "z$", "Z"))))
 
 
-def validate(raw: DataFrame, as_of_us: int, value: str = "value", order: str = "arrival_seq") -> DataFrame:
+def validate(raw: DataFrame, as_of_us: int | Column, value: str = "value", order: str = "arrival_seq") -> DataFrame:
     """Each line with its typed fields and ``errors``, the reasons why it is not an event (empty: it is one).
 
-    Types are those of the JSON text, nothing is converted: ``"500"`` is no number and ``"True"`` no flag.
+    Types are those of the JSON text, nothing is converted: ``"500"`` is no number and ``"True"`` no flag. ``as_of_us`` is
+    the clock; a stream gives ``clock()``, which moves on with its batches. ``metadata`` is told as JSON text, and whole as
+    VARIANT in ``meta``.
     """
     parsed = raw.select(F.col(order).alias("arrival_seq"), F.col(value).alias("raw"), F.try_parse_json(value).alias("v"))
     # worked out once: the checks below name each type several times
@@ -61,7 +63,7 @@ def validate(raw: DataFrame, as_of_us: int, value: str = "value", order: str = "
     checks += [
         _reason(_kind("timestamp").isNull(), "timestamp: field required"),
         _reason(_kind("timestamp").isNotNull() & at.isNull(), "timestamp: must be ISO-8601 with an offset"),
-        _reason(at > as_of_us + FUTURE_SLACK_US, "timestamp: too far in the future"),
+        _reason(at > (as_of_us if isinstance(as_of_us, Column) else F.lit(as_of_us)) + FUTURE_SLACK_US, "timestamp: too far in the future"),
     ]
     dwell, staff, sure = _kind("dwell_ms"), _kind("is_staff"), _kind("confidence")
     number = F.when(sure.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("v", "$.confidence", "double"))
@@ -96,26 +98,46 @@ def validate(raw: DataFrame, as_of_us: int, value: str = "value", order: str = "
         whole("metadata.wait_duration_ms").alias("wait_ms"),
         F.try_variant_get("v", "$.metadata.reid_score", "double").alias("reid_score"),
         F.to_json(F.try_variant_get("v", "$.metadata", "variant")).alias("metadata"),
+        F.try_variant_get("v", "$.metadata", "variant").alias("meta"),
     )
 
 
-def with_status(validated: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def clock() -> Column:
+    """The time in microseconds since 1970, in a stream that of each batch."""
+    return F.unix_micros(F.current_timestamp())
+
+
+def with_status(validated: DataFrame, stored: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Adds ``status``: rejected, duplicate or accepted. Of valid lines with one event id the first arrival is accepted,
-    unless ``stored`` has the id already."""
+    unless ``stored(event_id)`` has the id already.
+
+    ``bounded`` says that there are at most MAX_BATCH lines: their ids then go to the stored ones, which are read without a shuffle.
+    """
     valid = F.size("errors") == 0
     # lines without an event's id are keys of their own, so that a feed of broken lines is no single window
     keyed = validated.withColumn("dedup_key", F.when(valid, F.col("event_id")).otherwise(F.concat(F.lit("#"), F.col("arrival_seq").cast("string"))))
     rows = keyed.withColumn("first_seq", F.min("arrival_seq").over(Window.partitionBy("dedup_key")))
     known = F.lit(False)
     if stored is not None:
-        rows = rows.join(stored.select(F.col("event_id").alias("dedup_key")).distinct().withColumn("known", F.lit(True)), "dedup_key", "left")
+        ids = stored.select(F.col("event_id").alias("dedup_key"))
+        if bounded:
+            ids = ids.join(F.broadcast(keyed.filter(valid).select("dedup_key").distinct()), "dedup_key", "left_semi")
+        met = ids.distinct().withColumn("known", F.lit(True))
+        rows = rows.join(F.broadcast(met) if bounded else met, "dedup_key", "left")
         known = F.coalesce("known", F.lit(False))
     status = F.when(~valid, "rejected").when(known | (F.col("arrival_seq") != F.col("first_seq")), "duplicate").otherwise("accepted")
     return rows.withColumn("status", status).drop("first_seq", "known", "dedup_key")
 
 
 def accepted(checked: DataFrame) -> DataFrame:
-    return checked.filter("status = 'accepted'").drop("errors", "status", "raw")
+    return checked.filter("status = 'accepted'").drop("errors", "status", "raw", "meta")
+
+
+def log_columns(events: DataFrame) -> DataFrame:
+    """A log's columns alone: those of ``schema.EVENT`` and ``metadata`` as VARIANT, null where the table has none."""
+    kind = dict(events.dtypes).get("metadata")
+    whole = F.col("meta") if "meta" in events.columns else F.lit(None).cast("variant") if kind is None else F.try_parse_json("metadata") if kind == "string" else F.col("metadata")
+    return events.select(*EVENT.fieldNames(), whole.alias("metadata"))
 
 
 def rejected(checked: DataFrame) -> DataFrame:
@@ -133,20 +155,27 @@ def dedup(events: DataFrame) -> DataFrame:
     return events.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
-def ingest(raw: DataFrame, as_of_us: int, stored: DataFrame | None = None, batch_limit: int | None = MAX_BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def batch_size(raw: DataFrame, limit: int = MAX_BATCH) -> int:
+    """Lines of a batch, which must hold 1 to ``limit``."""
+    n = raw.limit(limit + 1).count()
+    if not 1 <= n <= limit:
+        raise ValueError(f"a batch holds 1 to {limit} events")
+    return n
+
+
+def ingest(raw: DataFrame, as_of_us: int | Column, stored: DataFrame | None = None, batch_limit: int | None = MAX_BATCH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, rejected, summary) of one batch; a batch must hold 1 to ``batch_limit`` lines (None: any number)."""
     if batch_limit is not None:
-        n = raw.limit(batch_limit + 1).count()
-        if not 1 <= n <= batch_limit:
-            raise ValueError(f"a batch holds 1 to {batch_limit} events")
-    checked = with_status(validate(raw, as_of_us), stored)
+        batch_size(raw, batch_limit)
+    checked = with_status(validate(raw, as_of_us), stored, bounded=batch_limit is not None and batch_limit <= MAX_BATCH)
     return accepted(checked), rejected(checked), summary(checked)
 
 
 def replay_order(events: DataFrame) -> DataFrame:
-    """Arrival numbers by time, then file order, for a replay: a range-partitioned sort and no single window.
+    """Arrival numbers by time, then file order (``file_seq``, else the arrival so far), for a replay: a range-partitioned sort and no single window.
 
-    Numbers grow with the order but are not dense, which is all that the window operators ask for.
+    Numbers grow with the order but are not dense, which is all that the window operators ask for. They are those of one run of the
+    plan, so a table that is read more than once is to be written first.
     """
     named = events if "file_seq" in events.columns else events.withColumn("file_seq", F.col("arrival_seq"))
     ordered = named.drop("arrival_seq").repartitionByRange("ts_us", "file_seq").sortWithinPartitions("ts_us", "file_seq")

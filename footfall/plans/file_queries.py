@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
-from ..operators import audit, behavior, floor, identity, ingest, lifecycle, projections, verifier
+from ..operators import audit, behavior, floor, identity, ingest, lifecycle, projections, ranks, verifier
 from ..sources import readers, sinks
+from ..sources.event_store import EventStore
 from ..sources.fixtures import POS_SQL, pos_transactions, store_events
 from .floor_queries import AS_OF_EPOCH_US, RECTANGLES, SQL as FLOOR_SQL, _zones, health_fold, occlusion_class
 from .store_queries import AUDIT_SQL, BASE, EV, TRACED_SQL, WARNINGS_SQL
@@ -90,6 +91,55 @@ def event_times_from_text(spark, sf):
     return store_events(spark, sf).select("arrival_seq", ingest.parse_timestamp_us(local).alias("ts_us"))
 
 
+# ---------------------------------------------------------------- a log that grows
+
+#: The batch that brings each event first: two thirds of the log, then its even numbers, then all of it.
+_BATCH = "CASE WHEN arrival_seq % 3 <> 0 THEN 0 WHEN arrival_seq % 2 = 0 THEN 1 ELSE 2 END"
+_GROWN = f"{EV}, {_FILED_SQL}, bt AS (SELECT *, {_BATCH} AS batch FROM fl)"
+
+
+def _grown(store: EventStore) -> DataFrame:
+    """Accepted events with their batch and place, and the number that another branch of the plan finds for each."""
+    kept = store.lines().filter("status = 'accepted'")
+    other = kept.filter("store_id is not null").groupBy("event_id").agg(F.max("arrival_seq").alias("other"))
+    placed = ranks.dense_positions(kept.join(other, "event_id"), "arrival_seq")
+    return placed.select("event_id", F.col("batch").cast("int").alias("batch"), "position", (F.col("other") != F.col("arrival_seq")).alias("differs"))
+
+
+@query(f"{_GROWN} SELECT event_id, batch, row_number() OVER (ORDER BY batch, arrival_seq) AS position, false AS differs FROM bt")
+def incremental_ingest(spark, sf):
+    """Three overlapping batches of lines appended to a store: each event is taken from the first one that has it."""
+    lines, store = sinks.event_json(_filed(spark, sf)), EventStore(spark, shared_folder(spark), buckets=16)
+    for part in (lines.filter("arrival_seq % 3 <> 0"), lines.filter("arrival_seq % 2 = 0"), lines):
+        store.append(part, AS_OF_EPOCH_US, limit=None)
+    return _grown(store)
+
+
+@query(f"{_GROWN} SELECT event_id, batch, row_number() OVER (ORDER BY batch, CASE WHEN batch = 0 THEN ts_us ELSE 0 END, arrival_seq) AS position, false AS differs FROM bt")
+def replay_then_ingest(spark, sf):
+    """The first of those batches is replayed from files, in order of time, and the others arrive after it."""
+    lines, path = sinks.event_json(_filed(spark, sf)), shared_folder(spark)
+    lines.filter("arrival_seq % 3 <> 0").repartitionByRange("arrival_seq").sortWithinPartitions("arrival_seq").select("value").write.text(path)
+    store = EventStore(spark, shared_folder(spark), buckets=16)
+    store.replay(path, AS_OF_EPOCH_US)
+    for part in (lines.filter("arrival_seq % 2 = 0"), lines):
+        store.append(part, AS_OF_EPOCH_US, limit=None)
+    return _grown(store)
+
+
+@query(f"{EV}, {_FILED_SQL} SELECT event_id, arrival_seq % 5 AS shelf, arrival_seq % 3 = 0 AS tagged, queue_depth FROM fl")
+def open_metadata(spark, sf):
+    """Metadata that the log has no column for, through a store, its files and a replay of these."""
+    extra = F.to_json(F.struct("queue_depth", F.struct((F.col("arrival_seq") % 5).alias("row")).alias("shelf"), F.when(F.col("arrival_seq") % 3 == 0, F.array(F.lit("promo"))).alias("tags")))
+    events, path = _filed(spark, sf).withColumn("metadata", F.parse_json(extra)), shared_folder(spark)
+    first, again = (EventStore(spark, shared_folder(spark), buckets=16) for _ in range(2))
+    first.append(sinks.event_json(events), AS_OF_EPOCH_US, limit=None)
+    sinks.write_events(first.events(), path)
+    again.replay(path, AS_OF_EPOCH_US)
+    found = lambda name, kind: F.try_variant_get("metadata", name, kind)
+    return again.events().select("event_id", found("$.shelf.row", "long").alias("shelf"), F.coalesce(found("$.tags[0]", "string") == "promo", F.lit(False)).alias("tagged"), "queue_depth")
+
+
 # ---------------------------------------------------------------- transaction files
 
 _ORDERS = "o_orderkey AS k, o_orderdate AS d, o_totalprice AS v"

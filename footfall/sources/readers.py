@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from ..operators import ingest
 
 _PLACE = ("file_path", "block", "line")
@@ -18,17 +19,21 @@ def _placed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"file_path": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()})
 
 
+def _event_lines(spark: SparkSession, path: str, store_id: str | None = None) -> DataFrame:
+    lines = _placed(spark.read.text(path)).filter(F.trim("value") != "")
+    if store_id is not None:
+        lines = lines.filter(F.try_variant_get(F.try_parse_json("value"), "$.store_id", "string") == store_id)
+    return lines
+
+
 def read_event_lines(spark: SparkSession, path: str, store_id: str | None = None) -> DataFrame:
     """Non-blank lines of a JSONL log as (arrival_seq, value), in file order; one store's if named.
 
-    arrival_seq grows with the order of lines in a file without being dense. Lines that are no JSON are
-    kept, to be counted by ``ingest.validate``, unless a store is asked for.
+    arrival_seq grows with the order of lines in a file without being dense. The numbered lines are written once, so that every
+    branch of a plan sees the same numbers. Lines that are no JSON are kept, to be counted by ``ingest.validate``, unless a store is asked for.
     """
-    lines = _placed(spark.read.text(path)).filter(F.trim("value") != "")
-    if store_id is not None:
-        lines = lines.filter(F.try_variant_get(F.try_parse_json("value"), "$.store_id", "string") == store_id)
-    ordered = lines.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
-    return ordered.select(F.monotonically_increasing_id().alias("arrival_seq"), "value")
+    ordered = _event_lines(spark, path, store_id).repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+    return cut(ordered.select(F.monotonically_increasing_id().alias("arrival_seq"), "value"))
 
 
 def malformed(lines: DataFrame) -> DataFrame:
@@ -36,10 +41,19 @@ def malformed(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count_if(F.try_parse_json("value").isNull()).alias("malformed"))
 
 
+def replay_lines(spark: SparkSession, path: str, as_of_us: int, store_id: str | None = None) -> DataFrame:
+    """Checked lines of a JSONL log with arrival numbers by time, then by place in the files; rejected lines without a time come first.
+
+    Each line is parsed once; of one event id the first line in the files is accepted. To be written before it is read twice.
+    """
+    lines = _event_lines(spark, path, store_id).select(F.struct(*_PLACE).alias("arrival_seq"), "value")
+    return ingest.replay_order(ingest.with_status(ingest.validate(lines, as_of_us))).drop("file_seq")
+
+
 def replay_file(spark: SparkSession, path: str, as_of_us: int, store_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted events in replay order, checked lines) of a JSONL log: validated, first ids kept, sorted by time."""
-    checked = ingest.with_status(ingest.validate(read_event_lines(spark, path, store_id), as_of_us))
-    return ingest.replay_order(ingest.accepted(checked)), checked
+    """(accepted events in replay order, checked lines) of a JSONL log, both out of one written table."""
+    checked = cut(replay_lines(spark, path, as_of_us, store_id))
+    return ingest.accepted(checked), checked
 
 
 def _first_text(columns: list[str], names: tuple[str, ...]) -> Column:

@@ -16,8 +16,10 @@ def iso_time(ts_us: Column) -> Column:
 
 
 def event_json(events: DataFrame) -> DataFrame:
-    """One JSON line per event in the shape that ingest reads."""
+    """One JSON line per event in the shape that ingest reads, with whatever else its VARIANT ``metadata`` holds."""
     meta = F.struct("queue_depth", F.col("wait_ms").alias("wait_duration_ms"), "reid_score")
+    if dict(events.dtypes).get("metadata") == "variant":
+        meta = F.coalesce("metadata", F.try_parse_json(F.to_json(meta)))
     body = F.struct("event_id", "store_id", "camera_id", "visitor_id", "event_type", iso_time(F.col("ts_us")).alias("timestamp"), "zone_id", "dwell_ms", "is_staff", "confidence", meta.alias("metadata"))
     return events.select("store_id", "arrival_seq", F.to_json(body).alias("value"))
 

@@ -21,10 +21,13 @@ def read_lines(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return reader.load(path).filter(F.trim("value") != "")
 
 
-def valid_events(lines: DataFrame, as_of_us: int) -> DataFrame:
-    """Valid events of a stream of lines. The order within a visitor is that of the timestamp, as a folder has no line order."""
-    checked = ingest.validate(lines.withColumn("arrival_seq", F.lit(0).cast("long")), as_of_us)
-    return checked.filter(F.size("errors") == 0).drop("errors", "raw", "arrival_seq").withColumn("arrival_seq", F.col("ts_us"))
+def valid_events(lines: DataFrame, as_of_us: int | None = None) -> DataFrame:
+    """Valid events of a stream of lines. The order within a visitor is that of the timestamp, as a folder has no line order.
+
+    What lies ahead is measured against the time of each batch, unless a clock is given to repeat an old run.
+    """
+    checked = ingest.validate(lines.withColumn("arrival_seq", F.lit(0).cast("long")), ingest.clock() if as_of_us is None else as_of_us)
+    return checked.filter(F.size("errors") == 0).drop("errors", "raw", "meta", "arrival_seq").withColumn("arrival_seq", F.col("ts_us"))
 
 
 def first_arrivals(events: DataFrame, delay: str | None = "1 day") -> DataFrame:
