@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,24 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: list[str] = []
-
-
-def scratch_base(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may fall back to a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.conf.get("spark.master", "local")
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _FALLBACK:
-        _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="footfall-"))
-    return _FALLBACK[0]
-
+from ..functions.lineage import shared_base
 
 class Scratch:
     """Tables written to the shared folder to cut lineage; survives lost executors.
@@ -41,7 +23,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.base = f"{scratch_base(spark)}/footfall-{spark.sparkContext.applicationId}"
+        self.base = f"{shared_base(spark)}/footfall-{spark.sparkContext.applicationId}"
         where, files = self._at(self.base)
         files.deleteOnExit(where)
 

@@ -95,10 +95,10 @@ def build_model(counts: dict[str, dict[str, int]], documents: dict[str, int]) ->
 def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY, languages: int = LANGUAGES) -> LanguageModel:
     """Fit on rows with a language and crc32(doc_id) % 4 other than 2: about ``sample`` documents a language.
 
-    Documents are drawn by their ids' hash; the commonest ``vocabulary`` words of each language are kept, fewer beyond 14
+    Documents are drawn by the hash of id and text; the commonest ``vocabulary`` words of each language are kept, fewer beyond 14
     languages so that the model stays within ``MODEL_NUMBERS``. Of more than ``languages`` values of lang the commonest are
-    learnt (ties: first by name). Null texts and languages are passed over; a null id learns like any outside the fold and its rows are drawn
-    together; repeated rows count each; an empty table gives a model without languages; other columns are ignored.
+    learnt (ties: first by name). Null texts and languages are passed over; a null id learns like any outside the fold; repeated
+    rows count each and are drawn together; an empty table gives a model without languages; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -109,7 +109,7 @@ def fit_languages(docs: DataFrame, sample: int = SAMPLE_DOCS, vocabulary: int =
         return build_model({}, {})
     vocabulary = min(vocabulary, max(1, MODEL_NUMBERS // len(totals) ** 2))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, int(min(1.0, sample / n) * (1 << 40)))]), F.col("lang"))
-    drawn = learn.filter(F.col("lang").isin(list(totals))).filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 24) <= share).select("lang", "text")
+    drawn = learn.filter(F.col("lang").isin(list(totals))).filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(23)), 24) <= share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)

@@ -19,6 +19,7 @@ PREFIX_ROWS = 2048
 ROW = "_footfall_row"
 _TIMES = "_footfall_times"
 _BITS = 60
+_NTH = "_footfall_nth"
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,9 @@ def mix_sources(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQ
     document (the document at its end may be cut). tokens_taken adds up to leaf_budget in each leaf.
     Null lang or source form leaves of their own named ``(none)``; null and empty texts count one token;
     repeated rows count each; an empty table gives no rows; other columns are ignored.
+
+    The order is that of the ids' seeded hash, then id, tokens and a number of the row. Rows of one id, or without any, share
+    a hash; where they overfill a window of it they are dealt to parts by their numbers, which then come first in its order.
     """
     return _planned(docs, mix, domain_sql, prefix_rows)
 
@@ -107,7 +111,7 @@ def _planned(docs: DataFrame, mix: Mix, domain_sql: str, prefix_rows: int, *row:
     """The rows of ``mix_sources``, with the unique column ``row`` of ``docs`` if one is named."""
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select(
-        *row,
+        (F.col(row[0]) if row else F.monotonically_increasing_id()).alias(_NTH),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.expr(domain_sql), F.lit("(none)")).alias("domain"),
         F.coalesce("lang", F.lit("(none)")).alias("lang"),
@@ -128,16 +132,20 @@ def _planned(docs: DataFrame, mix: Mix, domain_sql: str, prefix_rows: int, *row:
     few = plan.count() <= BROADCAST_LEAVES
     joined = keyed.join(F.broadcast(plan) if few else plan, list(LEVELS))
     spot = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(mix.seed)), F.col("epochs").cast("string")).cast("binary")), 1, _BITS // 4), 16, 10).cast("long")
-    placed = joined.withColumn("spot", spot).withColumn("window", F.expr(f"shiftright(spot, {_BITS} - bits)"))
-    sums = placed.groupBy(*LEVELS, "window").agg(F.sum("n_tokens").alias("n"))
-    before = Window.partitionBy(*LEVELS).orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
-    sums = scratch.keep(sums.select(*LEVELS, "window", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    keys = [*LEVELS, "window"]
-    within = Window.partitionBy(*keys).orderBy("spot", "doc_id", "n_tokens", *row).rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.withColumn("spot", spot).withColumns({"window": F.expr(f"shiftright(spot, {_BITS} - bits)"), "deal": F.lit(0).cast("long")})
+    keys = [*LEVELS, "window", "deal"]
+    sums = scratch.keep(placed.groupBy(*keys).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")))
+    full = sums.filter(F.col("rows") > 4 * prefix_rows).select(*keys[:-1], F.ceil(F.col("rows") / prefix_rows).alias("deals"))
+    if not full.isEmpty():
+        placed = placed.join(full, keys[:-1], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64(_NTH), F.col("deals")), F.lit(0))).drop("deals")
+        sums = placed.groupBy(*keys).agg(F.sum("n_tokens").alias("n"))
+    before = Window.partitionBy(*LEVELS).orderBy("window", "deal").rowsBetween(Window.unboundedPreceding, -1)
+    sums = scratch.keep(sums.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    within = Window.partitionBy(*keys).orderBy("spot", "doc_id", "n_tokens", _NTH).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("offset") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     partial = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - ahead))
     out = placed.join(sums, keys).withColumn("partial_tokens", partial)
-    return out.select(*row, "doc_id", *LEVELS, "n_tokens", "leaf_budget", "epochs", "partial_tokens", (F.col("epochs") * F.col("n_tokens") + F.col("partial_tokens")).alias("tokens_taken"))
+    return out.select(*(F.col(_NTH).alias(r) for r in row), "doc_id", *LEVELS, "n_tokens", "leaf_budget", "epochs", "partial_tokens", (F.col("epochs") * F.col("n_tokens") + F.col("partial_tokens")).alias("tokens_taken"))
 
 
 def apply_mix(docs: DataFrame, mix: Mix = DEFAULT, domain_sql: str = DOMAIN_SQL) -> DataFrame:

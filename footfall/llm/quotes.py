@@ -150,7 +150,8 @@ def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> Dat
     parent's turn, then their own, so an original stands before its replies; position counts from 0 in
     each conversation. Null texts are empty bodies, a null turn sorts first and links with nothing, rows
     that repeat a turn are messages of their own, a null conv_id is one conversation without links; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. Rows of equal parent and own turn are ordered by role and body, unless
+    they are too many for one task; see ``reply_positions``.
     """
     scratch = Scratch(conversations.sparkSession)
     named = conversations.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
@@ -169,8 +170,7 @@ def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> Dat
         heads = sources.join(long, ["conv_id", "meet"]).groupBy("conv_id", "from_turn", "key").agg(F.collect_set(F.struct("meet", "words")).alias("asked"))
         texts = keyed.select("key", "conv_id", F.col("turn").alias("from_turn"), "body")
         held = held.unionByName(find_long(texts.join(heads, ["conv_id", "from_turn", "key"])))
-    turns = held.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.sort_array(F.collect_set("from_turn")).alias("turns"))
-    found = wanted.join(turns, ["conv_id", "hash"], "left").withColumn("origin", F.array_max(F.filter("turns", lambda t: t < F.col("turn"))))
+    found = latest_before(wanted, held.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct(), order_turns)
     per = found.groupBy("conv_id", "turn", "key").agg(
         F.count(F.lit(1)).alias("n_quotes"),
         F.count("origin").alias("n_linked"),
@@ -186,14 +186,66 @@ def link_quotes(conversations: DataFrame, order_turns: int = ORDER_TURNS) -> Dat
     joined = joined.join(previous, ["conv_id", "turn"], "left")
     parent = F.coalesce(-F.col("best.minus"), F.col("previous"))
     made = joined.select("conv_id", "turn", "role", "body", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), parent.alias("parent_turn"))
-    made = scratch.keep(made.withColumn("span", F.floor(F.coalesce("parent_turn", "turn") / order_turns)))
-    # numbering in two steps: a conversation's rows in spans of parent turns, then within each span
-    counts = made.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
-    first = F.col("span").asc_nulls_first()
-    before = Window.partitionBy("conv_id").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("conv_id").alias("c"), F.col("span").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("conv_id", "span").orderBy(F.col("parent_turn").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("body"))
-    placed = made.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("span").eqNullSafe(F.col("s")))
+    return reply_positions(scratch.numbered(made, "nth"), order_turns, scratch)
+
+
+def latest_before(asked: DataFrame, held: DataFrame, span: int) -> DataFrame:
+    """``asked(conv_id, hash, turn, ...)`` with ``origin``, the latest turn before its own at which ``held(conv_id, hash, from_turn)`` has the passage.
+
+    As-of by running maxima: turns are cut into spans, the spans' latest turns are carried on first, and rows then meet in their span
+    only, so a passage that stands in every turn is no single window and no list.
+    """
+    own = [c for c in asked.columns if c not in ("conv_id", "hash", "turn")]
+    told = held.select("conv_id", "hash", F.col("from_turn").alias("turn"), F.lit(1).alias("kind"), F.col("from_turn").alias("at"))
+    both = asked.withColumns({"kind": F.lit(0), "at": F.lit(None).cast("long")}).unionByName(told, allowMissingColumns=True).withColumn("span", F.floor(F.col("turn") / span))
+    ends = both.groupBy("conv_id", "hash", "span").agg(F.max("at").alias("end"))
+    carried = F.max("end").over(Window.partitionBy("conv_id", "hash").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    carry = ends.select("conv_id", "hash", "span", carried.alias("carry"))
+    # of one turn the asking rows come first: a turn is no origin of itself
+    within = Window.partitionBy("conv_id", "hash", "span").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("near", F.max("at").over(within)).filter("kind = 0").join(carry, ["conv_id", "hash", "span"])
+    return met.select("conv_id", "hash", "turn", *own, F.coalesce("near", "carry").alias("origin"))
+
+
+def reply_positions(made: DataFrame, order_turns: int, scratch: Scratch) -> DataFrame:
+    """Adds ``position`` to ``made(conv_id, turn, role, body, ..., parent_turn, nth)``, whose ``nth`` numbers the rows.
+
+    A conversation's rows are counted in spans of parent turns and numbered within them. Spans that hold over four times
+    ``order_turns`` rows are cut by parent turn and span of own turns, and what still is too large, which is the replies of equal
+    turns to one turn, is dealt by the rows' numbers, so that their order among themselves is that of the deal.
+    """
+    low = F.lit(-(1 << 63)).cast("long")
+    at = lambda c: F.coalesce(F.floor(F.col(c) / order_turns), low)
+    cell = ["conv_id", "span", "parent", "own", "deal"]
+    zero = F.lit(0).cast("long")
+    dealt = made.withColumns({"span": F.coalesce(F.floor(F.coalesce("parent_turn", "turn") / order_turns), low), "parent": zero, "own": zero, "deal": zero})
+
+    def counts(table: DataFrame) -> DataFrame:
+        return scratch.keep(table.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")))
+
+    def finer(table: DataFrame, sizes: DataFrame, change: dict) -> DataFrame | None:
+        hot = sizes.filter(F.col("n") > 4 * order_turns).select(*[F.col(c).alias(f"{c}_") for c in cell], F.col("n").alias("rows_"))
+        if hot.isEmpty():
+            return None
+        same = F.lit(True)
+        for c in cell:
+            same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+        met = table.join(hot, same, "left")
+        return met.withColumns({k: F.when(F.col("rows_").isNotNull(), v).otherwise(F.col(k)) for k, v in change.items()}).drop(*hot.columns)
+
+    sizes = counts(dealt)
+    for change in ({"parent": F.coalesce("parent_turn", low), "own": at("turn")}, {"deal": F.pmod(F.xxhash64("nth"), F.ceil(F.col("rows_") / order_turns)).cast("long")}):
+        cut = finer(dealt, sizes, change)
+        if cut is None:
+            break
+        dealt, sizes = cut, counts(cut)
+    before = Window.partitionBy("conv_id").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("conv_id").alias("c"), *[F.col(k).alias(f"{k}_") for k in cell[1:]], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    for k in cell[1:]:
+        same &= F.col(k) == F.col(f"{k}_")
+    within = Window.partitionBy(*cell).orderBy(F.col("parent_turn").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("body"), "nth")
+    placed = dealt.join(offsets, same)
     return placed.select("conv_id", "turn", "role", "body", "n_quotes", "n_linked", "parent_turn", (F.col("offset") + F.row_number().over(within) - 1).alias("position"))
 
 

@@ -67,11 +67,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp, mark, bands, signature): mark names the set of the text's shingles, the rest is of ``jaccard.minima``."""
+    """(doc_id, fp, mark, bands, signature, shingles): mark names the set of the text's shingles, which has so many; the rest is of ``jaccard.minima``."""
 
     def start():
         def work(texts: list) -> dict:
-            made: dict[str, list] = {"fp": [], "mark": [], "bands": [], "signature": []}
+            made: dict[str, list] = {"fp": [], "mark": [], "bands": [], "signature": [], "shingles": []}
             for t in texts:
                 hashes = shingle_hashes(t, shingle)
                 distinct = np.unique(hashes)
@@ -80,11 +80,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 made["mark"].append(xxhash.xxh128_digest(distinct.tobytes()))
                 made["bands"].append(keys)
                 made["signature"].append(signature)
+                made["shingles"].append(len(distinct))
             return made
 
         return work
 
-    return map_texts(docs, id_col, text_col, start, "fp long,mark binary,bands longs,signature binary")
+    return map_texts(docs, id_col, text_col, start, "fp long,mark binary,bands longs,signature binary,shingles long")
 
 
 def block_masks(free: list[tuple[int, int]], radius: int = RADIUS) -> list[int]:
@@ -166,7 +167,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents link when their fingerprints differ in at most ``radius`` bits; component_id is the smallest
     doc_id reachable and kept marks that document. Null and empty texts have fingerprint 0 and link with
     each other; rows with equal text share a fingerprint, so copies are compared once; an empty table
-    gives no rows; other columns are ignored. A null id is returned with its fingerprint's component.
+    gives no rows; other columns are ignored. Rows without an id link like any; their component is the smallest id
+    in it, null if it has none.
 
     With a ``similarity``, texts also link when the Jaccard similarity of their shingle sets reaches it: such
     texts differ in more bits than blocks can select on, so their candidates are those of ``jaccard``, verified
@@ -175,16 +177,21 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession)
     prints = scratch.keep(fingerprints(docs, id_col, text_col, shingle) if similarity is None else sketches(docs, id_col, text_col, shingle))
     reps = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # links on a column that never is null: an all-null group keeps itself
-    links = close_links(reps.filter("rep is not null"), scratch, radius, block_rows)
-    if similarity is not None:
-        nodes = prints.groupBy("fp", "mark").agg(F.min(F.struct("doc_id", "bands", "signature")).alias("first")).select("fp", F.col("first.doc_id").alias("node"), "first.bands", "first.signature")
+    if similarity is None:
+        # fingerprints are the nodes, as ids may be null or stand in several of them
+        links = close_links(reps.select("fp", F.col("fp").alias("rep")), scratch, radius, block_rows)
+        parts = scratch.keep(connected_components(links, scratch))
+        grouped = reps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+        named = grouped.join(least, "component").select("fp", "component_id")
+    else:
+        links = close_links(reps, scratch, radius, block_rows)
+        nodes = prints.groupBy("fp", "mark").agg(F.min(F.struct("doc_id", "bands", "signature", "shingles")).alias("first")).select("fp", F.col("first.doc_id").alias("node"), "first.bands", "first.signature", "first.shingles")
         nodes = scratch.keep(nodes)
         same = nodes.join(reps, "fp").filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
         texts = columns(docs, id_col, text_col).toDF("node", "text").withColumns({"node": F.col("node").cast("long"), "text": F.col("text").cast("string")})
         near = similar_links(nodes, texts, lambda t: shingle_hashes(t, shingle), scratch, similarity)
-        links = links.unionByName(same).unionByName(near)
-    parts = scratch.keep(connected_components(links, scratch))
-    named = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        parts = scratch.keep(connected_components(links.unionByName(same).unionByName(near), scratch))
+        named = reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.keep(named)
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
