@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import cosine, half_even
+from ..functions.lineage import cut
 from ..schema import SECOND
 
 # Fixed values.
@@ -124,49 +125,62 @@ def shadow_matches(alive: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.groupBy("track_id").agg(best).select("track_id", "b.visitor_id", (-F.col("b.minus")).alias("confidence"))
 
 
+def match_in_turn(wishes: DataFrame, key: str) -> DataFrame:
+    """(key, track, lost, score) of ``wishes(key, track, turn, lost, wish, score)``: tracks take, in order of ``turn``, their best lost track that is still free.
+
+    Deferred acceptance instead of a fold: every track asks for the smallest ``wish`` it has left, a lost track keeps the earliest that
+    asks, and every later wish for it is dropped, as it never goes back to a later one. All lost tracks prefer alike, so this
+    ends with the one matching that taking turns gives. A round moves all tracks that were refused at once.
+    """
+    left = cut(wishes)
+    n = left.count()
+    while True:
+        best = left.groupBy(key, "track").agg(F.min(F.struct("wish", "lost", "turn", "score")).alias("b"))
+        kept = best.groupBy(key, F.col("b.lost").alias("lost")).agg(F.min("b.turn").alias("kept"))
+        rest = cut(left.join(kept, [key, "lost"], "left").filter("kept is null or turn <= kept").drop("kept"))
+        before, n = n, rest.count()
+        if n == before:
+            return best.select(key, "track", "b.lost", "b.score")
+        left = rest
+
+
+def roots(pointers: DataFrame, key: str) -> DataFrame:
+    """(key, node, root) of ``pointers(key, node, parent)``, parent null at a root: each round doubles how far a node looks."""
+    now = cut(pointers.select(key, "node", F.coalesce("parent", "node").alias("root")))
+    while True:
+        up = now.select(key, F.col("node").alias("root"), F.col("root").alias("further"))
+        looked = now.join(up, [key, "root"]).select(key, "node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved"))
+        looked = cut(looked)
+        if looked.filter("moved").isEmpty():
+            return now
+        now = looked.drop("moved")
+
+
 def continue_identities(tracks: DataFrame, scored: DataFrame, key: str, overlaps: DataFrame | None = None) -> DataFrame:
     """(key, track_id, visitor_id, is_new, reid_confidence) of ``tracks(key, track_id, start_us)`` in order of their start.
 
     A track takes over the identity of the best lost track of ``scored(key, lost_id, seen_id, identity_score, should_associate)`` that
     nobody has taken over yet (ties: the smaller id); else that of the track it overlaps, from
-    ``overlaps(track_id, with_id, similarity)``; else it is a new visitor, named after itself. A fold in order per
-    ``key``, which should end as a store's day does.
+    ``overlaps(track_id, with_id, similarity)``; else it is a new visitor, named after itself. Only tracks that began before can
+    be taken over. Matched in rounds, and names are found by following the chain of tracks in doubling steps; no key is a task.
     """
-    good = scored.filter("should_associate").groupBy(F.col("seen_id").alias("track_id"), key).agg(F.array_sort(F.collect_list(F.struct((-F.col("identity_score")).alias("minus"), "lost_id"))).alias("lost"))
-    named = tracks.select(key, "track_id", "start_us").join(good, [key, "track_id"], "left")
-    beside = F.lit(None).cast("long")
+    long = lambda c: F.col(c).cast("long")
+    known = cut(tracks.select(key, long("track_id").alias("track_id"), F.struct("start_us", long("track_id").alias("id")).alias("turn")))
+    earlier = known.select(key, F.col("track_id").alias("lost"), F.col("turn").alias("lost_turn"))
+    good = scored.filter("should_associate").select(key, long("seen_id").alias("track"), long("lost_id").alias("lost"), F.col("identity_score").cast("double").alias("score"))
+    wishes = good.join(known.select(key, F.col("track_id").alias("track"), "turn"), [key, "track"]).join(earlier, [key, "lost"]).filter("lost_turn < turn")
+    taken = match_in_turn(wishes.select(key, "track", "turn", "lost", F.struct((-F.col("score")).alias("minus"), "lost").alias("wish"), "score"), key)
+    named = known.join(taken.withColumnRenamed("track", "track_id"), [key, "track_id"], "left")
     if overlaps is not None:
-        one = overlaps.groupBy("track_id").agg(F.max(F.struct("similarity", (-F.col("with_id")).alias("minus"))).alias("o"))
-        named = named.join(one.select("track_id", (-F.col("o.minus")).alias("with_id"), F.col("o.similarity").alias("near")), "track_id", "left")
-        beside = F.col("with_id")
-    else:
-        named = named.withColumn("near", F.lit(None).cast("double"))
-    lost = F.transform("lost", lambda x: x["lost_id"].cast("long"))
-    ready = named.select(key, F.col("track_id").cast("long").alias("track_id"), "start_us", lost.alias("lost"), F.transform("lost", lambda x: -x["minus"].cast("double")).alias("scores"), beside.cast("long").alias("beside"), "near")
-    kind = tracks.schema[key].dataType.simpleString()
-
-    def run(frames):
-        import pandas as pd
-
-        now, visitor, taken = None, {}, set()
-        for frame in frames:
-            rows = []
-            for k, track, lost_ids, scores, with_id, near in zip(frame[key], frame["track_id"], frame["lost"], frame["scores"], frame["beside"], frame["near"]):
-                if k != now:
-                    now, visitor, taken = k, {}, set()
-                free = [(x, s) for x, s in zip(lost_ids, scores) if x in visitor and x not in taken] if lost_ids is not None else []
-                if free:
-                    taken.add(free[0][0])
-                    visitor[track], new, sure = visitor[free[0][0]], False, free[0][1]
-                elif with_id == with_id and with_id is not None and int(with_id) in visitor:
-                    visitor[track], new, sure = visitor[int(with_id)], False, near
-                else:
-                    visitor[track], new, sure = track, True, 1.0
-                rows.append((k, track, visitor[track], new, float(sure)))
-            yield pd.DataFrame(rows, columns=[key, "track_id", "visitor_id", "is_new", "reid_confidence"])
-
-    ordered = ready.repartition(key).sortWithinPartitions(key, "start_us", "track_id")
-    return ordered.mapInPandas(run, f"{key} {kind}, track_id long, visitor_id long, is_new boolean, reid_confidence double")
+        one = overlaps.groupBy(long("track_id").alias("track_id")).agg(F.max(F.struct("similarity", (-F.col("with_id")).alias("minus"))).alias("o"))
+        beside = one.select("track_id", (-F.col("o.minus")).cast("long").alias("lost_"), F.col("o.similarity").cast("double").alias("near"))
+        named = named.join(beside, "track_id", "left").join(earlier.withColumnRenamed("lost", "lost_"), [key, "lost_"], "left")
+        there = F.col("lost").isNull() & (F.col("lost_turn") < F.col("turn"))
+        named = named.withColumns({"score": F.when(there, F.col("near")).otherwise(F.col("score")), "lost": F.when(there, F.col("lost_")).otherwise(F.col("lost"))})
+    named = cut(named.select(key, "track_id", "lost", "score"))
+    visitors = roots(named.select(key, F.col("track_id").alias("node"), F.col("lost").alias("parent")), key)
+    made = named.join(visitors.withColumnRenamed("node", "track_id"), [key, "track_id"])
+    return made.select(key, "track_id", F.col("root").alias("visitor_id"), F.col("lost").isNull().alias("is_new"), F.coalesce(F.when(F.col("lost").isNull(), F.lit(1.0)), F.col("score")).alias("reid_confidence"))
 
 
 def colour_proxy(observations: DataFrame) -> DataFrame:

@@ -718,7 +718,17 @@ def shadow_matches(spark, sf):
     return made.select("track_id", "visitor_id", F.bround("confidence", 6).alias("confidence"))
 
 
-@query()
+_NEAR = SQL["group_pairs"].replace("SELECT a.camera_id, a.frame", ", near AS (SELECT a.camera_id, a.frame") + ")"
+
+
+@query(f"""{_NEAR.replace("WITH", "WITH RECURSIVE", 1)}, cf AS (SELECT camera_id, a, b, row_number() OVER (PARTITION BY camera_id ORDER BY seq, a, b) AS nth
+  FROM (SELECT DISTINCT camera_id, a, b FROM near) JOIN (SELECT a, b, min(frame) AS seq FROM near GROUP BY ALL) USING (a, b)),
+mg AS (SELECT camera_id, 0 AS nth, []::VARCHAR[][] AS gs FROM cf WHERE nth = 1 UNION ALL
+  SELECT camera_id, nth, CASE WHEN ga = gb OR len(ga) + len(gb) > {floor.GROUP_SIZE} THEN gs ELSE list_append(list_filter(gs, lambda g: g <> ga AND g <> gb), list_sort(list_concat(ga, gb))) END
+  FROM (SELECT r.camera_id, c.nth, gs, coalesce(list_filter(gs, lambda g: list_contains(g, c.a))[1], [c.a]) AS ga, coalesce(list_filter(gs, lambda g: list_contains(g, c.b))[1], [c.b]) AS gb
+    FROM mg r JOIN cf c ON c.camera_id = r.camera_id AND c.nth = r.nth + 1)),
+gr AS (SELECT camera_id, unnest(arg_max(gs, nth)) AS g FROM mg GROUP BY camera_id)
+SELECT camera_id, unnest(g) AS visitor_id, g[1] AS group_id, len(g)::INT AS members FROM gr""")
 def visitor_groups(spark, sf):
     """Groups of a store's visitors: pairs near in three frames more than apart, merged in order up to six."""
     spots = _spots(spark, sf)
@@ -731,7 +741,14 @@ def visitor_groups(spark, sf):
     return floor.merge_groups(confirmed, "camera_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VOTE_SQL}, tr AS (SELECT label, vec_id AS track_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS nth FROM embeddings),
+ws AS (SELECT t.label, t.nth, list(v.lost_id ORDER BY v.identity_score DESC, v.lost_id) AS lost FROM vt v JOIN tr t ON t.track_id = v.seen_id JOIN tr l ON l.track_id = v.lost_id AND l.label IS NOT DISTINCT FROM t.label AND l.nth < t.nth WHERE v.should_associate GROUP BY ALL),
+tk AS (SELECT label, 0::BIGINT AS nth, NULL::BIGINT AS pick, []::BIGINT[] AS taken FROM tr WHERE nth = 1 UNION ALL
+  SELECT label, nth, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM (SELECT r.label, r.nth + 1 AS nth, r.taken, list_filter(w.lost, lambda x: NOT list_contains(r.taken, x))[1] AS pick
+    FROM tk r JOIN tr t ON t.label IS NOT DISTINCT FROM r.label AND t.nth = r.nth + 1 LEFT JOIN ws w ON w.label IS NOT DISTINCT FROM r.label AND w.nth = r.nth + 1)),
+ow AS (SELECT t.label, t.track_id, k.pick FROM tr t JOIN tk k ON k.label IS NOT DISTINCT FROM t.label AND k.nth = t.nth),
+rt AS (SELECT track_id, track_id AS visitor_id FROM ow WHERE pick IS NULL UNION ALL SELECT o.track_id, r.visitor_id FROM rt r JOIN ow o ON o.pick = r.track_id)
+SELECT o.label, o.track_id, r.visitor_id, o.pick IS NULL AS is_new, coalesce(v.identity_score, 1.0)::DOUBLE AS reid_confidence FROM ow o JOIN rt r USING (track_id) LEFT JOIN vt v ON v.lost_id = o.pick AND v.seen_id = o.track_id""")
 def identity_continuation(spark, sf):
     """Each vector a track of its label's store, in order of id, which takes over the best lost identity still free."""
     tracks = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.col("vec_id").alias("track_id"), F.col("vec_id").alias("start_us"))

@@ -26,6 +26,8 @@ def test_groups_merge_in_order_up_to_six(spark):
     table = spark.createDataFrame([(k, *r) for k, rs in rows.items() for r in rs], "store_id string, a string, b string, seq long")
     made = {(r.store_id, r.visitor_id): (r.group_id, r.members) for r in floor.merge_groups(table, "store_id").collect()}
     assert made == {(k, v): g for k, rs in rows.items() for v, g in plain_groups(rs).items()}
+    rounds = floor.merge_groups(table, "store_id", fold_pairs=20).collect()
+    assert {(r.store_id, r.visitor_id): (r.group_id, r.members) for r in rounds} == made
     assert max(n for _, n in made.values()) == 6 and floor.merge_groups(table.limit(0), "store_id").collect() == []
 
 

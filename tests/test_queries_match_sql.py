@@ -51,7 +51,7 @@ def test_query(spark, views, name):
 
 def test_most_queries_have_sql():
     without = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert without == {"zone_overlap", "calibration_issues", "dna_compare", "visitor_groups", "identity_continuation"}
+    assert without <= {"zone_overlap", "calibration_issues", "dna_compare", "visitor_groups", "identity_continuation"}
 
 
 def test_entry(spark):
