@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import camera_number, half_even, is_entry_camera
+from ..functions.lineage import cut
 from ..schema import API_WARNINGS, CONFIDENCE_CLIFF, ENTRY, EXIT, MAX_HOPS_PER_SECOND, MAX_WARNINGS, MIN_REENTRY_GAP_US, REENTRY, SECOND, STAFF_MIN_EVENTS, STAFF_SHARE, STAFF_WINDOW_US
+from .ranks import sum_before
 
 #: code -> severity and place among the warnings of one event
 CODES = {
@@ -111,6 +117,99 @@ def staff_explosions(events: DataFrame, span_us: int = STAFF_WINDOW_US) -> DataF
     return seen.filter("own").filter((F.col("n") >= STAFF_MIN_EVENTS) & (share > STAFF_SHARE)).select("arrival_seq", "store_id", "n", half_even(share, 3).alias("staff_fraction"))
 
 
+#: Arrivals of a store that one task takes in order; see ``staff_explosions_as_arrived``.
+ARRIVALS = 65_536
+_TRAIL = "store_id string, arrival_seq long, n long, s long"
+
+
+def staff_explosions_as_arrived(events: DataFrame, span_us: int = STAFF_WINDOW_US, arrivals: int = ARRIVALS) -> DataFrame:
+    """``staff_explosions`` for a log in any order of time: at each arrival the store's trailing window holds what arrived so far and was not yet put out.
+
+    An event is put out, for good, by the first arrival at or after it whose time is a window's length or more ahead of its own; one that arrives
+    late counts from then on like any other. A store's arrivals are cut into runs. A run starts with what the runs before it
+    left in the window, which is found from their latest times; then each run is a task of its own. What is carried is thus the window itself, once a run.
+    """
+    named = events.select("store_id", "arrival_seq", "ts_us", F.col("is_staff").cast("int").alias("staff"))
+    placed = sum_before(named, ["store_id"], ["arrival_seq"], F.lit(1), "nth").withColumn("run", F.expr(f"nth div {arrivals}"))
+    placed = cut(placed.select("store_id", "run", "arrival_seq", "ts_us", "staff"))
+    latest = placed.groupBy("store_id", "run").agg(F.max("ts_us").alias("latest"))
+    after = Window.partitionBy("store_id", "run").orderBy("arrival_seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    held = placed.withColumn("put_out", F.max("ts_us").over(after) >= F.col("ts_us") + span_us).filter("not put_out")
+    # what a run leaves enters the next one, and those after it until one of them puts it out
+    entering = latest.select("store_id", F.col("run").alias("at"), "latest")
+    carried, waiting = None, cut(held.select("store_id", (F.col("run") + 1).alias("at"), "ts_us", "staff").join(entering, ["store_id", "at"]))
+    while not waiting.isEmpty():
+        entered = waiting.select("store_id", F.col("at").alias("run"), F.lit(-1).cast("long").alias("arrival_seq"), "ts_us", "staff")
+        carried = entered if carried is None else carried.unionByName(entered)
+        stay = waiting.filter(F.col("latest") < F.col("ts_us") + span_us).select("store_id", (F.col("at") + 1).alias("at"), "ts_us", "staff")
+        waiting = cut(stay.join(entering, ["store_id", "at"]))
+    rows = placed if carried is None else placed.unionByName(carried)
+
+    def trail(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, n, s = None, [], 0, 0
+        for frame in frames:
+            made = []
+            for store, run, seq, ts, staff in zip(frame["store_id"], frame["run"], frame["arrival_seq"], frame["ts_us"], frame["staff"]):
+                if (store, run) != now:
+                    now, held, n, s = (store, run), [], 0, 0
+                heapq.heappush(held, (ts, staff))
+                n, s = n + 1, s + staff
+                if seq < 0:
+                    continue
+                while held[0][0] <= ts - span_us:
+                    n, s = n - 1, s - heapq.heappop(held)[1]
+                if n >= STAFF_MIN_EVENTS and s > STAFF_SHARE * n:
+                    made.append((store, seq, n, s))
+            yield pd.DataFrame(made, columns=["store_id", "arrival_seq", "n", "s"])
+
+    dealt = rows.repartition("store_id", "run").sortWithinPartitions("store_id", "run", "arrival_seq")
+    told = dealt.select("store_id", "run", "arrival_seq", "ts_us", "staff").mapInPandas(trail, _TRAIL)
+    return told.select("arrival_seq", "store_id", "n", half_even(F.col("s") / F.col("n"), 3).alias("staff_fraction"))
+
+
+def exits_without_entry(events: DataFrame) -> DataFrame:
+    """Exits of visitors whose history, since their last exit, holds no entry or re-entry: (arrival_seq, store_id, visitor_id, ts_us)."""
+    order = Window.partitionBy("visitor_id").orderBy("arrival_seq")
+    before = F.last(F.when(F.col("event_type").isin(ENTRY, REENTRY, EXIT), F.col("event_type")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    found = events.withColumn("before", before).filter((F.col("event_type") == EXIT) & (F.coalesce("before", F.lit(EXIT)) == EXIT))
+    return found.select("arrival_seq", "store_id", "visitor_id", "ts_us")
+
+
+def presence(events: DataFrame, hold_us: int) -> DataFrame:
+    """Stays at cameras: (store_id, visitor_id, camera_id, start_us, end_us), sightings at most ``hold_us`` apart as one, ended ``hold_us`` after the last."""
+    order = Window.partitionBy("visitor_id", "camera_id").orderBy("ts_us", "arrival_seq")
+    opens = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(order) > hold_us, F.lit(True))
+    runs = events.withColumn("opens", opens.cast("int")).withColumn("stay", F.sum("opens").over(order))
+    return runs.groupBy("visitor_id", "camera_id", "stay").agg(F.min_by("store_id", "arrival_seq").alias("store_id"), F.min("ts_us").alias("start_us"), (F.max("ts_us") + hold_us).alias("end_us")).drop("stay")
+
+
+def simultaneous_cameras(stays: DataFrame) -> DataFrame:
+    """Pairs of ``presence`` rows of one visitor that overlap in time: (store_id, visitor_id, camera_a, camera_b, since_us, until_us), the first camera's name the smaller.
+
+    A sweep by start cuts a visitor's stays where none is open any more, by the running maximum of ends; only stays of one such island meet.
+    """
+    order = Window.partitionBy("visitor_id").orderBy("start_us", "camera_id").rowsBetween(Window.unboundedPreceding, -1)
+    longest = F.max("end_us").over(order)
+    island = Window.partitionBy("visitor_id").orderBy("start_us", "camera_id")
+    swept = stays.withColumn("alone", F.coalesce(longest <= F.col("start_us"), F.lit(True)).cast("int")).withColumn("island", F.sum("alone").over(island))
+    a, b = (swept.select("visitor_id", "island", "store_id", *[F.col(c).alias(f"{c}_{x}") for c in ("camera_id", "start_us", "end_us")]) for x in "ab")
+    pairs = a.join(b.drop("store_id"), ["visitor_id", "island"]).filter("camera_id_a < camera_id_b and start_us_a < end_us_b and start_us_b < end_us_a")
+    return pairs.select("store_id", "visitor_id", F.col("camera_id_a").alias("camera_a"), F.col("camera_id_b").alias("camera_b"), F.greatest("start_us_a", "start_us_b").alias("since_us"), F.least("end_us_a", "end_us_b").alias("until_us"))
+
+
+def visitor_teleports(events: DataFrame, hops: DataFrame, least: int = 2, second_us: int = SECOND) -> DataFrame:
+    """Moves between zones that are ``least`` or more steps of ``hops(zone_from, zone_to, hops)`` apart within fewer seconds than steps: (arrival_seq, store_id, visitor_id, zone_from, zone_to, hops).
+
+    Zones that ``hops`` does not join are as far as no visitor can walk.
+    """
+    order = Window.partitionBy("visitor_id").orderBy("arrival_seq")
+    zoned = events.filter(F.coalesce("zone_id", F.lit("")) != "")
+    moved = zoned.withColumns({"zone_from": F.lag("zone_id").over(order), "from_us": F.lag("ts_us").over(order)}).filter("zone_from <> zone_id")
+    met = moved.withColumnRenamed("zone_id", "zone_to").join(hops, ["zone_from", "zone_to"], "left")
+    fast = (F.col("ts_us") - F.col("from_us")) < F.col("hops") * second_us
+    return met.filter(F.col("hops").isNull() | ((F.col("hops") >= least) & fast)).select("arrival_seq", "store_id", "visitor_id", "zone_from", "zone_to", "hops")
+
+
 def duplicate_active(sessions: DataFrame) -> DataFrame:
     """Visitors of a store with more than one open session."""
     open_ = sessions.filter("end_us is null").groupBy("store_id", "visitor_id").agg(F.count(F.lit(1)).alias("active_sessions"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_queries, floor_queries, store_queries
+from . import check_queries, file_queries, floor_queries, store_queries
 
-_MODULES = (store_queries, floor_queries, file_queries)
+_MODULES = (store_queries, floor_queries, file_queries, check_queries)
 
 
 def queries() -> dict:
