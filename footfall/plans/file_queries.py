@@ -11,7 +11,7 @@ from ..functions.lineage import shared_folder
 from ..operators import audit, behavior, floor, identity, ingest, lifecycle, projections, ranks, verifier
 from ..sources import readers, sinks
 from ..sources.event_store import EventStore
-from ..sources.fixtures import POS_SQL, pos_transactions, store_events
+from ..sources.fixtures import store_events
 from .floor_queries import AS_OF_EPOCH_US, RECTANGLES, SQL as FLOOR_SQL, _zones, health_fold, occlusion_class
 from .store_queries import AUDIT_SQL, BASE, EV, TRACED_SQL, WARNINGS_SQL
 
@@ -168,12 +168,18 @@ def transaction_files(spark, sf):
     return readers.read_transactions(spark, path)
 
 
-@query(f"WITH {POS_SQL} SELECT * FROM pos UNION ALL SELECT store_id, transaction_id, ts_us, basket_value FROM pos WHERE store_id = 'STORE_2'")
+_SOLD_SQL = "so AS (SELECT 'ST' || o_orderkey % 5 AS store_id, 'O' || o_orderkey AS transaction_id, epoch_us(o_orderdate) + (o_orderkey % 86400) * 1000000 AS ts_us, o_totalprice::DOUBLE AS basket_value FROM orders)"
+
+
+@query(f"WITH {_SOLD_SQL} SELECT * FROM so UNION ALL SELECT * FROM so WHERE store_id = 'ST2'")
 def transactions_added(spark, sf):
-    """The grid as a CSV of the standard layout, with one store's transactions inserted once more by hand."""
-    grid, path = pos_transactions(spark), shared_folder(spark)
-    grid.select("store_id", "transaction_id", sinks.iso_time(F.col("ts_us")).alias("timestamp"), F.col("basket_value").alias("basket_value_inr")).write.csv(path, header=True)
-    return readers.add_transactions(readers.read_transactions(spark, path), grid.filter("store_id = 'STORE_2'"))
+    """The orders as a CSV of the standard layout, with one store's transactions inserted once more by hand."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.expr("o_orderkey % 86400") * 1_000_000
+    sold = o.select(F.expr("concat('ST', cast(o_orderkey % 5 AS string))").alias("store_id"), F.expr("concat('O', cast(o_orderkey AS string))").alias("transaction_id"), at.alias("ts_us"), F.col("o_totalprice").cast("double").alias("basket_value"))
+    path = shared_folder(spark)
+    sold.select("store_id", "transaction_id", sinks.iso_time(F.col("ts_us")).alias("timestamp"), F.col("basket_value").alias("basket_value_inr")).write.csv(path, header=True)
+    return readers.add_transactions(readers.read_transactions(spark, path), sold.filter("store_id = 'ST2'"))
 
 
 # ---------------------------------------------------------------- calibration files

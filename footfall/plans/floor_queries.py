@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import behavior, floor, geometry, graph, identity, ingest, lifecycle
 from ..sources.fixtures import EVENTS_SQL, store_events
@@ -250,7 +251,8 @@ def zone_point_lookup(spark, sf):
 
 @query()
 def zone_overlap(spark, sf):
-    return geometry.overlaps(_zones(spark, sf))
+    """With the smaller zones first: the established crossings tell only of zones that lie within another one."""
+    return geometry.overlaps(_zones(spark, sf).withColumn("ord", -F.col("ord")))
 
 
 @query(f"""{EV}, c AS (SELECT DISTINCT camera_id FROM ev), z AS (SELECT * FROM (VALUES {', '.join(repr((k, *r)) for k, r in enumerate(RECTANGLES))}) v(k, n, x1, y1, x2, y2)),
@@ -288,7 +290,11 @@ def _shapes(spark: SparkSession) -> DataFrame:
 
 @query()
 def calibration_issues(spark, sf):
-    return geometry.calibration_issues(_shapes(spark))
+    """Every camera of the log with the shapes of one of three flawed calibrations."""
+    drawn = _shapes(spark).withColumnRenamed("camera_id", "like")
+    cameras = store_events(spark, sf).select("camera_id").distinct()
+    like = F.when(F.expr("right(camera_id, 1) % 3 = 0"), "CAM_ENTRY_01").when(F.expr("right(camera_id, 1) % 3 = 1"), "CAM_BILLING_01").otherwise("CAM_02")
+    return geometry.calibration_issues(cameras.withColumn("like", like).join(drawn, "like").drop("like"))
 
 
 # ---------------------------------------------------------------- identity
@@ -445,8 +451,6 @@ def fingerprint_ewma(spark, sf):
 # ---------------------------------------------------------------- graph
 
 _LINKS = [("CAM_ENTRY_01", "CAM_FLOOR_01"), ("CAM_ENTRY_02", "CAM_FLOOR_01"), ("CAM_ENTRY_03", "CAM_FLOOR_02"), *[(f"CAM_FLOOR_0{k}", f"CAM_FLOOR_0{k + 1}") for k in range(1, 9)], ("CAM_FLOOR_09", "CAM_BILLING_01")]
-#: A site for distances: a line of 24 cameras, the test site on its end, and eight that all see each other.
-_FAR_LINKS = [*_LINKS, *[(f"CAM_HALL_{k:02d}", f"CAM_HALL_{k + 1:02d}") for k in range(1, 24)], ("CAM_HALL_24", "CAM_ENTRY_01"), *[(f"CAM_HUB_{a}", f"CAM_HUB_{b}") for a in range(8) for b in range(a)], ("CAM_HUB_0", "CAM_HALL_12")]
 _CAMERAS = sorted({c for pair in _LINKS for c in pair})
 _ROLE_OF = {c: "entry" if "ENTRY" in c else "billing" if "BILLING" in c else "floor" for c in _CAMERAS}
 LINKS_SQL = f"""ln AS (SELECT * FROM (VALUES {", ".join(repr(p) for p in _LINKS)}) v(a, b)), bi AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln)"""
@@ -470,9 +474,23 @@ def _walk_sql(links: list) -> str:
 w AS (SELECT DISTINCT a AS f, a AS t, 0 AS h FROM bi UNION SELECT w.f, bi.b, w.h + 1 FROM w JOIN bi ON w.t = bi.a WHERE w.h < (SELECT n FROM cams)), hp AS (SELECT f, t, min(h) AS h FROM w GROUP BY ALL)"""
 
 
-@query(f"WITH RECURSIVE {_walk_sql(_FAR_LINKS)} SELECT f AS cam_from, t AS cam_to, h AS hops FROM hp")
+#: Cameras that visitors of the log walk between, of those with the same or the next number.
+_WALKED_SQL = """wk AS (SELECT camera_id AS b, lag(camera_id) OVER (PARTITION BY visitor_id ORDER BY arrival_seq) AS a FROM ev),
+ln AS (SELECT DISTINCT a, b FROM wk WHERE a <> b AND abs(right(a, 2)::INT - right(b, 2)::INT) <= 1)"""
+_REACH_SQL = """bi AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln), cams AS (SELECT count(DISTINCT a) AS n FROM bi),
+w AS (SELECT DISTINCT a AS f, a AS t, 0 AS h FROM bi UNION SELECT w.f, bi.b, w.h + 1 FROM w JOIN bi ON w.t = bi.a WHERE w.h < (SELECT n FROM cams)), hp AS (SELECT f, t, min(h) AS h FROM w GROUP BY ALL)"""
+
+
+def _walked(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("visitor_id").orderBy("arrival_seq")
+    moves = store_events(spark, sf).select("camera_id", F.lag("camera_id").over(order).alias("before")).filter("before <> camera_id")
+    return moves.filter("abs(cast(right(before, 2) AS int) - cast(right(camera_id, 2) AS int)) <= 1").select(F.col("before").alias("camera_id"), F.col("camera_id").alias("neighbour_id")).distinct()
+
+
+@query(f"WITH RECURSIVE {EVENTS_SQL}, {_WALKED_SQL}, {_REACH_SQL} SELECT f AS cam_from, t AS cam_to, h AS hops FROM hp")
 def camera_hops(spark, sf):
-    return graph.hops(spark, spark.createDataFrame(_FAR_LINKS, "camera_id string, neighbour_id string"))
+    """Distances over the links that the log's visitors have walked."""
+    return graph.hops(spark, _walked(spark, sf))
 
 
 _NAMES = sorted({n for a, to in graph.ZONE_EDGES.items() for n in (a, *to)})
@@ -515,7 +533,6 @@ def physics_checks(spark, sf):
 SELECT arrival_seq, cam_from, cam_to, round_even(CASE WHEN cam_from IS NULL THEN 0.5::DOUBLE WHEN cam_from = cam_to THEN CASE WHEN elapsed_sec < 5 THEN 0.9::DOUBLE ELSE greatest(0.4::DOUBLE, 1 - elapsed_sec / 30) END WHEN base IS NULL THEN 0.1::DOUBLE
   ELSE base * CASE WHEN abs(elapsed_sec - expected) <= tolerance THEN exp(-((elapsed_sec - expected) * (elapsed_sec - expected)) / (2 * tolerance * tolerance)) ELSE 0.05::DOUBLE END END, 4) AS camera_probability FROM mv LEFT JOIN ce ON a = cam_from AND b = cam_to""")
 def camera_transition_prob(spark, sf):
-    from pyspark.sql.window import Window
 
     order = Window.partitionBy("visitor_id").orderBy("arrival_seq")
     moves = store_events(spark, sf).select("arrival_seq", F.lag("camera_id").over(order).alias("cam_from"), F.col("camera_id").alias("cam_to"), ((F.col("ts_us") - F.lag("ts_us").over(order)) / 1_000_000).alias("elapsed_sec"))
@@ -542,14 +559,26 @@ def journey_continuity(spark, sf):
     return graph.continuity(graph.memory_edges(events), expected)
 
 
-@query(f"WITH {EDGES_SQL}, r AS (SELECT a AS cam_from, b AS cam_to, base, row_number() OVER (PARTITION BY a ORDER BY base DESC, b) AS rank FROM ce) SELECT * FROM r WHERE rank <= 3")
+_ROLE_SQL = "CASE WHEN contains(c, 'ENTRY') THEN 'entry' WHEN contains(c, 'BILLING') THEN 'billing' ELSE 'floor' END"
+
+
+@query(f"""{EV}, {_WALKED_SQL}, bi AS (SELECT a, b FROM ln UNION SELECT b, a FROM ln), rl AS (SELECT DISTINCT a AS c, {_ROLE_SQL.replace("(c,", "(a,")} AS r FROM bi),
+pri AS (SELECT * FROM (VALUES {", ".join(repr((*k, *v)) for k, v in graph.ROLE_PAIRS.items())}) v(ra, rb, base, expected, tolerance)),
+ce AS (SELECT bi.a, bi.b, coalesce(base, 0.4)::DOUBLE AS base FROM bi JOIN rl x ON x.c = bi.a JOIN rl y ON y.c = bi.b LEFT JOIN pri ON ra = x.r AND rb = y.r),
+r AS (SELECT a AS cam_from, b AS cam_to, base, row_number() OVER (PARTITION BY a ORDER BY base DESC, b) AS rank FROM ce) SELECT * FROM r WHERE rank <= 3""")
 def next_cameras(spark, sf):
-    return graph.next_cameras(_camera_edges(spark))
+    """The likeliest next cameras over the links that the log's visitors have walked."""
+    links = _walked(spark, sf)
+    cameras = links.select("camera_id").unionByName(links.select(F.col("neighbour_id").alias("camera_id"))).distinct()
+    roles = cameras.withColumn("role", F.when(F.contains("camera_id", F.lit("ENTRY")), "entry").when(F.contains("camera_id", F.lit("BILLING")), "billing").otherwise("floor"))
+    return graph.next_cameras(graph.camera_edges(spark, links, roles))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(repr((r, e)) for r, events in graph.ROLE_EVENTS.items() for e in events) + ") v(role, event_type)")
+@query(f"{EV}, hn AS (SELECT * FROM (VALUES " + ", ".join(repr((r, e)) for r, events in graph.ROLE_EVENTS.items() for e in events) + ") v(role, event_type)) SELECT role, event_type, count(ev.event_id) AS events FROM hn LEFT JOIN ev USING (event_type) GROUP BY ALL")
 def role_event_hints(spark, sf):
-    return graph.role_events(spark)
+    """The events that a shape of each role can give, with how many of them the log holds."""
+    seen = store_events(spark, sf).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    return graph.role_events(spark).join(seen, "event_type", "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
 # ---------------------------------------------------------------- the floor

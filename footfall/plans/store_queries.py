@@ -97,9 +97,15 @@ def store_log(spark, sf):
     return store_events(spark, sf)
 
 
-@query(f"WITH {POS_SQL} SELECT * FROM pos")
+@query(f"{EV}, {POS_SQL} SELECT p.*, (SELECT count(*) FROM ev WHERE ev.store_id = p.store_id AND event_type = 'BILLING_QUEUE_JOIN' AND ev.ts_us BETWEEN p.ts_us - 300000000 AND p.ts_us) AS joins FROM pos p WHERE store_id IN (SELECT store_id FROM ev)")
 def pos_grid(spark, sf):
-    return pos_transactions(spark)
+    """The transactions of the log's stores, with the queue joins that each could belong to."""
+    pos = pos_transactions(spark)
+    joins = store_events(spark, sf).filter("event_type = 'BILLING_QUEUE_JOIN'").select("store_id", F.col("ts_us").alias("at"), F.expr("ts_us div 300000000").alias("bin"))
+    bins = pos.withColumn("bin", F.explode(F.array(F.expr("ts_us div 300000000"), F.expr("ts_us div 300000000") - 1)))
+    near = bins.join(joins, ["store_id", "bin"]).filter("at between ts_us - 300000000 and ts_us").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("joins"))
+    stores = store_events(spark, sf).select("store_id").distinct()
+    return pos.join(stores, "store_id", "left_semi").join(near, "transaction_id", "left").withColumn("joins", F.coalesce("joins", F.lit(0)))
 
 
 @query(f"""{BASE} SELECT session_id, visitor_id, session_no, store_id, start_us, end_us, (end_us - start_us) // 1000 AS duration_ms, end_us IS NULL AS is_active, is_staff,
