@@ -114,6 +114,26 @@ def crosses_itself(points: list[Point]) -> bool:
     return any(segments_cross(*edges[i], *edges[j]) for i in range(n) for j in range(i + 2, n) if (j + 1) % n != i)
 
 
+def clipped(points: Column, window: Column, exact: bool = False) -> Column:
+    """``clip_area``'s polygon as an expression: the edges of ``window`` cut what is left of ``points`` one after the other."""
+
+    def cut_at(kept: Column, e: Column) -> Column:
+        side = lambda p: (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) - (e["y2"] - e["y1"]) * (p["x"] - e["x1"])
+
+        def corner(p: Column, k: Column) -> Column:
+            q = F.element_at(kept, F.when(k == 0, F.size(kept)).otherwise(k))
+            ux, uy, vx, vy = e["x1"] - e["x2"], e["y1"] - e["y2"], q["x"] - p["x"], q["y"] - p["y"]
+            det, line, edge = ux * vy - uy * vx, e["x1"] * e["y2"] - e["y1"] * e["x2"], q["x"] * p["y"] - q["y"] * p["x"]
+            turned = ((side(p) >= 0) != (side(q) >= 0)) & (F.abs(det) > 1e-10)
+            term = line if exact else -line
+            at = F.struct(F.try_divide(term * vx - edge * ux, det).alias("x"), F.try_divide(term * vy - edge * uy, det).alias("y"))
+            return F.filter(F.array(F.when(turned, at), F.when(side(p) >= 0, F.struct(p["x"].alias("x"), p["y"].alias("y")))), lambda v: v.isNotNull())
+
+        return F.flatten(F.transform(kept, corner))
+
+    return F.aggregate(_edges(window), points.cast("array<struct<x:double,y:double>>"), cut_at)
+
+
 def overlaps(zones: DataFrame, exact: bool = False) -> DataFrame:
     """(camera_id, a, b, role, fraction, code): same-role polygons of a camera that share 15 % or more of the smaller one.
 
@@ -122,21 +142,14 @@ def overlaps(zones: DataFrame, exact: bool = False) -> DataFrame:
     """
     a = zones.filter(F.col("role").isin(*EXCLUSIVE_ROLES)).select("camera_id", "role", "ord", F.col("zone_id").alias("a"), F.col("points").alias("pa"))
     b = a.select("camera_id", "role", F.col("ord").alias("ord_b"), F.col("a").alias("b"), F.col("pa").alias("pb"))
-    pairs = a.join(b, ["camera_id", "role"]).filter("ord < ord_b")
-
-    @F.pandas_udf("double")
-    def share(pa: pd.Series, pb: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(pa, pb):
-            p, q = [[(v["x"], v["y"]) for v in z] for z in (x, y)]
-            least = min(shoelace(p), shoelace(q))
-            f = min(clip_area(p, q, exact) / least, 1.0) if least >= 1e-8 else 0.0
-            centre = [tuple(sum(v[k] for v in z) / len(z) for k in (0, 1)) for z in (p, q)]
-            far = sum((u - v) ** 2 for u, v in zip(*centre)) ** 0.5 > 0.05
-            out.append(0.0 if f >= 0.99 and far else f)
-        return pd.Series(out, dtype="float64")
-
-    found = pairs.withColumn("fraction", F.bround(share("pa", "pb"), 6)).filter(F.col("fraction") >= OVERLAP_WARN)
+    pairs = a.join(b, ["camera_id", "role"]).filter("ord < ord_b").withColumn("shared", clipped(F.col("pa"), F.col("pb"), exact))
+    size = lambda p: F.when(F.size(p) > 2, area(F.col(p))).otherwise(F.lit(0.0))
+    least = F.least(size("pa"), size("pb"))
+    share = F.when(least >= 1e-8, F.least(F.try_divide(size("shared"), least), F.lit(1.0))).otherwise(F.lit(0.0))
+    centre = lambda p, c: F.aggregate(p, F.lit(0.0), lambda s, v: s + v[c]) / F.size(p)
+    dx, dy = centre("pa", "x") - centre("pb", "x"), centre("pa", "y") - centre("pb", "y")
+    far = F.sqrt(dx * dx + dy * dy) > 0.05
+    found = pairs.withColumn("share", share).withColumn("fraction", F.bround(F.when((F.col("share") >= 0.99) & far, F.lit(0.0)).otherwise(F.col("share")), 6)).filter(F.col("fraction") >= OVERLAP_WARN)
     code = F.when(F.col("fraction") >= OVERLAP_ERROR, "POLYGON_OVERLAP_CRITICAL").otherwise("POLYGON_OVERLAP")
     return found.select("camera_id", "a", "b", "role", "fraction", code.alias("code"))
 

@@ -249,7 +249,25 @@ def zone_point_lookup(spark, sf):
     return geometry.locate(points, _zones(spark, sf), WIDTH, HEIGHT).select("point_id", "camera_id", "px", "py", "zone_id")
 
 
-@query()
+def _clip_sql() -> str:
+    """Sutherland and Hodgman as a recursion over the window's edges, crossings placed as the established results have them."""
+    side = lambda p: f"((x2 - x1) * ({p}.y - y1) - (y2 - y1) * ({p}.x - x1))"
+    q = "kept[CASE WHEN i = 1 THEN len(kept) ELSE i - 1 END]"
+    det, line, edge = f"((x1 - x2) * ({q}.y - p.y) - (y1 - y2) * ({q}.x - p.x))", "(x1 * y2 - y1 * x2)", f"({q}.x * p.y - {q}.y * p.x)"
+    at = lambda c: f"((-{line}) * ({q}.{c} - p.{c}) - {edge} * ({c}1 - {c}2)) / {det}"
+    corner = f"CASE WHEN ({side('p')} >= 0) <> ({side(q)} >= 0) AND abs({det}) > 1e-10 THEN {{'x': {at('x')}, 'y': {at('y')}}} END, CASE WHEN {side('p')} >= 0 THEN p END"
+    size = lambda p: f"CASE WHEN len({p}) > 2 THEN abs(list_sum(list_transform({p}, lambda p, i: p.x * {p}[i % len({p}) + 1].y - {p}[i % len({p}) + 1].x * p.y))) / 2 ELSE 0 END"
+    mean = lambda p, c: f"list_avg(list_transform({p}, lambda v: v.{c}))"
+    corners = ", ".join(f"{{'x': {x}::DOUBLE, 'y': {y}::DOUBLE}}" for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")))
+    return f"""zz AS (SELECT k, n, [{corners}] AS pts FROM (VALUES {', '.join(repr((k, *r)) for k, r in enumerate(RECTANGLES))}) v(k, n, x1, y1, x2, y2)),
+pz AS (SELECT a.n AS a, b.n AS b, a.pts AS pa, b.pts AS pb FROM zz a JOIN zz b ON a.k > b.k),
+cl AS (SELECT a, b, pa, pb, 1 AS k, pa AS kept FROM pz UNION ALL SELECT a, b, pa, pb, k + 1, flatten(list_transform(kept, lambda p, i: list_filter([{corner}], lambda v: v IS NOT NULL)))
+  FROM (SELECT *, pb[k].x AS x1, pb[k].y AS y1, pb[k % len(pb) + 1].x AS x2, pb[k % len(pb) + 1].y AS y2 FROM cl WHERE k <= len(pb))),
+fr AS (SELECT a, b, least(({size('kept')}) / least({size('pa')}, {size('pb')}), 1.0) AS f, sqrt(pow({mean('pa', 'x')} - {mean('pb', 'x')}, 2) + pow({mean('pa', 'y')} - {mean('pb', 'y')}, 2)) > 0.05 AS far FROM cl WHERE k = len(pb) + 1),
+fs AS (SELECT a, b, round_even(CASE WHEN f >= 0.99 AND far THEN 0 ELSE f END, 6) AS fraction FROM fr)"""
+
+
+@query(f"WITH RECURSIVE {EVENTS_SQL}, {_clip_sql()} SELECT c.camera_id, a, b, 'zone' AS role, fraction, CASE WHEN fraction >= 0.6 THEN 'POLYGON_OVERLAP_CRITICAL' ELSE 'POLYGON_OVERLAP' END AS code FROM (SELECT DISTINCT camera_id FROM ev) c CROSS JOIN fs WHERE fraction >= 0.15")
 def zone_overlap(spark, sf):
     """With the smaller zones first: the established crossings tell only of zones that lie within another one."""
     return geometry.overlaps(_zones(spark, sf).withColumn("ord", -F.col("ord")))

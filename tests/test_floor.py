@@ -91,6 +91,19 @@ def test_shapes_and_clips():
     assert geometry.crosses_itself([(0, 0), (1, 1), (1, 0), (0, 1)]) and not geometry.crosses_itself(box(0, 0, 1, 1))
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_clips_as_expressions(spark, exact):
+    rng = random.Random(4)
+    ring = lambda n, x, y, r: [(x + r * math.cos(2 * math.pi * k / n + 0.3), y + r * math.sin(2 * math.pi * k / n + 0.3)) for k in range(n)]
+    rows = [(k, ring(rng.randrange(3, 8), rng.random(), rng.random(), 0.1 + rng.random()), ring(rng.randrange(3, 7), rng.random(), rng.random(), 0.1 + rng.random())) for k in range(60)]
+    rows.append((60, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]))
+    table = spark.createDataFrame(rows, "k int, p array<struct<x:double,y:double>>, w array<struct<x:double,y:double>>")
+    made = table.select("k", geometry.clipped(F.col("p"), F.col("w"), exact).alias("c")).collect()
+    for r in made:
+        _, p, w = rows[r.k]
+        assert abs(geometry.shoelace([(v.x, v.y) for v in r.c]) - geometry.clip_area(p, w, exact)) < 1e-9
+
+
 def test_calibration_codes(spark):
     from footfall.plans.floor_queries import _shapes
 
