@@ -445,7 +445,22 @@ def camera_modifier(spark, sf):
     return identity.camera_reputation(store_events(spark, sf).select("camera_id", F.col("arrival_seq").alias("seq"), F.expr(_REP).alias("kind")))
 
 
-@query()
+_D = lambda x: f"{x}::DOUBLE"
+_TURN = _D(2 * 3.141592653589793)
+
+
+@query(f"""{EV}, {POSITIONS_SQL}, st AS (SELECT visitor_id, arrival_seq, event_type, dwell_ms, nullif(zone_id, '') AS z, (ts_us - lag(ts_us) OVER o)::DOUBLE / 1000000 AS dt, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy,
+  last_value(nullif(zone_id, '') IGNORE NULLS) OVER (PARTITION BY visitor_id ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS zb FROM po WINDOW o AS (PARTITION BY visitor_id ORDER BY arrival_seq)),
+mk AS (SELECT *, CASE WHEN dt > 0 AND dt < 2 THEN sqrt(dx * dx + dy * dy) / dt END AS speed, CASE WHEN z IS NOT NULL AND z IS DISTINCT FROM zb THEN z END AS entered,
+  CASE WHEN dt > 0 AND dt < 2 AND sqrt(dx * dx + dy * dy) > {_D(0.01)} THEN floor((CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + {_TURN} ELSE atan2(dy, dx) END) / {_TURN} * 8)::INT % 8 END AS bin FROM st),
+dl AS (SELECT visitor_id, substr(visitor_id, 5)::BIGINT AS no, count(*) AS obs, coalesce(list(speed ORDER BY arrival_seq) FILTER (speed IS NOT NULL), []) AS speeds, [{", ".join(f"count(*) FILTER (bin = {k})" for k in range(8))}]::DOUBLE[] AS rhythm,
+  coalesce(list(entered ORDER BY arrival_seq) FILTER (entered IS NOT NULL), []) AS zones, count(*) FILTER (event_type = 'BILLING_QUEUE_JOIN') AS joins, sum(dwell_ms)::DOUBLE AS dwell FROM mk GROUP BY ALL),
+dn AS (SELECT visitor_id, no, obs, list_reduce(speeds, lambda a, s: CASE WHEN a = 0 THEN s ELSE {_D(0.85)} * a + {_D(0.15)} * s END, {_D(0.0)}) AS speed, rhythm, list_sum(rhythm) > 0 AS moved, zones[-20:] AS pattern,
+  least(1, joins::DOUBLE / 2) AS queue, CASE WHEN len(zones) > 0 THEN dwell / 1000 / least(20, len(zones)) ELSE 0 END AS stay FROM dl),
+sm AS (SELECT a.visitor_id AS visitor_id_a, b.visitor_id AS visitor_id_b, a.obs < 10 OR b.obs < 10 AS thin, CASE WHEN a.speed > 0 AND b.speed > 0 THEN greatest(0, 1 - abs(a.speed - b.speed) / {_D(0.1)}) ELSE 0.5 END AS speed,
+  CASE WHEN a.moved AND b.moved THEN list_cosine_similarity(a.rhythm, b.rhythm) ELSE 0.5 END AS rhythm, CASE WHEN len(a.pattern) > 0 AND len(b.pattern) > 0 THEN len(list_intersect(a.pattern, b.pattern))::DOUBLE / len(list_distinct(list_concat(a.pattern, b.pattern))) ELSE 0.5 END AS pattern,
+  greatest(0, 1 - abs(a.queue - b.queue)) AS queue, CASE WHEN a.stay > 0 AND b.stay > 0 THEN least(a.stay, b.stay) / greatest(a.stay, b.stay) ELSE 0.5 END AS stay FROM dn a JOIN dn b ON b.no = a.no + 1)
+SELECT visitor_id_a, visitor_id_b, CASE WHEN thin THEN 0.5 ELSE round_even(greatest(0, least(1, {_D(0.2)} * speed + {_D(0.15)} * rhythm + {_D(0.35)} * pattern + {_D(0.15)} * queue + {_D(0.15)} * stay)), 6) END::DOUBLE AS similarity FROM sm""")
 def dna_compare(spark, sf):
     """Each visitor's habits against those of the next one by number."""
     seen = positions(spark, sf).withColumn("seq", F.col("arrival_seq"))
