@@ -54,7 +54,8 @@ def order_statistic(samples: DataFrame, keys: list[str], rule: tuple, descending
     return groups.select(*keys, "observations", F.when(F.col("observations") >= least, value).alias("value"))
 
 
-def _setting(value: Column, rule: tuple, shift: float = 0.0) -> Column:
+def setting(value: Column, rule: tuple, shift: float = 0.0) -> Column:
+    """A parameter's value as it is used: shifted, held within its bounds and rounded; the default for null."""
     default, low, high, *_, digits = rule
     return half_even(F.coalesce(clamp(value + shift, low, high), F.lit(default)), digits)
 
@@ -74,7 +75,7 @@ def camera_trust(events: DataFrame) -> DataFrame:
     """(store_id, camera_id, camera_trust, occlusion_timeout_sec, observations) of each store's last calibration."""
     at = snapshots(events)
     found = order_statistic(_samples(events, at, F.when(F.col("event_type").isin(ENTRY, EXIT), F.col("confidence"))), ["store_id", "camera_id"], TRUST)
-    return found.select("store_id", "camera_id", _setting(F.col("value"), TRUST).alias("camera_trust"), F.lit(OCCLUSION[0]).alias("occlusion_timeout_sec"), "observations")
+    return found.select("store_id", "camera_id", setting(F.col("value"), TRUST).alias("camera_trust"), F.lit(OCCLUSION[0]).alias("occlusion_timeout_sec"), "observations")
 
 
 def occlusion_timeout(rate: Column, samples: Column) -> Column:
@@ -85,22 +86,24 @@ def occlusion_timeout(rate: Column, samples: Column) -> Column:
 
 def staff_threshold(scores: DataFrame, keys: list[str]) -> DataFrame:
     """The staff threshold of ``scores(keys, seq, x)``: just under the upper quartile."""
-    return order_statistic(scores, keys, STAFF, descending=True).withColumn("staff_confidence_threshold", _setting(F.col("value"), STAFF, -STAFF_MARGIN)).drop("value")
+    return order_statistic(scores, keys, STAFF, descending=True).withColumn("staff_confidence_threshold", setting(F.col("value"), STAFF, -STAFF_MARGIN)).drop("value")
+
+
+def threshold_samples(kind: Column) -> dict[str, Column]:
+    """What an event of this type is a sample of, by parameter; null where it is none."""
+    zoned = kind.isin(*ZONE_EVENTS) & (F.coalesce("zone_id", F.lit("")) != "") & (F.col("dwell_ms") > 0)
+    return {"reid_confidence_threshold": F.when(kind == REENTRY, F.col("reid_score")), "queue_join_dwell_sec": queue_sample(kind), "dwell_threshold_ms": F.when(zoned, F.col("dwell_ms"))}
 
 
 def store_thresholds(events: DataFrame) -> DataFrame:
     """One row per known store with its four thresholds; defaults where samples are too few or no snapshot came."""
     at = snapshots(events)
-    kind = F.col("event_type")
-    inputs = {
-        "reid_confidence_threshold": (F.when(kind == REENTRY, F.col("reid_score")), REID),
-        "queue_join_dwell_sec": (queue_sample(kind), QUEUE),
-        "dwell_threshold_ms": (F.when(kind.isin(*ZONE_EVENTS) & (F.coalesce("zone_id", F.lit("")) != "") & (F.col("dwell_ms") > 0), F.col("dwell_ms")), DWELL),
-    }
+    rules = {"reid_confidence_threshold": REID, "queue_join_dwell_sec": QUEUE, "dwell_threshold_ms": DWELL}
     out = events.select("store_id").distinct().join(at, "store_id", "left").withColumn("staff_confidence_threshold", F.lit(STAFF[0]))
-    for name, (x, rule) in inputs.items():
+    for name, x in threshold_samples(F.col("event_type")).items():
+        rule = rules[name]
         found = order_statistic(_samples(events, at, x), ["store_id"], rule)
-        out = out.join(found.select("store_id", F.col("value").alias(name)), "store_id", "left").withColumn(name, _setting(F.col(name), rule))
+        out = out.join(found.select("store_id", F.col("value").alias(name)), "store_id", "left").withColumn(name, setting(F.col(name), rule))
     return out.withColumn("calibrations", F.coalesce("calibrations", F.lit(0))).drop("snapshot_seq")
 
 
