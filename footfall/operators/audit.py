@@ -12,6 +12,22 @@ from .sessions import number_sessions
 from .verifier import warnings as event_warnings
 
 RECORD = ("category", "event_type", "confidence", "source", "reason", "session_no")
+# The wording of audit reasons, which clients of the service read.
+DETECTED_TEXT = " detected on "
+CONFIDENCE_TEXT = " with confidence "
+OPENED_TEXT = "Session opened for "
+CLOSED_TEXT = "Session closed for "
+LASTED_TEXT = ". Duration: "
+AGAIN_TEXT = "reentry #"
+LIKENESS_TEXT = "appearance similarity "
+ENTERED_TEXT = "Entered zone "
+LEFT_TEXT = "Left zone "
+DWELLED_TEXT = "Dwelled in zone "
+CHECKPOINT_TEXT = " (periodic checkpoint)"
+JOINED_TEXT = "Joined billing queue (depth="
+CANDIDATE_TEXT = "). Marked as purchase_candidate."
+ABANDONED_TEXT = "Abandoned billing queue after waiting "
+UNKNOWN_TEXT = "unknown"
 
 
 def _record(category: str, event: Column, reason: Column, source: str = "Sessionizer") -> Column:
@@ -33,22 +49,22 @@ def event_records(events: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("opened_us", F.first("ts_us").over(Window.partitionBy("visitor_id", "session_no").orderBy("arrival_seq")))
     kind, visitor, zone = F.col("event_type"), F.col("visitor_id"), F.nullif(F.col("zone_id"), F.lit(""))
     wait = F.coalesce(F.nullif(F.col("wait_ms"), F.lit(0)), F.nullif(F.col("dwell_ms"), F.lit(0)))
-    detection = F.concat(kind, F.lit(" detected on "), F.col("camera_id"), F.lit(" with confidence "), text_number(F.col("confidence"), 2))
-    opening = F.concat(F.lit("Session opened for "), visitor, F.lit(" at "), F.col("store_id"), F.when(F.col("is_staff"), " [STAFF]").otherwise(""))
-    closing = F.concat(F.lit("Session closed for "), visitor, F.lit(". Duration: "), _seconds(F.expr("(ts_us - opened_us) div 1000")))
+    detection = F.concat(kind, F.lit(DETECTED_TEXT), F.col("camera_id"), F.lit(CONFIDENCE_TEXT), text_number(F.col("confidence"), 2))
+    opening = F.concat(F.lit(OPENED_TEXT), visitor, F.lit(" at "), F.col("store_id"), F.when(F.col("is_staff"), " [STAFF]").otherwise(""))
+    closing = F.concat(F.lit(CLOSED_TEXT), visitor, F.lit(LASTED_TEXT), _seconds(F.expr("(ts_us - opened_us) div 1000")))
     parts = F.array(
-        F.concat(F.lit("reentry #"), F.col("reentries").cast("string"), F.lit(" for "), visitor),
-        F.when(F.col("reid_score").isNotNull(), F.concat(F.lit("appearance similarity "), text_number(F.col("reid_score"), 2))),
+        F.concat(F.lit(AGAIN_TEXT), F.col("reentries").cast("string"), F.lit(" for "), visitor),
+        F.when(F.col("reid_score").isNotNull(), F.concat(F.lit(LIKENESS_TEXT), text_number(F.col("reid_score"), 2))),
         F.concat(F.lit("camera="), F.col("camera_id")),
         F.when(F.col("last_exit_us").isNotNull(), F.concat(F.lit("time gap "), text_number((F.col("ts_us") - F.col("last_exit_us")) / SECOND, 1), F.lit(" sec"))),
     )
     moved = (
-        F.when(kind == ZONE_ENTER, F.concat(F.lit("Entered zone "), zone))
-        .when(kind == ZONE_EXIT, F.concat(F.lit("Left zone "), zone, F.lit(" after "), _seconds(F.col("dwell_ms"))))
-        .otherwise(F.concat(F.lit("Dwelled in zone "), zone, F.lit(" for "), _seconds(F.col("dwell_ms")), F.lit(" (periodic checkpoint)")))
+        F.when(kind == ZONE_ENTER, F.concat(F.lit(ENTERED_TEXT), zone))
+        .when(kind == ZONE_EXIT, F.concat(F.lit(LEFT_TEXT), zone, F.lit(" after "), _seconds(F.col("dwell_ms"))))
+        .otherwise(F.concat(F.lit(DWELLED_TEXT), zone, F.lit(" for "), _seconds(F.col("dwell_ms")), F.lit(CHECKPOINT_TEXT)))
     )
-    queued = F.when(kind == QUEUE_JOIN, F.concat(F.lit("Joined billing queue (depth="), F.coalesce(F.col("queue_depth").cast("string"), F.lit("None")), F.lit("). Marked as purchase_candidate."))).otherwise(
-        F.concat(F.lit("Abandoned billing queue after waiting "), F.coalesce(_seconds(wait), F.lit("unknown")))
+    queued = F.when(kind == QUEUE_JOIN, F.concat(F.lit(JOINED_TEXT), F.coalesce(F.col("queue_depth").cast("string"), F.lit("None")), F.lit(CANDIDATE_TEXT))).otherwise(
+        F.concat(F.lit(ABANDONED_TEXT), F.coalesce(_seconds(wait), F.lit(UNKNOWN_TEXT)))
     )
     records = F.array(
         F.when(kind == ENTRY, _record("DETECTION", kind, detection, "IngestionPipeline")),

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import half_even, ratio
 from ..schema import CONVERSION_DROP_RATIO, DEAD_ZONE_US, MIN_CONFIDENT_SESSIONS, MINUTE, QUEUE_ABANDON, QUEUE_JOIN, QUEUE_SPIKE_CRITICAL, QUEUE_SPIKE_WARN, SECOND, STALE_FEED_US
+# Messages that clients of the service read.
+QUEUE_TEXT = "Billing queue depth reached %d — customers may abandon"
+ZONE_TEXT = f"Zone %s has had no visits in >{DEAD_ZONE_US // MINUTE} min"
 
 
 def known_stores(*tables: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ def queue_spikes(sessions: DataFrame) -> DataFrame:
     """Stores whose deepest queue ever, staff sessions included, is at the warning depth or over."""
     depth = sessions.groupBy("store_id").agg(F.max(queue_depth(sessions)).alias("max_queue_depth")).filter(F.col("max_queue_depth") >= QUEUE_SPIKE_WARN)
     severity = F.when(F.col("max_queue_depth") >= QUEUE_SPIKE_CRITICAL, "CRITICAL").otherwise("WARN")
-    message = F.format_string("Billing queue depth reached %d — customers may abandon", "max_queue_depth")
+    message = F.format_string(QUEUE_TEXT, "max_queue_depth")
     return depth.select("store_id", F.lit("BILLING_QUEUE_SPIKE").alias("type"), severity.alias("severity"), "max_queue_depth", message.alias("message"))
 
 
@@ -129,7 +132,7 @@ def dead_zones(sessions: DataFrame, as_of_us: int) -> DataFrame:
     seen = sessions.select("store_id", F.explode("zones_visited").alias("zone_id"), F.coalesce("end_us", "start_us").alias("at"))
     last = seen.groupBy("store_id", "zone_id").agg(F.max("at").alias("last_seen_us")).filter(as_of_us - F.col("last_seen_us") > DEAD_ZONE_US)
     idle = half_even((as_of_us - F.col("last_seen_us")) / SECOND / 60, 1)
-    message = F.format_string(f"Zone %s has had no visits in >{DEAD_ZONE_US // MINUTE} min", "zone_id")
+    message = F.format_string(ZONE_TEXT, "zone_id")
     return last.select("store_id", F.lit("DEAD_ZONE").alias("type"), F.lit("INFO").alias("severity"), "zone_id", "last_seen_us", idle.alias("minutes_idle"), message.alias("message"))
 
 
