@@ -16,18 +16,23 @@ from .components import connected_components
 PIVOTS = 48
 
 
-def group_links(keyed: DataFrame, key: str, node: str, find: Callable[[DataFrame], DataFrame], scratch: Scratch, block: int, pivots: int = PIVOTS) -> DataFrame:
+def group_links(keyed: DataFrame, key: str, node: str, find: Callable[[DataFrame], DataFrame], scratch: Scratch, block: int, pivots: int = PIVOTS, weight: str | None = None) -> DataFrame:
     """Links (a, b) whose closure is that of all links between two rows of one group of ``key``.
 
     ``find`` takes cells, ``keyed`` with the columns ``cell`` and ``asks``, and returns links (a, b) whose closure
     is that of all linked pairs in a cell of which a row asks. Groups up to ``block`` rows are one cell. The
     rows of a larger one are dealt to chunks of that size, each with the same few pivots; what the pivots'
     main component then does not hold asks all rows of its group, in blocks. So a hot group of copies costs as much as
-    it has rows, and only rows that copy nothing meet all others.
+    it has rows, and only rows that copy nothing meet all others. With ``weight``, a column that is equal within a group, cells and pivots are
+    halved so many times, so that heavy rows fill a cell as light ones do.
     """
-    sizes = scratch.keep(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    told = [F.count(F.lit(1)).alias("n"), *([F.max(weight).alias("halved")] if weight else [])]
+    sizes = scratch.keep(keyed.groupBy(key).agg(*told).filter("n > 1"))
     sized = keyed.join(sizes, key)
-    found = find(sized.filter(F.col("n") <= block).drop("n").withColumns({"cell": F.xxhash64(key), "asks": F.lit(True)}))
+    extra = ["n", *(["halved"] if weight else [])]
+    if weight:
+        block, pivots = (F.greatest(F.lit(least), F.floor(F.lit(most) / F.pow(F.lit(2), F.col("halved"))).cast("int")) for most, least in ((block, 2), (pivots, 1)))
+    found = find(sized.filter(F.col("n") <= block).drop(*extra).withColumns({"cell": F.xxhash64(key), "asks": F.lit(True)}))
     if sizes.filter(F.col("n") > block).isEmpty():
         return found
     spot = lambda n, seed: F.pmod(F.xxhash64(node, F.lit(seed)), n)
@@ -36,7 +41,7 @@ def group_links(keyed: DataFrame, key: str, node: str, find: Callable[[DataFrame
     hot = scratch.keep(sized.filter(F.col("n") > block))
     everywhere = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: cell(p.cast("long")))
     chunks = F.when(spot(F.col("n"), 4) < pivots, everywhere).otherwise(F.array(cell(spot(parts, 3).cast("long"))))
-    near = scratch.keep(find(hot.withColumn("cell", F.explode(chunks)).drop("n").withColumn("asks", F.lit(True))))
+    near = scratch.keep(find(hot.withColumn("cell", F.explode(chunks)).drop(*extra).withColumn("asks", F.lit(True))))
     parted = connected_components(near, scratch).withColumnRenamed("node", node)
     named = scratch.keep(hot.join(parted, node, "left").withColumn("component", F.coalesce("component", node)))
     hubs = named.groupBy(key, "component").agg(F.count(F.lit(1)).alias("rows")).groupBy(key).agg(F.max(F.struct("rows", (-F.col("component")).alias("minus"))).alias("top"))

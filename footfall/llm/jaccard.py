@@ -25,8 +25,8 @@ BANDS, BAND = 12, 4
 SLACK = 4.5
 #: Rows of a bucket compared at once; see ``groups.group_links``.
 BLOCK = 512
-#: Shingles of a set that counts as a light one; a block of such sets takes 64 MB.
-LIGHT = 16_384
+#: Shingles of a set that counts as a light one; a block of such sets takes 8 MB.
+LIGHT = 2048
 _FACTORS = np.random.default_rng(12).integers(1, 1 << 63, size=BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(13).integers(1, 1 << 63, size=BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPAN = 16_384
@@ -101,34 +101,19 @@ def similar_links(nodes: DataFrame, texts: DataFrame, hashes: Callable[[str | No
     """Links (a, b) whose closure is that of all retrieved pairs of texts at or over the threshold.
 
     ``nodes(node, bands, signature, shingles)`` are different texts with their number of shingles (without it: all light ones), ``texts(node,
-    text)`` holds them and ``hashes`` gives a text's shingles. Sets over ``light`` shingles are compared apart, in classes that double in size, with blocks
-    that halve: two sets at the threshold have sizes in its ratio, so they are in one class if each is also entered in the next one where
-    a partner could lie there. What a task holds is thus ``block`` times ``light`` shingles, or two sets.
+    text)`` holds them and ``hashes`` gives a text's shingles. Band keys alone are shuffled to find the buckets that hold two nodes or more;
+    signatures go only there, and whole sets only to candidates: once to each where its component of candidates fits a cell, else once for
+    each bucket cell. Sets over ``light`` shingles are keyed apart, in classes that double in size, with cells that halve: two sets at the
+    threshold have sizes in its ratio, so they are in one class if each is also entered in the next one where a partner could
+    lie there. What a task holds is thus ``block`` times ``light`` shingles, or two sets.
     """
-    if "shingles" not in nodes.columns:
-        return _class_links(nodes, texts, hashes, scratch, threshold, block)
+    limit = agreement_limit(threshold)
+    sized = nodes if "shingles" in nodes.columns else nodes.withColumn("shingles", F.lit(0))
     level = lambda n: F.when(n <= light, F.lit(0)).otherwise(F.ceil(F.log2(n / light))).cast("int")
     classes = F.array_distinct(F.array(level(F.col("shingles")), level(F.floor(F.col("shingles") / threshold))))
-    classed = nodes.withColumn("class", F.explode(classes))
-    present = sorted(r[0] for r in classed.select("class").distinct().collect())
-    found = None
-    for k in present:
-        own = classed.filter(F.col("class") == k) if len(present) > 1 else nodes
-        links = _class_links(own, texts, hashes, scratch, threshold, max(2, block >> k))
-        found = links if found is None else found.unionByName(links)
-    return found if found is not None else nodes.sparkSession.createDataFrame([], "a long, b long")
-
-
-def _class_links(nodes: DataFrame, texts: DataFrame, hashes: Callable[[str | None], np.ndarray], scratch: Scratch, threshold: float, block: int) -> DataFrame:
-    """``similar_links`` of one class of sizes.
-
-    Band keys alone are shuffled to find the buckets that hold two nodes or more; signatures go only there, and whole sets only to candidates:
-    once to each where its component of candidates fits a block, else once for each bucket cell.
-    """
-    limit = agreement_limit(threshold)
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    keyed = keyed.withColumn("bucket", F.xxhash64("band", "bucket"))
-    marks_of = nodes.select("node", "signature")
+    keyed = sized.select("node", F.explode(classes).alias("level"), "bands").select("node", "level", F.posexplode("bands").alias("band", "bucket"))
+    keyed = keyed.withColumn("bucket", F.xxhash64("band", "bucket", "level"))
+    marks_of, weights = sized.select("node", "signature"), sized.select("node", F.col("shingles").alias("size"))
 
     def mates(group: pd.DataFrame) -> pd.DataFrame | None:
         group = cell_rows(group, "node")
@@ -156,11 +141,12 @@ def _class_links(nodes: DataFrame, texts: DataFrame, hashes: Callable[[str | Non
         wanted = scratch.keep(map_groups(met, "cell", mates, "cell long, node long, asks boolean, first long"))
         held = scratch.keep(packed_sets(texts.join(wanted.select("node").distinct(), "node", "left_semi"), hashes))
         parted = connected_components(wanted.select(F.col("node").alias("a"), F.col("first").alias("b")), scratch)
-        small = parted.groupBy("component").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") <= block)
+        sums = parted.join(weights, "node").groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
+        small = sums.filter((F.col("rows") <= block) & (F.col("size") <= block * light))
         whole = scratch.keep(parted.join(small, "component").select("node", F.col("component").alias("cell"), F.lit(True).alias("asks")))
         split = wanted.join(whole.select("node"), "node", "left_anti").select("node", "cell", "asks")
-        # no cell of the one kind is one of the other: a component's cell is a node's id, marked by its class
+        # marked, so that no cell of the one kind is one of the other
         dealt = whole.withColumn("cell", F.xxhash64("cell", F.lit("whole"))).unionByName(split.withColumn("cell", F.xxhash64("cell", F.lit("split"))))
         return map_groups(dealt.join(held, "node"), "cell", links, "a long, b long").distinct()
 
-    return group_links(keyed, "bucket", "node", find, scratch, block)
+    return group_links(keyed, "bucket", "node", find, scratch, block, weight="level")
