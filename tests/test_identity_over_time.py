@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -31,6 +32,20 @@ def test_groups_merge_in_order_up_to_six(spark):
     assert max(n for _, n in made.values()) == 6 and floor.merge_groups(table.limit(0), "store_id").collect() == []
 
 
+def test_groups_of_met_visitors_without_their_pairs(spark):
+    rng = random.Random(5)
+    spots = [(c, f, f"V{v}", rng.random() * 960, rng.random() * 540) for c in ("s1", "s2") for f in range(6) for v in rng.sample(range(90), 50)]
+    pairs = {}
+    for (c, f, a, ax, ay), (d, g, b, bx, by) in ((p, q) for p in spots for q in spots if p[:2] == q[:2] and p[2] < q[2]):
+        if math.hypot(ax - bx, ay - by) <= 150:
+            pairs.setdefault((c, a, b), f)
+    want = {(k, v): g for k in ("s1", "s2") for v, g in plain_groups([(a, b, f) for (c, a, b), f in pairs.items() if c == k]).items()}
+    table = spark.createDataFrame(spots, "camera_id string, frame long, visitor_id string, px double, py double")
+    made = floor.meeting_groups(table).collect()
+    assert len(made) == len(want) and {(r.camera_id, r.visitor_id): (r.group_id, r.members) for r in made} == want
+    assert len({n for _, n in want.values()}) > 1 and floor.meeting_groups(table.limit(0)).collect() == []
+
+
 def test_pairs_are_confirmed_once_and_boost_their_group(spark):
     near = [1, 1, 1, 1, 0, 1, 1, 1]
     frames = spark.createDataFrame([("a", "b", i, bool(n)) for i, n in enumerate(near)] + [("a", "c", i, i < 4) for i in range(9)], "a string, b string, seq int, near boolean")
