@@ -46,6 +46,12 @@ def test_groups_of_met_visitors_without_their_pairs(spark):
     assert len({n for _, n in want.values()}) > 1 and floor.meeting_groups(table.limit(0)).collect() == []
 
 
+def test_groups_split_at_their_own_camera(spark):
+    spots = spark.createDataFrame([(c, 1, v, x, 0.0) for c in ("c", "d") for v, x in (("a", 0.0), ("b", 400.0))], "camera_id string, frame int, visitor_id string, px double, py double")
+    groups = spark.createDataFrame([("c", "a", "a"), ("c", "b", "a")], "camera_id string, visitor_id string, group_id string")
+    assert [(r.camera_id, r.apart) for r in floor.group_splits(spots, groups).collect()] == [("c", 400.0)]
+
+
 def test_pairs_are_confirmed_once_and_boost_their_group(spark):
     near = [1, 1, 1, 1, 0, 1, 1, 1]
     frames = spark.createDataFrame([("a", "b", i, bool(n)) for i, n in enumerate(near)] + [("a", "c", i, i < 4) for i in range(9)], "a string, b string, seq int, near boolean")
