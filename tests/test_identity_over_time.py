@@ -46,6 +46,16 @@ def test_groups_of_met_visitors_without_their_pairs(spark):
     assert len({n for _, n in want.values()}) > 1 and floor.meeting_groups(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("block", [8192, 9])
+def test_company_of_blocks_without_the_pairs_of_a_frame(spark, block):
+    rng = random.Random(6)
+    spots = [(c, f, f"V{v}", rng.randrange(96) * 10.0, rng.randrange(54) * 10.0) for c in ("s1", "s2") for f in range(8) for v in rng.sample(range(60), 40)]
+    table = spark.createDataFrame([*spots, ("s1", 1, "V98", None, 1.0), (None, 1, "V99", 1.0, 1.0)], "camera_id string, frame long, visitor_id string, px double, py double")
+    want = sorted(map(tuple, floor.companions(floor.group_pairs(table), frames=3).collect()))
+    assert sorted(map(tuple, floor.company(table, frames=3, block=block).collect())) == want and len(want) > 20
+    assert floor.company(table.limit(0)).collect() == []
+
+
 def test_groups_split_at_their_own_camera(spark):
     spots = spark.createDataFrame([(c, 1, v, x, 0.0) for c in ("c", "d") for v, x in (("a", 0.0), ("b", 400.0))], "camera_id string, frame int, visitor_id string, px double, py double")
     groups = spark.createDataFrame([("c", "a", "a"), ("c", "b", "a")], "camera_id string, visitor_id string, group_id string")
