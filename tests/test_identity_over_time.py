@@ -56,6 +56,18 @@ def test_company_of_blocks_without_the_pairs_of_a_frame(spark, block):
     assert floor.company(table.limit(0)).collect() == []
 
 
+def test_identity_bursts_by_a_running_sum(spark):
+    rng = random.Random(8)
+    seen = [("s", f"V{n}", rng.randrange(400) * 500_000 if n % 3 else 150_000_000 + rng.randrange(20) * 500_000) for n in range(300)]
+    recent = {t: sum(t - 60_000_000 <= u <= t for _, _, u in seen) for _, _, t in seen}
+    base = next(recent[t] for t in sorted(recent) if recent[t] >= 10)
+    since = next(t for t in sorted(recent) if recent[t] >= 10)
+    made = floor.identity_bursts(spark.createDataFrame(seen, "store_id string, visitor_id string, ts_us long"))
+    assert sorted(map(tuple, made.collect())) == sorted(("s", t, n, base) for t, n in recent.items() if t >= since and n > 3 * base) != []
+    # a window of the last minute would be added up anew for each of its rows
+    assert "RangeFrame" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_groups_split_at_their_own_camera(spark):
     spots = spark.createDataFrame([(c, 1, v, x, 0.0) for c in ("c", "d") for v, x in (("a", 0.0), ("b", 400.0))], "camera_id string, frame int, visitor_id string, px double, py double")
     groups = spark.createDataFrame([("c", "a", "a"), ("c", "b", "a")], "camera_id string, visitor_id string, group_id string")
