@@ -126,32 +126,31 @@ def staff_explosions_as_arrived(events: DataFrame, span_us: int = STAFF_WINDOW_U
     """``staff_explosions`` for a log in any order of time: at each arrival the store's trailing window holds what arrived so far and was not yet put out.
 
     An event is put out, for good, by the first arrival at or after it whose time is a window's length or more ahead of its own; one that arrives
-    late counts from then on like any other. A store's arrivals are cut into runs. A run starts with what the runs before it
-    left in the window, which is found from their latest times; then each run is a task of its own. What is carried is thus the window itself, once a run.
+    late counts from then on like any other. A store's arrivals are cut into runs, each a task of its own. What a run leaves in the window goes to
+    the one run that puts it out, the first whose latest time is far enough; in the runs between it only counts. So an event is carried once, however dense the log is.
     """
     named = events.select("store_id", "arrival_seq", "ts_us", F.col("is_staff").cast("int").alias("staff"))
     placed = sum_before(named, ["store_id"], ["arrival_seq"], F.lit(1), "nth").withColumn("run", F.expr(f"nth div {arrivals}"))
     placed = cut(placed.select("store_id", "run", "arrival_seq", "ts_us", "staff"))
-    latest = placed.groupBy("store_id", "run").agg(F.max("ts_us").alias("latest"))
     after = Window.partitionBy("store_id", "run").orderBy("arrival_seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     held = placed.withColumn("put_out", F.max("ts_us").over(after) >= F.col("ts_us") + span_us).filter("not put_out")
-    # what a run leaves enters the next one, and those after it until one of them puts it out
-    entering = latest.select("store_id", F.col("run").alias("at"), "latest")
-    carried, waiting = None, cut(held.select("store_id", (F.col("run") + 1).alias("at"), "ts_us", "staff").join(entering, ["store_id", "at"]))
-    while not waiting.isEmpty():
-        entered = waiting.select("store_id", F.col("at").alias("run"), F.lit(-1).cast("long").alias("arrival_seq"), "ts_us", "staff")
-        carried = entered if carried is None else carried.unionByName(entered)
-        stay = waiting.filter(F.col("latest") < F.col("ts_us") + span_us).select("store_id", (F.col("at") + 1).alias("at"), "ts_us", "staff")
-        waiting = cut(stay.join(entering, ["store_id", "at"]))
-    rows = placed if carried is None else placed.unionByName(carried)
+    latest = placed.groupBy("store_id", F.col("run").alias("at")).agg(F.max("ts_us").alias("m0"))
+    held = cut(_first_run(held.select("store_id", "run", "ts_us", "staff", (F.col("run") + 1).alias("at")), cut(latest), span_us))
+    # between its own run and the one that puts it out, an event is one of the window
+    step = lambda c, sign: held.select("store_id", F.col(c).alias("run"), F.lit(sign).alias("n"), (F.col("staff") * sign).alias("s"))
+    moves = step("run", 1).withColumn("run", F.col("run") + 1).unionByName(step("at", -1)).unionByName(placed.select("store_id", "run", F.lit(0).alias("n"), F.lit(0).alias("s")).distinct())
+    so_far = Window.partitionBy("store_id").orderBy("run")
+    standing = moves.groupBy("store_id", "run").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("store_id", "run", F.sum("n").over(so_far).alias("n0"), F.sum("s").over(so_far).alias("s0"))
+    entered = held.select("store_id", F.col("at").alias("run"), F.lit(-1).cast("long").alias("arrival_seq"), "ts_us", "staff")
+    rows = placed.unionByName(entered).join(F.broadcast(standing), ["store_id", "run"])
 
     def trail(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held, n, s = None, [], 0, 0
         for frame in frames:
             made = []
-            for store, run, seq, ts, staff in zip(frame["store_id"], frame["run"], frame["arrival_seq"], frame["ts_us"], frame["staff"]):
+            for store, run, seq, ts, staff, n0, s0 in zip(*(frame[c].tolist() for c in ("store_id", "run", "arrival_seq", "ts_us", "staff", "n0", "s0"))):
                 if (store, run) != now:
-                    now, held, n, s = (store, run), [], 0, 0
+                    now, held, n, s = (store, run), [], n0, s0
                 heapq.heappush(held, (ts, staff))
                 n, s = n + 1, s + staff
                 if seq < 0:
@@ -163,10 +162,26 @@ def staff_explosions_as_arrived(events: DataFrame, span_us: int = STAFF_WINDOW_U
             yield pd.DataFrame(made, columns=["store_id", "arrival_seq", "n", "s"])
 
     dealt = rows.repartition("store_id", "run").sortWithinPartitions("store_id", "run", "arrival_seq")
-    told = dealt.select("store_id", "run", "arrival_seq", "ts_us", "staff").mapInPandas(trail, _TRAIL)
+    told = dealt.select("store_id", "run", "arrival_seq", "ts_us", "staff", "n0", "s0").mapInPandas(trail, _TRAIL)
     return told.select("arrival_seq", "store_id", "n", half_even(F.col("s") / F.col("n"), 3).alias("staff_fraction"))
 
 
+def _first_run(waiting: DataFrame, latest: DataFrame, span_us: int) -> DataFrame:
+    """``waiting(store_id, ts_us, at, ...)`` with ``at`` moved on to the first run from there whose latest time is ``span_us`` ahead, or past the last one.
+
+    ``latest(store_id, at, m0)`` has a row a run. Runs are passed over in steps of powers of two, the greatest first, by the latest time of so many runs.
+    """
+    steps = max(1, (latest.agg(F.max("at")).first()[0] or 0).bit_length() + 1)
+    order = Window.partitionBy("store_id").orderBy("at")
+    for k in range(1, steps):
+        latest = latest.withColumn(f"m{k}", F.greatest(f"m{k - 1}", F.lead(f"m{k - 1}", 1 << (k - 1)).over(order)))
+    latest = cut(latest)
+    for k in reversed(range(steps)):
+        waiting = waiting.join(F.broadcast(latest.select("store_id", "at", F.col(f"m{k}").alias("most"))), ["store_id", "at"], "left")
+        waiting = waiting.withColumn("at", F.when(F.col("most") < F.col("ts_us") + span_us, F.col("at") + (1 << k)).otherwise(F.col("at"))).drop("most")
+    return waiting
+
+
 def exits_without_entry(events: DataFrame) -> DataFrame:
     """Exits of visitors whose history, since their last exit, holds no entry or re-entry: (arrival_seq, store_id, visitor_id, ts_us)."""
     order = Window.partitionBy("visitor_id").orderBy("arrival_seq")

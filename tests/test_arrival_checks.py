@@ -34,6 +34,18 @@ def test_staff_share_in_arrival_order(spark, runs):
     assert verifier.staff_explosions_as_arrived(events.limit(0)).collect() == []
 
 
+def test_a_window_of_many_runs_takes_no_round_a_run(spark):
+    made = [(n, n % 7 < 4, n if n < 250 else n + 300) for n in range(260)]
+    events = log(spark, *[("V", "ZONE_ENTER", at, {"is_staff": staff}) for _, staff, at in made])
+    spark.sparkContext.setJobGroup("runs", "")
+    try:
+        got = sorted((r.arrival_seq, r.n) for r in verifier.staff_explosions_as_arrived(events, arrivals=2).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("runs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [(a, n) for a, n, _ in plain_staff(made)] and jobs < 80
+
+
 def test_both_forms_agree_on_an_ordered_log(spark):
     rng = random.Random(2)
     times, at = [], 0
