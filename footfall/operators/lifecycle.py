@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 from ..functions import cosine, half_even
 from ..functions.lineage import cut
 from ..schema import SECOND
+from .identity import may_be_best
 
 # Fixed values.
 ADJACENT_MATCH = 0.70
+#: Tracks of a block that meets four times as many visitors at once.
+MATCH_BLOCK = 1024
 GHOST_LEAST, GHOST_TTL, GHOST_DECAY, GHOSTS_KEPT, GHOST_REACH, GHOST_RETURN = 0.40, 30.0, 0.95, 50, 0.3, 0.55
 SHADOW_FRAMES, SHADOW_DAMPING, SHADOW_FADE, SHADOW_LEAST, SHADOW_STILL, SHADOW_REACH, SHADOW_MATCH = 90, 0.98, 0.97, 0.10, 0.001, 120.0, 0.40
 COLOUR_BINS, COLOUR_BOXES = 32, 10
@@ -46,8 +49,11 @@ def adjacent_matches(new: DataFrame, active: DataFrame, adjacency: DataFrame, le
     ``new(track_id, camera_id, embedding)``, ``active(visitor_id, camera_id, embedding)``, ``adjacency(camera_id, neighbour_id)``.
     """
     links = adjacency.unionByName(adjacency.select(F.col("neighbour_id").alias("camera_id"), F.col("camera_id").alias("neighbour_id"))).distinct()
-    there = active.select("visitor_id", F.col("camera_id").alias("neighbour_id"), F.col("embedding").alias("known"))
-    pairs = new.join(links, "camera_id").join(there, "neighbour_id").withColumn("similarity", half_even(cosine(F.col("embedding"), F.col("known")), 6))
+    asked = new.join(links, "camera_id").select(F.col("neighbour_id").alias("at"), F.col("track_id").alias("id"), F.col("embedding").alias("v"))
+    there = active.select(F.col("camera_id").alias("at"), F.col("visitor_id").alias("id"), F.col("embedding").alias("v"))
+    # tracks and visitors are dealt to blocks, so that a camera is no single task
+    rows, columns = max(1, -(-asked.count() // MATCH_BLOCK)), max(1, -(-there.count() // (4 * MATCH_BLOCK)))
+    pairs = may_be_best(asked, there, 1, rows, columns, smaller=False).select(F.col("query_id").alias("track_id"), F.col("id").alias("visitor_id"), half_even(cosine(F.col("q"), F.col("v")), 6).alias("similarity"))
     best = F.max(F.struct("similarity", F.col("visitor_id"))).alias("b")
     return pairs.filter(F.col("similarity") >= least).groupBy("track_id").agg(best).select("track_id", "b.visitor_id", "b.similarity")
 
