@@ -181,3 +181,15 @@ def test_groups_and_numbers(spark):
     assert made.filter("position <> k div 7 + 1").count() == 0
     health = spark.createDataFrame([(0.0,)] * 3, "health double")
     assert floor.collapsed_tracks(health).count() == 1 and floor.collapsed_tracks(health.limit(2)).count() == 0
+
+
+def test_near_pairs_meet_once(spark):
+    """Positions on the borders of squares, left of zero and twice in a frame; a position is entered in five squares, not in nine."""
+    rng = random.Random(5)
+    spots = [(f"v{k % 40:02d}", rng.choice((-150.0, 0.0, 150.0, rng.uniform(-300, 500))), rng.choice((-150.0, 0.0, 150.0, rng.uniform(-300, 500)))) for k in range(70)]
+    rows = spark.createDataFrame([("C", 0, *s) for s in spots], "camera_id string, frame long, visitor_id string, px double, py double")
+    want = sorted(("C", 0, p[0], q[0]) for p in spots for q in spots if p[0] < q[0] and math.dist(p[1:], q[1:]) <= 150)
+    found = floor.group_pairs(rows)
+    assert sorted(map(tuple, found.collect())) == want
+    entered = found._jdf.queryExecution().optimizedPlan().toString().split("explode(")[1].split("]]")[0]
+    assert entered.count("[") == 6
