@@ -14,18 +14,17 @@ _TEXT, _WHOLE, _FLAG = "STRING", "BIGINT", "BOOLEAN"
 _FIELDS = ("event_id", "store_id", "camera_id", "visitor_id", "event_type", "timestamp", "zone_id", "dwell_ms", "is_staff", "confidence", "metadata", "metadata.queue_depth")
 
 
-def _kind_of(field: str) -> Column:
+def _kind(field: str) -> Column:
     """The JSON type of a field as written: a quoted number is STRING; missing and null give null."""
-    kind = F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant"))
-    return F.when(kind != "VOID", F.regexp_extract(kind, "^[A-Z]+", 0))
+    return F.nullif(F.col(f"`kind {field}`"), F.lit("VOID"))
 
 
-def _kind(field: str) -> Column:
-    return F.col(f"`kind {field}`")
+def _value(field: str, kind: str) -> Column:
+    return F.try_variant_get(F.col(f"`part {field}`"), "$", kind)
 
 
 def _text(field: str) -> Column:
-    return F.when(_kind(field) == _TEXT, F.try_variant_get("v", f"$.{field}", "string"))
+    return F.when(_kind(field) == _TEXT, _value(field, "string"))
 
 
 def _reason(bad: Column, text: str) -> Column:
@@ -47,58 +46,66 @@ def validate(raw: DataFrame, as_of_us: int | Column, value: str = "value", order
     VARIANT in ``meta``.
     """
     parsed = raw.select(F.col(order).alias("arrival_seq"), F.col(value).alias("raw"), F.try_parse_json(value).alias("v"))
-    # worked out once: the checks below name each type several times
-    parsed = parsed.select("*", *[_kind_of(f).alias(f"kind {f}") for f in _FIELDS])
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    # each in a step of its own, so that a field is looked up once, its type told once and its value read once, however many checks name them
+    parts = parsed.select("arrival_seq", "raw", F.col("v").isNotNull().alias("json"), *[F.try_variant_get("v", f"$.{f}", "variant").alias(f"part {f}") for f in _FIELDS])
+    told = parts.select("*", *[F.schema_of_variant(F.col(f"`part {f}`")).alias(f"kind {f}") for f in _FIELDS])
+    dwell, staff, sure, depth = _kind("dwell_ms"), _kind("is_staff"), _kind("confidence"), _kind("metadata.queue_depth")
     required = ("event_id", "store_id", "camera_id", "visitor_id")
+    read = told.select(
+        "*",
+        *[F.trim(_text(name)).alias(name) for name in required],
+        _text("event_type").alias("event_type"),
+        parse_timestamp_us(F.trim(_text("timestamp"))).alias("ts_us"),
+        _text("zone_id").alias("zone_id"),
+        F.when(dwell == _WHOLE, _value("dwell_ms", "long")).alias("dwell"),
+        F.when(staff == _FLAG, _value("is_staff", "boolean")).alias("staff"),
+        F.when(sure.isin("BIGINT", "DOUBLE", "FLOAT") | sure.startswith("DECIMAL"), _value("confidence", "double")).alias("confidence"),
+        F.when(depth == _WHOLE, _value("metadata.queue_depth", "long")).alias("queue_depth"),
+    )
+    # the first sign of a text that is JSON tells whether it is an object
+    is_object = F.col("json") & F.coalesce(F.col("raw").rlike(r"^[\x00-\x20\x{FEFF}]*\{"), F.lit(False))
     checks = []
     for name in required:
         kind = _kind(name)
-        checks += [_reason(kind.isNull(), f"{name}: field required"), _reason(kind != _TEXT, f"{name}: must be a string"), _reason(F.trim(_text(name)) == "", f"{name}: must not be empty")]
-    plain_id = F.regexp_replace(F.regexp_replace(F.trim(_text("event_id")), "^(urn:)?(uuid:)?", ""), "[{}-]", "")
-    checks.append(_reason((F.trim(_text("event_id")) != "") & ~plain_id.rlike("^[0-9a-fA-F]{32}$"), "event_id: must be a valid UUID"))
-    kind = _kind("event_type")
-    checks += [_reason(kind.isNull(), "event_type: field required"), _reason(kind.isNotNull() & ~F.coalesce(_text("event_type").isin(*EVENT_TYPES), F.lit(False)), "event_type: not a known type")]
-    at = parse_timestamp_us(F.trim(_text("timestamp")))
+        checks += [_reason(kind.isNull(), f"{name}: field required"), _reason(kind != _TEXT, f"{name}: must be a string"), _reason(F.col(name) == "", f"{name}: must not be empty")]
+    plain_id = F.regexp_replace(F.regexp_replace("event_id", "^(urn:)?(uuid:)?", ""), "[{}-]", "")
+    checks.append(_reason((F.col("event_id") != "") & ~plain_id.rlike("^[0-9a-fA-F]{32}$"), "event_id: must be a valid UUID"))
+    kind, at, number = _kind("event_type"), F.col("ts_us"), F.col("confidence")
+    checks += [_reason(kind.isNull(), "event_type: field required"), _reason(kind.isNotNull() & ~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False)), "event_type: not a known type")]
     checks += [
         _reason(_kind("timestamp").isNull(), "timestamp: field required"),
         _reason(_kind("timestamp").isNotNull() & at.isNull(), "timestamp: must be ISO-8601 with an offset"),
         _reason(at > (as_of_us if isinstance(as_of_us, Column) else F.lit(as_of_us)) + FUTURE_SLACK_US, "timestamp: too far in the future"),
     ]
-    dwell, staff, sure = _kind("dwell_ms"), _kind("is_staff"), _kind("confidence")
-    number = F.when(sure.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get("v", "$.confidence", "double"))
     checks += [
         _reason(dwell != _WHOLE, "dwell_ms: must be an integer"),
-        _reason(F.when(dwell == _WHOLE, F.try_variant_get("v", "$.dwell_ms", "long")) < 0, "dwell_ms: must not be negative"),
+        _reason(F.col("dwell") < 0, "dwell_ms: must not be negative"),
         _reason(staff != _FLAG, "is_staff: must be a boolean"),
         _reason(sure.isNull(), "confidence: field required"),
         _reason(sure.isNotNull() & number.isNull(), "confidence: must be a number"),
         _reason((number < 0) | (number > 1), "confidence: must be from 0 to 1"),
         _reason(_kind("zone_id") != _TEXT, "zone_id: must be a string"),
-        _reason(_kind("metadata") != "OBJECT", "metadata: must be an object"),
-        _reason(_kind("metadata.queue_depth") != _WHOLE, "metadata.queue_depth: must be an integer"),
+        _reason(~_kind("metadata").startswith("OBJECT"), "metadata: must be an object"),
+        _reason(depth != _WHOLE, "metadata.queue_depth: must be an integer"),
     ]
     reasons = F.when(is_object, F.filter(F.array(*checks), lambda r: r.isNotNull())).otherwise(F.array(F.lit("Event must be a JSON object")))
-    whole = lambda name: F.try_variant_get("v", f"$.{name}", "long")
-    return parsed.select(
+    meta = F.col("`part metadata`")
+    return read.select(
         "arrival_seq",
         "raw",
         reasons.alias("errors"),
-        F.trim(_text("event_id")).alias("event_id"),
-        F.trim(_text("store_id")).alias("store_id"),
-        F.trim(_text("camera_id")).alias("camera_id"),
-        F.trim(_text("visitor_id")).alias("visitor_id"),
-        _text("event_type").alias("event_type"),
-        at.alias("ts_us"),
-        _text("zone_id").alias("zone_id"),
-        F.coalesce(F.when(dwell == _WHOLE, whole("dwell_ms")), F.lit(0)).alias("dwell_ms"),
-        F.coalesce(F.when(staff == _FLAG, F.try_variant_get("v", "$.is_staff", "boolean")), F.lit(False)).alias("is_staff"),
-        number.alias("confidence"),
-        F.when(_kind("metadata.queue_depth") == _WHOLE, whole("metadata.queue_depth")).alias("queue_depth"),
-        whole("metadata.wait_duration_ms").alias("wait_ms"),
-        F.try_variant_get("v", "$.metadata.reid_score", "double").alias("reid_score"),
-        F.to_json(F.try_variant_get("v", "$.metadata", "variant")).alias("metadata"),
-        F.try_variant_get("v", "$.metadata", "variant").alias("meta"),
+        *required,
+        "event_type",
+        "ts_us",
+        "zone_id",
+        F.coalesce("dwell", F.lit(0)).alias("dwell_ms"),
+        F.coalesce("staff", F.lit(False)).alias("is_staff"),
+        "confidence",
+        "queue_depth",
+        F.try_variant_get(meta, "$.wait_duration_ms", "long").alias("wait_ms"),
+        F.try_variant_get(meta, "$.reid_score", "double").alias("reid_score"),
+        F.to_json(meta).alias("metadata"),
+        meta.alias("meta"),
     )
 
 

@@ -139,3 +139,19 @@ def test_analytics_object(spark):
         store.audit("NOPE")
     later, rejected, summary = store.ingest(raw(spark, {**GOOD, "store_id": "STORE_1"}, "[]"))
     assert later.metrics("STORE_1").collect()[0].unique_visitors == 2 and rejected.count() == 1 and summary.collect()[0].accepted == 1
+
+
+def test_a_field_is_looked_up_once(spark):
+    """However many checks name it; and blanks before a line's object are no other type."""
+    good = '{"event_id":"00000000-0000-4000-8000-000000000001","store_id":" S ","camera_id":"C","visitor_id":"V","event_type":"EXIT","timestamp":"2026-03-03T14:00:00Z","confidence":%s,"metadata":%s}'
+    lines = [good % ("1e0", "{}"), " \t\r\n" + good % ("0.25", '{"queue_depth":3}'), good % ("1", "[]"), good % ("true", "null"), " [{}]", '"{"', "7", "{", "", None, good % ("0.5", '{"queue_depth":"3"}')]
+    raw = spark.createDataFrame(list(enumerate(lines)), "arrival_seq long, value string")
+    checked = ingest.validate(raw, 1_772_551_800_000_000)
+    no_object = ["Event must be a JSON object"]
+    want = [[], [], ["metadata: must be an object"], ["confidence: must be a number"], *[no_object] * 6, ["metadata.queue_depth: must be an integer"]]
+    got = checked.orderBy("arrival_seq").collect()
+    assert [r.errors for r in got] == want
+    assert [(r.store_id, r.confidence, r.queue_depth) for r in got[:2]] == [("S", 1.0, None), ("S", 0.25, 3)]
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    for field in ("event_id", "timestamp", "confidence"):
+        assert plan.count(f"$.{field},") == 1
