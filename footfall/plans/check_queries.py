@@ -30,22 +30,22 @@ def query(sql: str):
 
 @query(FLOOR_SQL["identity_lifecycle"].replace("last_us, expirations FROM l", "expirations FROM l"))
 def live_lifecycle(spark, sf):
-    """The lifecycle of ``identity_lifecycle`` told by a stream: the log in files by time, taken one a batch, and the state at its end."""
+    """The lifecycle of ``identity_lifecycle`` told by a stream: the log in files by time, taken in parts, and the state at its end."""
     log = store_events(spark, sf).select("visitor_id", "ts_us", F.col("arrival_seq").alias("seq"), F.expr("cast(8 + arrival_seq % 53 AS double)").alias("retain_sec"), "zone_id")
     log = log.filter(F.col("ts_us") <= LIVE_UNTIL_US)
     base = shared_folder(spark)
     ahead = lambda seconds: log.agg(F.lit("").alias("visitor_id"), (F.max("ts_us") + seconds * 1_000_000).alias("ts_us"), F.max("seq").alias("seq"), F.lit(0.0).alias("retain_sec"), F.lit(None).cast("string").alias("zone_id"))
-    # the later half of the log, and two sightings far ahead that let all others run out, come in batches of their own
-    for part in (log.filter(F.col("ts_us") < LIVE_UNTIL_US // 2), log.filter(F.col("ts_us") >= LIVE_UNTIL_US // 2), ahead(10_000), ahead(20_000)):
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
     name, provider = passports.PROVIDER
     before = spark.conf.get(name)
     spark.conf.set(name, provider)
     try:
-        live = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        changes = passports.passport_changes(live, active_us=5_000_000, delay="30 minutes")
         keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        project_each_batch(changes, keep, f"{base}/check").awaitTermination()
+        # the later half of the log, and two sightings far ahead that let all others run out, come in batches of their own
+        for part in (log.filter(F.col("ts_us") < LIVE_UNTIL_US // 2), log.filter(F.col("ts_us") >= LIVE_UNTIL_US // 2), ahead(10_000), ahead(20_000)):
+            part.write.mode("append").parquet(f"{base}/in")
+            live = spark.readStream.schema(log.schema).parquet(f"{base}/in")
+            changes = passports.passport_changes(live, active_us=5_000_000, delay="30 minutes")
+            project_each_batch(changes, keep, f"{base}/check").awaitTermination()
     finally:
         spark.conf.set(name, before)
     told = spark.read.schema(changes.schema).parquet(f"{base}/out/batch=*").filter("visitor_id <> ''")

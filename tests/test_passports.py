@@ -62,3 +62,55 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
     log.unpersist()
     told.unpersist()
+
+
+class _Counted:
+    """A stand-in for the state of one visitor that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_state_is_read_and_written_once_a_batch():
+    from pyspark.sql import Row
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    s, state, work = 1_000_000, _Counted(), passports.Passports(5_000_000, passports.FORGET_US)
+    work.init(state)
+    seen = [Row(visitor_id="v", ts_us=k * s, seq=k, retain_us=9 * s, zone_id=f"Z{k % 7}") for k in range(400)]
+    for part in (seen[:200], seen[200:]):
+        state.calls = 0
+        told = list(work.handleInputRows(("v",), iter(random.Random(4).sample(part, 200)), TimerValues(0, 0)))
+        assert state.calls <= 4 and [r.what for r in told] == ["ACTIVE"] * (part is not seen and part[0].seq == 0)
+    left = dict(zip(passports._FIELDS, state.value))["zones"]
+    assert left == {f"Z{k}": sum(s for t in range(399) if t % 7 == k) for k in range(7)}
+    # once the watermark has passed both, the loss and the end are told by one timer
+    (due,) = state.timers
+    state.timers.clear()
+    told = list(work.handleExpiredTimer(("v",), TimerValues(0, due + 3_600_000), ExpiredTimerInfo(due)))
+    assert [r.what for r in told] == ["SUSPENDED", "EXPIRED"] and len(state.timers) == 1
+    (due,) = state.timers
+    assert list(work.handleExpiredTimer(("v",), TimerValues(0, due), ExpiredTimerInfo(due))) == [] and state.value is None
