@@ -185,3 +185,19 @@ def test_progress_while_replaying(spark, pos, tmp_path):
     thread.join()
     assert end == [30000] and any(0 < s["pct"] < 100 and s["is_replaying"] for s in seen)
     assert StoreAnalytics.progress(path) == {"is_replaying": False, "replayed": 30000, "total": 30000, "pct": 100.0}
+
+
+@pytest.mark.parametrize("name", ["replay_then_ingest"])
+def test_lines_are_made_by_many_tasks(spark, monkeypatch, name):
+    """A table in one file is dealt to all tasks before its rows become lines, which are then checked there."""
+    from footfall.plans import catalog
+
+    made, event_json = [], sinks.event_json
+    monkeypatch.setattr(sinks, "event_json", lambda events: made.append(events) or event_json(events))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        parts = [[n for n in events.groupBy(F.spark_partition_id()).count().toPandas()["count"]] for events in made]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert made and all(len(p) >= 6 and max(p) < sum(p) / 2 for p in parts)

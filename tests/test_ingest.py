@@ -155,3 +155,23 @@ def test_a_field_is_looked_up_once(spark):
     plan = checked._jdf.queryExecution().optimizedPlan().toString()
     for field in ("event_id", "timestamp", "confidence"):
         assert plan.count(f"$.{field},") == 1
+
+
+def test_lines_are_read_as_parse_json_reads_them(spark):
+    """Broken and odd lines: the parser that all lines share takes and refuses the same ones."""
+    good = json.dumps(GOOD)
+    odd = ["", "  ", "null", "[]", "1", "{", "{'a': 1}", "{a: 1}", '{"a": NaN}', '{"a": Infinity}', '{"a": 01}', '{"a": .5}', '{"a": 1, "a": 2}', '\ufeff{"a": 1}', '{"a": 1}x', '{"a": 1} {"b": 2}', '{"a": 1,}', '{"a": "\\x"}', '{"a": "\t"}', '{"a": 9223372036854775808}', '{"a": 1e400}', '{"a": 0.10}', "tru"]
+    lines = raw(spark, *odd, *[good[:k] for k in range(0, len(good), 9)], *[good[:k] + c + good[k + 1 :] for k in range(0, len(good), 5) for c in "{}\"',:0 "])
+    made = lines.select("value", F.try_parse_json("value").alias("a"), ingest.parse_line(F.col("value")).alias("b"))
+    told = [made[c] for c in "ab"]
+    differ = made.filter(~F.to_json(told[0]).eqNullSafe(F.to_json(told[1])) | ~F.schema_of_variant(told[0]).eqNullSafe(F.schema_of_variant(told[1])))
+    assert differ.count() == 0 and 0 < made.filter("a is null").count() < made.count()
+
+
+def test_sound_lines_have_no_reasons_listed(spark):
+    """One parser serves all lines, and reasons are listed only where a check fails."""
+    checked = ingest.validate(raw(spark, GOOD, {**GOOD, "dwell_ms": -1}, "[]", "{broken", {**GOOD, "confidence": None}), AS_OF_US)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" in plan and "parseJson" not in plan and "parse_json" not in plan
+    assert "ELSE filter" not in plan.split("AS errors")[0].split("THEN filter")[0] and "THEN [] WHEN" in plan
+    assert [r.errors for r in checked.orderBy("arrival_seq").collect()] == [[], ["dwell_ms: must not be negative"], ["Event must be a JSON object"], ["Event must be a JSON object"], ["confidence: field required"]]
