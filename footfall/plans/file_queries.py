@@ -114,7 +114,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_GROWN} SELECT event_id, batch, row_number() OVER (ORDER BY batch, arrival_seq) AS position, false AS differs FROM bt")
 def incremental_ingest(spark, sf):
     """Three overlapping batches of lines appended to a store: each event is taken from the first one that has it."""
-    lines, store = sinks.event_json(_filed(spark, sf)), EventStore(spark, shared_folder(spark), buckets=16)
+    lines, store = _lines(spark, sf), EventStore(spark, shared_folder(spark), buckets=16)
     for part in (lines.filter("arrival_seq % 3 <> 0"), lines.filter("arrival_seq % 2 = 0"), lines):
         store.append(part, AS_OF_EPOCH_US, limit=None)
     return _grown(store)

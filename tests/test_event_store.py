@@ -187,7 +187,7 @@ def test_progress_while_replaying(spark, pos, tmp_path):
     assert StoreAnalytics.progress(path) == {"is_replaying": False, "replayed": 30000, "total": 30000, "pct": 100.0}
 
 
-@pytest.mark.parametrize("name", ["replay_then_ingest"])
+@pytest.mark.parametrize("name", ["incremental_ingest", "replay_then_ingest"])
 def test_lines_are_made_by_many_tasks(spark, monkeypatch, name):
     """A table in one file is dealt to all tasks before its rows become lines, which are then checked there."""
     from footfall.plans import catalog
