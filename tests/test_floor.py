@@ -193,3 +193,16 @@ def test_near_pairs_meet_once(spark):
     assert sorted(map(tuple, found.collect())) == want
     entered = found._jdf.queryExecution().optimizedPlan().toString().split("explode(")[1].split("]]")[0]
     assert entered.count("[") == 6
+
+
+def test_a_crowded_place_is_met_in_shares(spark, monkeypatch):
+    """All of a square's visitors at a few places: more than one task has its pairs, and each pair comes once. A rounded distance of 150 counts two squares away."""
+    monkeypatch.setattr(floor, "SHARE", 16, raising=False)
+    monkeypatch.setattr(floor, "PACK", 7, raising=False)
+    spots = [(f"v{k:03d}", 10.0 * (k % 3), 10.0) for k in range(120)]
+    rows = spark.createDataFrame([("C", 0, *s) for s in spots], "camera_id string, frame long, visitor_id string, px double, py double")
+    found = floor.group_pairs(rows).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b) for r in found) == [(p[0], q[0]) for k, p in enumerate(spots) for q in spots[k + 1 :]]
+    assert len({r.task for r in found}) > 1
+    edge = spark.createDataFrame([("C", 0, "v", -1e-20, 0.0), ("C", 0, "w", 150.0, 0.0)], rows.schema)
+    assert [(r.a, r.b) for r in floor.group_pairs(edge).collect()] == [("v", "w")]
