@@ -56,6 +56,25 @@ def test_company_of_blocks_without_the_pairs_of_a_frame(spark, block):
     assert floor.company(table.limit(0)).collect() == []
 
 
+def test_company_measures_each_place_once(monkeypatch):
+    """Two blocks of 200 visitors at 12 places through 300 frames: 144 distances a frame at most, not 40,000, and counts that outgrow 8 bits."""
+    rng, measured, root = np.random.default_rng(3), [], np.sqrt
+    monkeypatch.setattr(floor.np, "sqrt", lambda d: measured.append(d.size) or root(d))
+    spots, pair, want = rng.integers(0, 40, (12, 2)) * 20.0, floor._BlockPair(0, 1, 150.0), np.zeros((200, 200), int)
+    pair.names = {0: [f"A{k:03d}" for k in range(200)], 1: [f"B{k:03d}" for k in range(200)]}
+    for frame in range(300):
+        # the second block is here as a whole, or with few
+        who = np.arange(150, dtype=np.int32), np.arange(200 if frame < 280 else 5, dtype=np.int32)
+        at = [np.where(w < 20, 0, rng.integers(0, 12, len(w))) for w in who]
+        for block in (0, 1):
+            pair.put((frame, "c"), block, [who[block], *spots[at[block]].T])
+        apart = spots[at[0]][:, None] - spots[at[1]]
+        want[: len(at[0]), : len(at[1])] += root((apart * apart).sum(axis=2)) <= 150
+    made = [r for batch in pair.told(3) for r in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(made) == [(f"A{k:03d}", f"B{m:03d}", want[k, m]) for k in range(200) for m in range(200) if want[k, m] >= 3]
+    assert want.max() == 300 and sum(measured) <= 300 * 144
+
+
 def test_identity_bursts_by_a_running_sum(spark):
     rng = random.Random(8)
     seen = [("s", f"V{n}", rng.randrange(400) * 500_000 if n % 3 else 150_000_000 + rng.randrange(20) * 500_000) for n in range(300)]
